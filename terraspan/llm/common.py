@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; everything between two of these is a word.
@@ -47,3 +48,26 @@ def fold_of(doc_id):
 def checked_broadcast(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """Broadcast ``df`` when its counted ``rows`` are at most ``most``; beyond that Spark joins it by a shuffle."""
     return F.broadcast(df) if rows <= most else df
+
+
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_words(text) -> Column:
+    """Lower-cased runs of letters, as :func:`words_of` finds them on the Python side."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
+
+
+def words_of(text: str) -> list[str]:
+    return LETTERS.findall(text.lower())
+
+
+def bounded_rows(rows: DataFrame, by: str, most: int, seed: int) -> DataFrame:
+    """A sample of about ``most`` rows at most for each value of ``by``, chosen by a hash of ``doc_id``: counts come
+    from one aggregation over ids and ``by`` alone, then each row decides by itself, so nothing is sorted or moved."""
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    rate = F.lit(0.0)
+    for value, n in counts.items():
+        rate = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(rate)
+    uniform = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
+    return rows.where(uniform < rate)
