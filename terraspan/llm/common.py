@@ -62,10 +62,12 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def bounded_rows(rows: DataFrame, by: str, most: int, seed: int) -> DataFrame:
+def bounded_rows(rows: DataFrame, by: str, most: int, seed: int, even: bool = False) -> DataFrame:
     """A sample of about ``most`` rows at most for each value of ``by``, chosen by a hash of ``doc_id``: counts come
-    from one aggregation over ids and ``by`` alone, then each row decides by itself, so nothing is sorted or moved."""
+    from one aggregation over ids and ``by`` alone, then each row decides by itself, so nothing is sorted or moved.
+    even: no value gets more than the rarest one has."""
     counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    most = min([most, *counts.values()]) if even else most
     rate = F.lit(0.0)
     for value, n in counts.items():
         rate = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(rate)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from terraspan.llm import quality_rules
+from terraspan.llm import language_id, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op1_ablations": quality_rules.op1_ablations,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_toxicity": toxicity.op6_toxicity,
 }
-ORACLE = {**quality_rules.ORACLE}
+ORACLE = {**quality_rules.ORACLE, **secret_scan.ORACLE}
