@@ -2,7 +2,7 @@
 
 One interpolated bigram model is fitted on texts labelled toxic and one on ordinary texts. Both back off to the same
 continuation counts, taken over both classes, so an expression that either class hardly knows is judged alike by both.
-A text's score compares its length-normalised log-likelihoods under the two models; a logistic curve fitted on
+A text's score compares its length-normalised log-likelihoods under the two models; a logistic curve set by
 labelled rows that the counts have not seen turns the difference into a number from 0 to 1.
 """
 
@@ -82,9 +82,8 @@ def fit(labelled: DataFrame, params: Params = Params(), share: float | None = No
             seen = _ratios(sample, model, "toxic").toPandas()
     finally:
         sample.unpersist()
-    slope, shift = _logistic(seen["ratio"].to_numpy(float), seen["toxic"].to_numpy(float))
-    if share is not None and 0 < share < 1:
-        shift += float(np.log(share / (1 - share)))
+    share = share if share is not None and 0 < share < 1 else 0.5
+    slope, shift = _curve(seen["ratio"].to_numpy(float), seen["toxic"].to_numpy(float), share)
     return Model(**{**model.__dict__, "slope": slope, "shift": shift})
 
 
@@ -152,19 +151,21 @@ def _ratios(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more).mapInPandas(score, f"doc_id long{extra}, ratio double")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton's method with a weak pull towards 0. The classes weigh as they are."""
-    scale = max(x.std(), 1e-9) if len(x) else 1.0
-    design, beta = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (y - p) - 1e-2 * beta
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta = np.clip(beta + step, -50, 50)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(beta[0] / scale), float(beta[1])
+def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and shift of the logistic curve. It crosses 0.5 at the cut with the fewest expected errors when a text is
+    toxic with probability ``share``, in the widest gap of such cuts: labels that the words do not bear out then cannot
+    drag the curve along. Its slope comes from the spread of the ratios."""
+    at = np.unique(np.append(x[x > 0], 0.0))  # a text that is no likelier under the toxic model is never above the cut
+    if len(at) < 2:
+        return 1.0, float(np.log(share / (1 - share)))
+    cuts = (at[1:] + at[:-1]) / 2
+    missed = np.searchsorted(np.sort(x[y == 1]), cuts) / max((y == 1).sum(), 1)
+    alarms = 1 - np.searchsorted(np.sort(x[y == 0]), cuts) / max((y == 0).sum(), 1)
+    errors = share * missed + (1 - share) * alarms
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    cut = cuts[best[np.argmax(np.diff(at)[best])]]
+    slope = 4 / max(float(x.std()), 1e-9)
+    return slope, float(-slope * cut)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
