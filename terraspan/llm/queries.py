@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraspan.llm import language_id, quality_rules, secret_scan, token_files, toxicity
+from terraspan.llm import language_id, packing, quality_rules, secret_scan, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_token_files": token_files.op4_token_files,
     "op5_language_id": language_id.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_packing": packing.op7_packing,
 }
 ORACLE = {**quality_rules.ORACLE, **secret_scan.ORACLE}
