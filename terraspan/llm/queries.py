@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraspan.llm import language_id, packing, quality_rules, secret_scan, token_files, toxicity
+from terraspan.llm import jaccard_join, language_id, packing, quality_rules, secret_scan, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,5 +12,6 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
-ORACLE = {**quality_rules.ORACLE, **secret_scan.ORACLE}
+ORACLE = {**quality_rules.ORACLE, **secret_scan.ORACLE, **jaccard_join.ORACLE}
