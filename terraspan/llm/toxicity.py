@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm.common import bounded_rows, fold_of, letter_words, table, words_of
+from terraspan.llm.common import bounded_rows, fold_of, letter_words, staged, table, words_of
 
 
 @dataclass(frozen=True)
@@ -51,9 +51,9 @@ def _counts(sample: DataFrame, params: Params) -> tuple[pd.DataFrame, pd.DataFra
     )
     triples = w.where(F.size("w") > 1).select("toxic", F.inline(triple)).distinct()
     each = lambda f, c: [f(x).alias(f"{c}{x}") for x in "10"]
-    pairs = triples.groupBy("v", "w").agg(*each(lambda x: F.count_if(F.col("toxic") == int(x)), "c"))
+    pairs = staged(triples.groupBy("v", "w").agg(*each(lambda x: F.count_if(F.col("toxic") == int(x)), "c")), "pairs")
     capped = lambda c: F.least(c, F.lit(params.discount))
-    single = pairs.groupBy(F.col("w").alias("word")).agg(*each(lambda x: F.count_if(F.col(f"c{x}") > 0), "c"))
+    single = staged(pairs.groupBy(F.col("w").alias("word")).agg(*each(lambda x: F.count_if(F.col(f"c{x}") > 0), "c")), "words")
     history = pairs.groupBy(F.col("v").alias("word")).agg(*each(lambda x: F.sum(f"c{x}"), "h"), *each(lambda x: F.sum(capped(F.col(f"c{x}"))), "t"))
     vocab = single.join(history, "word", "left").na.fill(0)
     total = single.agg(
