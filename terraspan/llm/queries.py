@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from terraspan.llm import jaccard_join, language_id, packing, quality_rules, secret_scan, token_files, toxicity
+from terraspan.llm import jaccard_join, language_id, packing, quality_rules, secret_scan, token_files, toxicity, vector_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op1_ablations": quality_rules.op1_ablations,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_vector_dedup": vector_dedup.op3_vector_dedup,
     "op4_token_files": token_files.op4_token_files,
     "op5_language_id": language_id.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
