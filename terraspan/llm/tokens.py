@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 
@@ -16,8 +18,18 @@ import numpy as np
 RUN = re.compile(r"\s |\A ")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others for
+    the code points from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
+
+
 class Encoder:
-    """``encode(text)`` gives the ids as bytes, little-endian, two bytes each (both vocabularies have under 65,536)."""
+    """``encode_all(texts)`` gives each text's ids as bytes, little-endian, two bytes each (ids stay under 65,536)."""
+
+    letters = _byte_letters()
 
     def __init__(self, path: str, cache: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,32 +44,57 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, stretches: set[str]) -> None:
+        """Encode what is not known yet. A stretch that is one word goes straight to the library's model; no token
+        holds both a letter and the full stop or comma after it; all else takes the library's whole way."""
         new = [s for s in stretches if s not in self.known]
         if len(self.known) + len(new) > self.cache:
             self.known = {"": b""}
             new = list(stretches)
-        for s, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[s] = np.array(e.ids, dtype="<u2").tobytes()
+        known, model, rest, ends = self.known, self.library.model.tokenize, set(ENDS), []
+        for s in new:
+            if s.endswith(ENDS) and s[-2:-1].isalpha():
+                ends.append(s)
+                s = s[:-1]
+            if s not in known:
+                if self.one_word(s):
+                    word = s if s.isascii() and s[0] != " " else "".join([self.letters[b] for b in s.encode()])
+                    known[s] = array("H", [t.id for t in model(word)]).tobytes()
+                else:
+                    rest.add(s)
+        rest = list(rest)
+        for s, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+            known[s] = array("H", e.ids).tobytes()
+        for s in ends:
+            known[s] = known[s[:-1]] + known[s[-1]]
+
+    def one_word(self, s: str) -> bool:
+        raise NotImplementedError
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Null texts count as empty. Stretches are learnt for a few texts at a time, so the memory stays bounded."""
         out: list[bytes] = []
-        for start in range(0, len(texts), 256):
-            cut = [self.stretches(t or "") for t in texts[start : start + 256]]
+        for start in range(0, len(texts), 512):
+            cut = [self.stretches(t or "") for t in texts[start : start + 512]]
             self.learn(set().union(*cut))
-            known = self.known
-            out += [b"".join([known[s] for s in c]) for c in cut]
+            out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
         return out
 
     def stretches(self, text: str) -> list[str]:
         raise NotImplementedError
 
 
+ENDS = (",", ".")
+
+
 class WordEncoder(Encoder):
-    """For vocabularies that drop white space: no token crosses a space or a line feed."""
+    """For vocabularies that drop white space and case: no token crosses a space or a line feed."""
 
     def stretches(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+        return text.encode().lower().decode().replace("\n", " ").split(" ")  # ASCII letters only; the library folds the rest
+
+
+    def one_word(self, s: str) -> bool:
+        return s.isalpha() and (s.isascii() or (s == s.lower() and unicodedata.is_normalized("NFC", s)))
 
 
 class ByteEncoder(Encoder):
@@ -65,6 +102,9 @@ class ByteEncoder(Encoder):
 
     def stretches(self, text: str) -> list[str]:
         if RUN.search(text) is None:
-            first, *rest = text.split(" ")
-            return [first, *[" " + s for s in rest]]
+            first, *rest = text.replace(" ", "\0 ").split("\0") if "\0" not in text else re.split(r"(?= )", text)
+            return [first, *rest]
         return re.split(r"(?<=\S)(?= \S)", text)
+
+    def one_word(self, s: str) -> bool:
+        return s.isalpha() or (s[0] == " " and s[1:].isalpha())
