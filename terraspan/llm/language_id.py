@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,59 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model:
     return Model(langs, w.word.tolist(), rows(w), g.word.tolist(), rows(g, g.word.str.len().to_numpy()), params)
 
 
+class _Scorer:
+    """Languages and scores of texts; remembers words, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.m = model
+        self.gram_at = {g: i for i, g in enumerate(model.grams)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = {w: i for i, w in enumerate(self.m.words)}
+        self.new: list[np.ndarray] = []
+
+    def row(self, word: str) -> int:
+        at = self.known.get(word)
+        if at is None:
+            self.new.append(self.backoff(word))
+            at = self.known[word] = len(self.m.words) + len(self.new) - 1
+        return at
+
+    def backoff(self, word: str) -> np.ndarray:
+        marked = f"<{word}>"
+        for size in range(min(self.m.params.longest, len(marked)), 1, -1):
+            at = [k for i in range(len(marked) - size + 1) if (k := self.gram_at.get(marked[i : i + size])) is not None]
+            if at:
+                row = self.m.gram_rows[at].sum(0)
+                return row - row.max()
+        return np.zeros(len(self.m.langs), np.float32)
+
+    def __call__(self, texts: list) -> tuple[list[str], np.ndarray]:
+        p, n = self.m.params, len(self.m.langs)
+        if len(self.new) > p.cache:
+            self.forget()
+        lang, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        at: list[int] = []
+        parts: list[tuple[int, int, int]] = []
+        for i, text in enumerate(texts):
+            words = words_of(text) if n and isinstance(text, str) else []
+            if words and any(map(str.isalpha, words)):
+                parts.append((i, len(at), len(words)))
+                at += map(self.row, words)
+        if parts:
+            rows = np.concatenate([self.m.word_rows, np.array(self.new, np.float32).reshape(-1, n)])[np.array(at)]
+            total = np.add.reduceat(rows, [first for _, first, _ in parts], axis=0, dtype=np.float64)
+            size = np.array([k for _, _, k in parts], float)
+            z = total / size[:, None] * np.minimum(size, p.evidence)[:, None]
+            z = np.exp(z - z.max(1, keepdims=True))
+            best = z.argmax(1)
+            share = z[np.arange(len(best)), best] / z.sum(1)
+            for (i, _, _), b, s in zip(parts, best, share, strict=True):
+                lang[i], sure[i] = self.m.langs[b], s
+        return lang, sure
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (0 to 1) for every row.
 
@@ -90,54 +144,30 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        p, n = m.params, len(m.langs)
-        gram_at = {g: i for i, g in enumerate(m.grams)}
-
-        def backoff(word: str) -> np.ndarray:
-            marked = f"<{word}>"
-            for size in range(min(p.longest, len(marked)), 1, -1):
-                at = [k for i in range(len(marked) - size + 1) if (k := gram_at.get(marked[i : i + size])) is not None]
-                if at:
-                    row = m.gram_rows[at].sum(0)
-                    return row - row.max()
-            return np.zeros(n, np.float32)
-
-        class Known(dict):
-            def __missing__(self, word: str) -> int:
-                new.append(backoff(word))
-                self[word] = at = len(m.words) + len(new) - 1
-                return at
-
-        new: list[np.ndarray] = []
-        known = Known((w, i) for i, w in enumerate(m.words))
+        scorer = _Scorer(shared.value)
         for batch in batches:
-            if len(new) > p.cache:
-                new, known = [], Known((w, i) for i, w in enumerate(m.words))
-            lang, sure = [UNDETERMINED] * len(batch), np.zeros(len(batch))
-            at: list[int] = []
-            ends: list[tuple[int, int, int]] = []
-            for i, text in enumerate(batch["text"]):
-                words = words_of(text) if n and isinstance(text, str) else []
-                if words and any(map(str.isalpha, words)):
-                    first = len(at)
-                    at += map(known.__getitem__, words)
-                    ends.append((i, first, len(words)))
-            if ends:
-                rows = np.concatenate([m.word_rows, np.array(new, np.float32).reshape(-1, n)])[np.array(at)]
-                total = np.add.reduceat(rows, [first for _, first, _ in ends], axis=0, dtype=np.float64)
-                size = np.array([k for _, _, k in ends], float)
-                z = total / size[:, None] * np.minimum(size, p.evidence)[:, None]
-                z = np.exp(z - z.max(1, keepdims=True))
-                best = z.argmax(1)
-                share = z[np.arange(len(best)), best] / z.sum(1)
-                for (i, _, _), b, s in zip(ends, best, share, strict=True):
-                    lang[i], sure[i] = m.langs[b], s
+            lang, sure = scorer(batch["text"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": sure})
 
     return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, lang_pred string, score double")
 
 
+def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with a score of ``least`` or more, all columns as they are; every
+    row if the model knows no language."""
+    if not model.langs:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            lang, sure = scorer(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(lang, sure, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(fold_of(F.col("doc_id")) != 0))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,36 +117,43 @@ def _model(vocab: pd.DataFrame, pairs: pd.DataFrame, t: pd.Series, params: Param
     return Model(vocab["word"].tolist(), told(unigram), keys[order], told(logs["1"] - logs["0"])[order], 1.0, 0.0, params)
 
 
+class _Scorer:
+    """Differences of the two length-normalised log-likelihoods; 0 without words."""
+
+    def __init__(self, model: Model):
+        self.m, self.n = model, len(model.words)
+        self.at = {w: i for i, w in enumerate(model.words)}
+        self.keys = np.append(model.pair_keys, np.iinfo(np.int64).max)
+
+    def __call__(self, texts: list) -> np.ndarray:
+        ids: list[int] = []
+        ends = np.zeros(len(texts) + 1, np.int64)
+        for i, text in enumerate(texts):
+            if isinstance(text, str):
+                ids += [self.at.get(w, self.n) for w in words_of(text)]
+            ends[i + 1] = len(ids)
+        w = np.array(ids, np.int64)
+        value = self.m.unigram[w]
+        if len(w) > 1:
+            pair = w[:-1] * self.n + w[1:]
+            k = np.searchsorted(self.keys, pair)
+            hit = (self.keys[k] == pair) & (w[:-1] < self.n) & (w[1:] < self.n)
+            start = np.zeros(len(w), bool)
+            start[ends[:-1][ends[:-1] < len(w)]] = True
+            hit &= ~start[1:]
+            value[1:][hit] = self.m.pair_gain[k[hit]]
+        sums = np.append(0.0, np.cumsum(value))
+        return (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(np.diff(ends), 1) ** self.m.params.power
+
+
 def _ratios(docs: DataFrame, model: Model, *more: str) -> DataFrame:
-    """``doc_id``, ``more`` and ``ratio``, the difference of the two length-normalised log-likelihoods; 0 without words."""
+    """``doc_id``, ``more`` and ``ratio``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        n = len(m.words)
-        at = {w: i for i, w in enumerate(m.words)}
-        keys, gain = np.append(m.pair_keys, np.iinfo(np.int64).max), m.pair_gain
+        scorer = _Scorer(shared.value)
         for batch in batches:
-            ids: list[int] = []
-            ends = np.zeros(len(batch) + 1, np.int64)
-            for i, text in enumerate(batch["text"]):
-                if isinstance(text, str):
-                    ids += [at.get(w, n) for w in words_of(text)]
-                ends[i + 1] = len(ids)
-            w = np.array(ids, np.int64)
-            value = m.unigram[w]
-            if len(w) > 1:
-                pair = w[:-1] * n + w[1:]
-                k = np.searchsorted(keys, pair)
-                hit = (keys[k] == pair) & (w[:-1] < n) & (w[1:] < n)
-                start = np.zeros(len(w), bool)
-                start[ends[:-1][ends[:-1] < len(w)]] = True
-                hit &= ~start[1:]
-                value[1:][hit] = gain[k[hit]]
-            sums = np.append(0.0, np.cumsum(value))
-            size = np.maximum(np.diff(ends), 1)
-            ratio = (sums[ends[1:]] - sums[ends[:-1]]) / size**m.params.power
-            yield batch[["doc_id", *more]].assign(ratio=ratio)
+            yield batch[["doc_id", *more]].assign(ratio=scorer(batch["text"].tolist()))
 
     extra = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
     return docs.select("doc_id", "text", *more).mapInPandas(score, f"doc_id long{extra}, ratio double")
@@ -181,6 +189,22 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_ordinary(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` whose text is not predicted toxic, all columns as they are; every row without a model."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            ratio = scorer(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array(ratio * model_slope + model_shift < 0))
+
+    model_slope, model_shift = model.slope, model.shift
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def fit_labels(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model | None:
     """Fit on the rows of ``docs`` that ``labels`` (doc_id, toxic) covers, of remainders 1 to 4 only. ``labels`` is cut
     to a bounded sample of ids before it meets the texts, so that the texts are not moved. Of several labels of one
