@@ -15,7 +15,15 @@ BLANK = r"[\x09-\x0D\x20]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound Arrow batches by bytes, so that tasks in Python hold a few MB at a time however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +43,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a cut in the lineage that survives lost
     executors. Folders stay until the caller clears the shared folder."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/terraspan/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -52,7 +52,7 @@ def need(size, percent: int):
 class Shingler:
     """Sets of 64-bit shingle hashes. Words are hashed once each and remembered."""
 
-    def __init__(self, words: int, cache: int = 500_000):
+    def __init__(self, words: int, cache: int = 250_000):
         import xxhash
 
         self.words, self.cache, self.digest = words, cache, xxhash.xxh3_64_intdigest
@@ -114,7 +114,7 @@ def common_shingles(docs: DataFrame, params: Params) -> tuple[np.ndarray, np.nda
             for text in batch.column(0):
                 held.append(shingler.of(text.as_py()))
                 n += len(held[-1])
-                if n >= 3_000_000:
+                if n >= 1_000_000:
                     yield sent()
                     held, n = [], 0
         if n:
