@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraspan.llm import html_extract, jaccard_join, language_id, packing, quality_rules, secret_scan, token_files, toxicity, vector_dedup
+from terraspan.llm import html_extract, jaccard_join, language_id, packing, piece_sampling, quality_rules, secret_scan, token_files, toxicity, vector_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_piece_sampling": piece_sampling.op9_piece_sampling,
     "op10_html_extract": html_extract.op10_html_extract,
 }
 ORACLE = {**quality_rules.ORACLE, **secret_scan.ORACLE, **jaccard_join.ORACLE}
