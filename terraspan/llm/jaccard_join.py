@@ -9,9 +9,11 @@ global order, rare ones first; documents that link share a shingle among the fir
 3. Groups that share prefix shingles are counted against each other; pairs whose shared prefix and remaining sizes
    cannot reach the threshold fall away. Shingles that many groups hold are not paired there: each of their groups
    meets the first one only.
-4. The likeliest pairs are expanded to classes and verified on whole sets; components of verified links follow.
+4. The likeliest pairs are expanded to classes and verified on whole sets; components of verified links follow. So do
+   neighbours in those lists that are still of different components.
 5. Every other candidate pair between different components is expanded and verified too, so that no link that matters
-   to a component is lost. Components are settled once more.
+   to a component is lost; of the pairs in crowded lists, those that the measured distances from the list's first
+   group leave near enough. Components are settled once more.
 
 Nothing is sampled or capped. Sets are computed again from the text where they are needed, not kept for all documents.
 """
@@ -185,17 +187,21 @@ def _reachable(shared, a: str, b: str, percent: int):
 
 
 def _paired(lists: DataFrame, params: Params, *more: str) -> DataFrame:
-    """Pairs of groups (a < b) that share tokens, with the number ``c`` of tokens shared in ``lists``."""
+    """Pairs of groups (a < b) that share tokens, with the number ``c`` of tokens shared in ``lists``. Where there are
+    components, of different ones; where there are distances from the list's first group, only pairs that these leave
+    near enough, since Jaccard distances obey the triangle inequality."""
     side = lambda x: lists.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("g", "n", *more)])
     pairs = side("a").join(side("b"), "token").where(F.expr("a_g < b_g") & _close("a_n", "b_n", params.percent))
-    for c in more:
-        pairs = pairs.where(f"a_{c} <> b_{c}") if c == "component" else pairs
-    kept = [c for c in more if c != "component"]
+    if "component" in more:
+        pairs = pairs.where("a_component <> b_component")
+    if "far" in more:
+        pairs = pairs.where(F.abs(F.col("a_far") - F.col("b_far")) <= 1 - params.percent / 100 + 1e-9)
+    kept = [c for c in more if c not in ("component", "far")]
     return pairs.groupBy("a_g", "b_g", "a_n", "b_n", *[f"{x}_{c}" for c in kept for x in "ab"]).agg(F.count("*").alias("c"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
-    """The pairs (a, b of classes) that link, on whole sets."""
+def _measured(pairs: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
+    """The pairs (a, b of classes) with the Jaccard distance of their whole sets and whether they link."""
     pairs = staged(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
@@ -205,21 +211,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
             each = [shingler.of(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each, pa.binary())], ["id", "set"])
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(i) for i in (2, 3))
-            keep = []
+            far, linked = [], []
             for k in range(batch.num_rows):
                 p, q = (np.frombuffer(s[k].as_buffer(), np.uint64) for s in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append((100 + params.percent) * both >= params.percent * (len(p) + len(q)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                far.append(1 - both / (len(p) + len(q) - both))
+                linked.append((100 + params.percent) * both >= params.percent * (len(p) + len(q)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "far", "linked"])
 
     texts = docs.select("doc_id", "text").join(checked_broadcast(ids, ids.count()), "doc_id")
     own = staged(texts.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"]), "sets")
     with_a = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a")
     with_b = with_a.join(own.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b").select("a", "b", "a_set", "b_set")
-    return staged(with_b.mapInArrow(linked, "a long, b long"), "links")
+    return staged(with_b.mapInArrow(compared, "a long, b long, far double, linked boolean"), "compared")
 
 
 # ---- the operator ----------------------------------------------------------------------------------------------------
@@ -238,8 +245,8 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     groups = classes.groupBy("sig").agg(F.min("node").alias("g"), F.count("*").alias("classes"))
     classes = staged(classes.join(groups, "sig").select("node", "g", "n", "classes", "set_hash"), "classes")
 
-    reps = classes.where("node = g").select("g")
-    tokens = rows.join(reps, rows.doc_id == reps.g).dropDuplicates(["g"]).select("g", "n", F.explode("prefix").alias("token"))
+    reps = classes.where("node = g").select(F.col("g").alias("doc_id"))
+    tokens = rows.join(checked_broadcast(reps, reps.count()), "doc_id").select(F.col("doc_id").alias("g"), "n", F.explode("prefix").alias("token"))
     held = tokens.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1")
     lists = staged(held, "lists")
     crowded = lists.where(F.col("held") > params.crowded)
@@ -252,20 +259,34 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     # First the likeliest: every group with the partner it shares most with, with the first group of each crowded list,
     # and every class with its group's first.
     best = pairs.groupBy("b_g").agg(F.max_by("a_g", F.struct("c", -F.col("a_g"))).alias("a")).select("a", F.col("b_g").alias("b"))
-    hub = crowded.groupBy("token").agg(F.min(F.struct("g", "n")).alias("hub"))
-    stars = crowded.join(hub, "token").where(F.expr("g <> hub.g") & _close("n", "hub.n", params.percent)).select(F.col("hub.g").alias("a"), F.col("g").alias("b"))
+    hubs = crowded.groupBy("token").agg(F.min("g").alias("hub"))
+    stars = crowded.join(hubs, "token").where("g <> hub").select(F.col("hub").alias("a"), F.col("g").alias("b"))
     inner = classes.where("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))
-    links = _verified(best.unionByName(stars).unionByName(inner), docs, params)
+    near = _measured(best.unionByName(stars).unionByName(inner), docs, params)
+    links = near.where("linked").select("a", "b")
     first = components(links)
 
+    # Groups that a crowded list leaves outside the others' components meet their neighbours there, in an order that
+    # differs from list to list.
+    def mixed_lists(found: DataFrame) -> DataFrame:
+        label = found.select(F.col("node").alias("g"), "component")
+        labelled = crowded.join(label, "g", "left").withColumn("component", F.coalesce("component", "g"))
+        mixed = labelled.groupBy("token").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("token")
+        return labelled.join(mixed, "token", "left_semi")
+
+    shuffled = Window.partitionBy("token").orderBy(F.xxhash64("token", "g"))
+    beside = mixed_lists(first).select("g", "component", F.lag(F.struct("g", "component")).over(shuffled).alias("other"))
+    beside = beside.where("other.component <> component").select(F.col("other.g").alias("a"), F.col("g").alias("b"))
+    links = links.unionByName(_measured(beside, docs, params).where("linked").select("a", "b"))
+    first = staged(components(links), "components")
+
     # Then all that is left between different components.
     placed = classes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = staged(placed, "placed")
-    of_group = placed.where("node = g").select("g", "component", "n", "classes")
-    label = of_group.select("g", "component", "classes")
-    open_lists = crowded.join(label, "g").withColumn("own", F.col("component"))
-    mixed = open_lists.groupBy("token").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("token")
-    late = _paired(open_lists.join(mixed, "token", "left_semi"), params, "component")
+    label = placed.where("node = g").select("g", "component", "classes")
+    spoke = near.select(F.col("a").alias("hub"), F.col("b").alias("g"), "far")
+    spread = mixed_lists(first).join(hubs, "token").join(spoke, ["hub", "g"], "left").withColumn("far", F.when(F.col("g") == F.col("hub"), 0.0).otherwise(F.col("far")))
+    late = _paired(spread, params, "component", "far")
     late = late.where(_reachable(F.col("c"), "a_n", "b_n", params.percent)).select("a_g", "b_g")
     # Groups of several classes: components of their classes may differ although the first classes' do not.
     a, b = (label.select(F.col("g").alias(f"{x}_g"), F.col("component").alias(f"{x}_c"), F.col("classes").alias(f"{x}_k")) for x in "ab")
@@ -274,7 +295,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     wanted = early.unionByName(late).unionByName(several).distinct()
     member = lambda x: placed.select(F.col("g").alias(f"{x}_g"), F.col("node").alias(x), F.col("component").alias(f"{x}_c"))
     rest = wanted.join(member("a"), "a_g").join(member("b"), "b_g").where("a_c <> b_c").select("a", "b")
-    more = _verified(rest, docs, params)
+    more = _measured(rest, docs, params).where("linked").select("a", "b")
     a, b = (first.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in "ab")
     joined = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
     second = components(joined).select(F.col("node").alias("component"), F.col("component").alias("final"))
