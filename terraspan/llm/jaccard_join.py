@@ -93,12 +93,16 @@ class Shingler:
 # ---- the global order ------------------------------------------------------------------------------------------------
 
 
+def segment_bits(docs: DataFrame) -> int:
+    return max(4, (4 * docs.rdd.getNumPartitions() - 1).bit_length())  # an empty plan may have no partition
+
+
 def common_shingles(docs: DataFrame, params: Params) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (their upper bits, sorted) of the shingles in the most documents, and their numbers of documents.
 
     All shingles of all documents are counted. Tasks send sorted runs of 32-bit keys for each segment of the hash
     space; the number of segments follows the number of scan tasks, so a segment stays bounded."""
-    bits = max(4, int(np.ceil(np.log2(4 * docs.rdd.getNumPartitions()))))
+    bits = segment_bits(docs)
     low = np.uint64(64 - bits - 32)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +148,7 @@ DESCRIBED = "doc_id long, n long, set_hash binary, sig binary, prefix array<long
 def described(docs: DataFrame, params: Params) -> DataFrame:
     """Size, hash of the set, prefix and hash of prefix and size of each document; written to the shared folder."""
     keys, df = common_shingles(docs, params)
-    bits = max(4, int(np.ceil(np.log2(4 * docs.rdd.getNumPartitions()))))
+    bits = segment_bits(docs)
     mask = np.uint64((1 << 64) - (1 << (32 - bits)))
     shared = docs.sparkSession.sparkContext.broadcast((keys, df))
 
