@@ -190,17 +190,22 @@ def _reachable(shared, a: str, b: str, percent: int):
     return (100 + percent) * (shared + F.greatest(rest(a), rest(b))) >= percent * (F.col(a) + F.col(b))
 
 
+#: Whether some class of group a and some class of group b are of different components.
+UNLIKE = "a_low <> b_low or a_high <> b_high or a_low <> a_high"
+
+
 def _paired(lists: DataFrame, params: Params, *more: str) -> DataFrame:
     """Pairs of groups (a < b) that share tokens, with the number ``c`` of tokens shared in ``lists``. Where there are
-    components, of different ones; where there are distances from the list's first group, only pairs that these leave
+    components (the least and the largest of a group's classes: low, high), not where all classes of both are of one; where
+    there are distances of a group's classes from the list's first document (nearest, far), only pairs that these leave
     near enough, since Jaccard distances obey the triangle inequality."""
     side = lambda x: lists.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("g", "n", *more)])
     pairs = side("a").join(side("b"), "token").where(F.expr("a_g < b_g") & _close("a_n", "b_n", params.percent))
-    if "component" in more:
-        pairs = pairs.where("a_component <> b_component")
+    if "low" in more:
+        pairs = pairs.where(UNLIKE)
     if "far" in more:
-        pairs = pairs.where(F.abs(F.col("a_far") - F.col("b_far")) <= 1 - params.percent / 100 + 1e-9)
-    kept = [c for c in more if c not in ("component", "far")]
+        pairs = pairs.where(F.greatest(F.expr("a_nearest - b_far"), F.expr("b_nearest - a_far")) <= 1 - params.percent / 100 + 1e-9)
+    kept = [c for c in more if c not in ("low", "high", "nearest", "far")]
     return pairs.groupBy("a_g", "b_g", "a_n", "b_n", *[f"{x}_{c}" for c in kept for x in "ab"]).agg(F.count("*").alias("c"))
 
 
@@ -260,11 +265,12 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     pairs = _paired(some, params, "many")
     pairs = staged(pairs.where(_reachable(F.col("c") + F.least("a_many", "b_many"), "a_n", "b_n", params.percent)), "candidates")
 
-    # First the likeliest: every group with the partner it shares most with, with the first group of each crowded list,
-    # and every class with its group's first.
+    # First the likeliest: every group with the partner it shares most with, every class with the first group of each
+    # crowded list and with its own group's first.
     best = pairs.groupBy("b_g").agg(F.max_by("a_g", F.struct("c", -F.col("a_g"))).alias("a")).select("a", F.col("b_g").alias("b"))
     hubs = crowded.groupBy("token").agg(F.min("g").alias("hub"))
-    stars = crowded.join(hubs, "token").where("g <> hub").select(F.col("hub").alias("a"), F.col("g").alias("b"))
+    spokes = crowded.join(hubs, "token").where("g <> hub").select("hub", "g").distinct()
+    stars = spokes.join(classes.select("g", "node"), "g").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     inner = classes.where("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))
     near = _measured(best.unionByName(stars).unionByName(inner), docs, params)
     links = near.where("linked").select("a", "b")
@@ -272,29 +278,38 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
     # Groups that a crowded list leaves outside the others' components meet their neighbours there, in an order that
     # differs from list to list.
-    def mixed_lists(found: DataFrame) -> DataFrame:
-        label = found.select(F.col("node").alias("g"), "component")
-        labelled = crowded.join(label, "g", "left").withColumn("component", F.coalesce("component", "g"))
-        mixed = labelled.groupBy("token").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("token")
+    def placed_in(found: DataFrame) -> DataFrame:
+        return classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def labels(placed: DataFrame) -> DataFrame:
+        """The component of each group's first class, and the least and the largest one of all its classes."""
+        own = F.max(F.when(F.col("node") == F.col("g"), F.col("component")))
+        return placed.groupBy("g").agg(own.alias("component"), F.min("component").alias("low"), F.max("component").alias("high"))
+
+    def mixed_lists(label: DataFrame) -> DataFrame:
+        labelled = crowded.join(label, "g")
+        mixed = labelled.groupBy("token").agg((F.min("low") != F.max("high")).alias("mixed")).where("mixed").select("token")
         return labelled.join(mixed, "token", "left_semi")
 
     shuffled = Window.partitionBy("token").orderBy(F.xxhash64("token", "g"))
-    beside = mixed_lists(first).select("g", "component", F.lag(F.struct("g", "component")).over(shuffled).alias("other"))
+    beside = mixed_lists(labels(placed_in(first))).select("g", "component", F.lag(F.struct("g", "component")).over(shuffled).alias("other"))
     beside = beside.where("other.component <> component").select(F.col("other.g").alias("a"), F.col("g").alias("b"))
     links = links.unionByName(_measured(beside, docs, params).where("linked").select("a", "b"))
     first = staged(components(links), "components")
 
-    # Then all that is left between different components.
-    placed = classes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = staged(placed, "placed")
-    label = placed.where("node = g").select("g", "component", "classes")
-    spoke = near.select(F.col("a").alias("hub"), F.col("b").alias("g"), "far")
-    spread = mixed_lists(first).join(hubs, "token").join(spoke, ["hub", "g"], "left").withColumn("far", F.when(F.col("g") == F.col("hub"), 0.0).otherwise(F.col("far")))
-    late = _paired(spread, params, "component", "far")
+    # Then all that is left between different components. Classes of one group may differ in component and in distance,
+    # so a group is judged by the ranges of both over all its classes.
+    placed = staged(placed_in(first), "placed")
+    label = labels(placed)
+    spoke = near.select(F.col("a").alias("hub"), F.col("b").alias("node"), "far").join(classes.select("node", "g"), "node")
+    spoke = spoke.groupBy("hub", "g").agg(F.min("far").alias("nearest"), F.max("far").alias("far"))
+    spread = mixed_lists(label).join(hubs, "token").join(spoke, ["hub", "g"], "left")
+    itself = F.col("g") == F.col("hub")
+    spread = spread.withColumn("nearest", F.when(itself, 0.0).otherwise(F.col("nearest"))).withColumn("far", F.when(itself, F.coalesce("far", F.lit(0.0))).otherwise(F.col("far")))
+    late = _paired(spread, params, "low", "high", "nearest", "far")
     late = late.where(_reachable(F.col("c"), "a_n", "b_n", params.percent)).select("a_g", "b_g")
-    # Groups of several classes: components of their classes may differ although the first classes' do not.
-    a, b = (label.select(F.col("g").alias(f"{x}_g"), F.col("component").alias(f"{x}_c"), F.col("classes").alias(f"{x}_k")) for x in "ab")
-    early = pairs.join(a, "a_g").join(b, "b_g").where("a_c <> b_c or a_k > 1 or b_k > 1").select("a_g", "b_g")
+    a, b = (label.select(F.col("g").alias(f"{x}_g"), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high")) for x in "ab")
+    early = pairs.join(a, "a_g").join(b, "b_g").where(UNLIKE).select("a_g", "b_g")
     several = placed.where("classes > 1").select(F.col("g").alias("a_g"), F.col("g").alias("b_g")).distinct()
     wanted = early.unionByName(late).unionByName(several).distinct()
     member = lambda x: placed.select(F.col("g").alias(f"{x}_g"), F.col("node").alias(x), F.col("component").alias(f"{x}_c"))

@@ -75,6 +75,25 @@ def test_join_against_brute_force(spark, seed, crowded):
     assert got == {i: (len(s), links.find(i)) for i, s in enumerate(own)}
 
 
+def test_join_of_classes_in_crowded_lists(spark):
+    """Groups of two unlike classes, whose first ones are of another component or at another distance than the others."""
+    rng = random.Random(4)
+    passage = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    head, tail, x1, x2 = passage(60), passage(20), passage(60), passage(60)
+    texts = {i: [*head, *tail, *x1, f"own{i}"] for i in range(40)}
+    texts |= {100: [*head, *tail, *x1], 200: [*head, *tail, *x2], 101: ["z", *head, *tail, *x1], 201: ["z", *head, *tail, *x2], 300: [*head, *tail, *x2, "own"]}
+    texts |= {1000 + i: [*tail[-4:], *(x1, x2)[i % 2], *passage(100)] for i in range(140)}  # so that x1 and x2 come last in the order
+    own, links = {i: shingles(" ".join(t)) for i, t in texts.items()}, Sets()
+    for a in own:
+        links.find(a)
+        for b in own:
+            if a < b and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
+                links.join(a, b)
+    assert [links.find(i) for i in (100, 101, 200, 201, 300)] == [0, 0, 200, 200, 200]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in J.near_duplicates(df).collect()} == {i: links.find(i) for i in own}
+
+
 def test_join_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert J.near_duplicates(df).count() == 0 and J.keep_one(df).columns == df.columns
