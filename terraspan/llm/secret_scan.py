@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,14 @@ RULES = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
 )
 
+#: A private key from its first line on: up to the END line or, if there is none before the next BEGIN, over header fields and
+#: lines in base64. The gaps between lines may be white space, line ends written as \\n, and signs of quoting.
+_GAP = r"""(?:[\s>|"',]|\\[nrt])+"""
+_BODY = rf"""(?:{_GAP}(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:{_GAP}[A-Za-z0-9+/]{{16,}}={{0,2}})*(?:{_GAP}[A-Za-z0-9+/]+={{1,2}}|(?:[^\S\n]*\n|\\n)[\x20\t>|]*[A-Za-z0-9+/]+(?=["',\x20\t\r]*(?:\n|\\n|\Z)))?"""
+WHOLE_KEY = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:(?!-----BEGIN |-----END [A-Z ]*PRIVATE KEY-----)-[^-]*)*-----END [A-Z ]*PRIVATE KEY-----|{_BODY})"
+#: The rules of redaction. The spans that :func:`find_secrets` lists mark a private key by its first line alone, as the SQL does.
+MASKED = tuple(replace(r, pattern=WHOLE_KEY) if r.kind == "private_key" else r for r in RULES)
+
 
 # ---- trigram queries -------------------------------------------------------------------------------------------------
 
@@ -221,9 +229,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     return picked.mapInArrow(shards, f"id {id_type}, secrets {SPANS}").withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[{}]") -> DataFrame:
-    """``docs`` with every secret of ``text`` replaced by its kind. Overlapping spans are masked as one, under the
-    kind that starts first. Rows, their number and all other columns stay; a null text stays null; ``n_chars``, if
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = MASKED, mask: str = "[{}]") -> DataFrame:
+    """``docs`` with every secret of ``text`` replaced by its kind, private keys with their bodies. Overlapping spans
+    are masked as one, under the kind that starts first. Rows, their number and all other columns stay; a null text stays null; ``n_chars``, if
     there, follows the new text."""
     schema = docs.schema
 

@@ -93,3 +93,28 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "token = abcdefgh end", "en", 20), (2, None, None, 7), (3, "clean", "en", 5)], "doc_id long, text string, lang string, n_chars long")
     got = {r.doc_id: r for r in S.redact(df).collect()}
     assert got[1].text == "[assign] end" and got[1].n_chars == 12 and got[2].text is None and got[2].n_chars == 7 and got[3].text == "clean"
+
+
+def test_redaction_of_whole_private_keys(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + "aB3/" * 12, "k9Qz+" * 12 + "wxyz", "Zm9vYmFyYmF6cXV4", "0bQ="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    whole = "\n".join([begin, *lines, end])
+    texts = {
+        f"a {whole} b": "a [private_key] b",
+        f"a {whole}\n{whole}\nb": "a [private_key]\n[private_key]\nb",
+        "a " + whole.replace("\n", "\\n") + " b": "a [private_key] b",
+        f"{begin}\r\n{fields}" + "\r\n".join(lines) + f"\r\n{end}": "[private_key]",
+        "a " + "\n".join([begin, *lines]) + "\nplain words follow - here": "a [private_key]\nplain words follow - here",
+        f"{begin}\n{fields}" + "\n".join([*lines[:3], "AbC9"]) + "\n\nplain words": "[private_key]\n\nplain words",
+        "\n".join([begin, *lines]) + f"\nplain - words\n{whole}": "[private_key]\nplain - words\n[private_key]",
+        " ".join([begin, *lines]) + " plain": "[private_key] plain",
+        f"the line {begin} is no key": "the line [private_key] is no key",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in S.redact(df).collect()}
+    assert got == dict(enumerate(texts.values()))
+    first = S.find_secrets(df.where("doc_id = 0")).first().secrets[0]
+    assert (first.kind, first.start, first.end) == ("private_key", 2, 2 + len(begin))  # as in the SQL
+    assert all(S.trigram_query(r.pattern) == S.trigram_query(m.pattern) for r, m in zip(S.RULES, S.MASKED, strict=True) if r.kind != "private_key")
+    assert {"-----begin "[i : i + 3] for i in range(9)} <= S.trigrams_of(S.trigram_query(S.WHOLE_KEY))
