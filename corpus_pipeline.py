@@ -5,7 +5,8 @@ columns of ``documents``. Toxic documents, documents without a recognisable lang
 of each group of near-duplicates go; secrets are masked in the text; what is left is packed into sequences.
 
 Labels for the toxicity model come from ``sf_dir``; the language model learns from the ``lang`` of the rows that reach
-its stage. Rows with a null doc_id are kept like others: no stage decides by the id alone.
+its stage. Rows with a null doc_id are kept like others: no stage decides by the id alone. Of rows that repeat a
+doc_id and its text one stays, as of other exact copies.
 """
 
 from __future__ import annotations

@@ -21,6 +21,7 @@ Nothing is sampled or capped. Sets are computed again from the text where they a
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -327,9 +328,34 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """``docs`` without all but the first document (smallest doc_id) of each component; all columns stay."""
-    found = near_duplicates(docs, params)
-    return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` without all but the first document (smallest doc_id) of each component; all columns stay.
+
+    Every row is a document of its own: one with a null doc_id comes after those with one, and so does every row but one
+    of a repeated doc_id. They are kept unless their component holds a document before them. Rows that repeat a doc_id
+    and its text come out once, also without words; unlike texts under one doc_id all stay."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select("doc_id")
+    odd_ids = staged(ids, "odd_ids")
+    n_odd = odd_ids.count()
+    mark = uuid.uuid4().hex
+    plain, key, own = docs, f"key_{mark}", f"own_{mark}"
+    if n_odd:
+        repeated = checked_broadcast(odd_ids.where("doc_id is not null"), n_odd)
+        plain = docs.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select(*docs.columns)
+        odd = docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+        odd = staged(odd.withColumn(key, F.monotonically_increasing_id()), "odd_rows")
+        last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+        owners = odd.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(own)).agg(F.min(key).alias(key))
+        odd = odd.join(owners, key, "left").withColumn(key, F.coalesce(own, F.col(key) + F.lit(-1 if last is None else last) + 1)).drop(own)
+        odd = staged(odd, "odd_rows")
+    keyed = plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if n_odd:
+        keyed = keyed.unionByName(odd.select(F.col(key).alias("doc_id"), "text"))
+    found = near_duplicates(keyed, params).where("doc_id = component_id").select("doc_id").distinct()
+    if not n_odd:
+        return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    found = staged(found, "kept")
+    others = odd.join(found.select(F.col("doc_id").alias(key)), key, "left_semi")
+    return plain.join(found, "doc_id", "left_semi").select(*docs.columns).unionByName(others.select(*docs.columns))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -94,6 +94,17 @@ def test_join_of_classes_in_crowded_lists(spark):
     assert {r.doc_id: r.component_id for r in J.near_duplicates(df).collect()} == {i: links.find(i) for i in own}
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    base = [f"w{i}" for i in range(40)]
+    one, near, other, third = " ".join(base), " ".join([*base, "x"]), " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    rows = [(5, one, "a"), (5, one, "a"), (9, one, "b"), (None, near, "c"), (None, other, "d"), (None, other, "d"), (7, third, "e"), (7, "unlike text", "f"), (8, None, "g"), (8, None, "g"), (None, None, "h"), (11, "alone", "i"), (12, near, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = J.keep_one(df)
+    assert got.columns == df.columns
+    want = [(5, one, "a"), (None, other, "d"), (7, third, "e"), (7, "unlike text", "f"), (8, None, "g"), (None, None, "h"), (11, "alone", "i")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_join_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert J.near_duplicates(df).count() == 0 and J.keep_one(df).columns == df.columns
