@@ -6,6 +6,11 @@ rest into the next window. The counter of queue q before window w is the fractio
 behind, so what a queue has emitted before any window is known in closed form: tasks place their documents without
 waiting for each other, and deficits carry across windows and partitions exactly.
 
+Sources beyond the largest ones are sub-queues of one shared queue. There deficit round-robin goes by whole documents:
+each source's documents have times at which its counter affords them, in closed form again, and the shared queue holds
+them in the order of these times. So every stretch of it holds each source's part to about one document, tokens of a
+rare source are not scattered one by one, and nothing about these sources is held in one place.
+
 Windows follow each other and are cut into sequences every ``length`` ids. What is left at the very end fills
 sequences of powers of two, so nothing is padded.
 """
@@ -30,12 +35,10 @@ from terraspan.llm.tokens import ByteEncoder
 class Params:
     length: int = 1024  # ids in a sequence
     window: int = 64  # sequences in a window, about
-    queues: int = 256  # sources with a queue of their own, the largest ones; the others share one
+    queues: int = 256  # sources with a queue of their own, the largest ones and all that the mixture names; the others share one
     end_id: int = 0
 
 
-REST = "\x00rest"  # the shared queue's name; names of sources are prefixed, so none clashes
-
 
 @dataclass(frozen=True)
 class Plan:
@@ -87,8 +90,9 @@ class Plan:
 
 
 def encoded(docs: DataFrame, tokenizer: str, sources: list[str | None], params: Params) -> DataFrame:
-    """Ids of each document with its queue, its scan task and its place in that task's part of the queue, written to
-    the shared folder so that places cannot change. A queue takes its documents in the order of tasks and rows."""
+    """Ids of each document with its queue, its source if that has no queue of its own, its scan task and its place in
+    that task's part of the queue, written to the shared folder so that places cannot change. A queue takes its documents
+    in the order of tasks and rows."""
     number = {s: i for i, s in enumerate(sources)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,16 +103,38 @@ def encoded(docs: DataFrame, tokenizer: str, sources: list[str | None], params:
             for start in range(0, batch.num_rows, 512):
                 rows = batch.slice(start, 512)
                 ids = [x + end for x in encoder.encode_all(rows.column(1).to_pylist())]
-                queue = [number.get(s, len(sources)) for s in rows.column(2).to_pylist()]
+                names = rows.column(2).to_pylist()
+                queue = [number.get(s, len(sources)) for s in names]
+                names = [s if q == len(sources) else None for s, q in zip(names, queue, strict=True)]
                 before = []
                 for q, x in zip(queue, ids, strict=True):
                     before.append(done[q])
                     done[q] += len(x) // 2
-                arrays = [rows.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(queue, pa.int32()), pa.array(before, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "part", "queue", "before", "n", "ids"])
+                arrays = [rows.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(queue, pa.int32()), pa.array(before, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(names, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "part", "queue", "before", "n", "ids", "source"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    return staged(rows.mapInArrow(encode, "doc_id long, part int, queue int, before long, n long, ids binary"), "packing")
+    return staged(rows.mapInArrow(encode, "doc_id long, part int, queue int, before long, n long, ids binary, source string"), "packing")
+
+
+def shared_places(rest: DataFrame, alike: bool) -> DataFrame:
+    """``part`` and ``before`` of the shared queue's documents, and ``first``, their first token's place in that queue.
+
+    A source's document is due when a fraction of it (the source's own, from a hash, so that sources of one document do
+    not all come at once) and all before it are paid for. alike: every source is paid alike, else in proportion to its
+    tokens. Documents are sorted by range and places are sums over ranges, so no task holds all."""
+    own = Window.partitionBy("source")
+    earlier = own.orderBy("part", "before").rowsBetween(Window.unboundedPreceding, -1)
+    phase = (F.pmod(F.xxhash64("source"), F.lit(1 << 24)) + 0.5) / float(1 << 24)
+    paid = F.coalesce(F.sum("n").over(earlier), F.lit(0)) + phase * F.col("n")
+    due = rest.select("part", "before", "n", "source", (paid if alike else paid / F.sum("n").over(own)).alias("due"))
+    ranges = staged(due.repartitionByRange("due", "source", "part", "before").withColumn("range", F.spark_partition_id()), "packing_due")
+    totals = ranges.groupBy("range").agg(F.sum("n").alias("total"))
+    lower = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = totals.select("range", F.coalesce(F.sum("total").over(lower), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("range").orderBy("due", "source", "part", "before").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(base), "range")
+    return staged(placed.select("part", "before", (F.col("base") + F.col("inside")).alias("first")), "packing_places")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int, window_id long"
@@ -118,11 +144,12 @@ def pack(docs: DataFrame, tokenizer: str, params: Params = Params(), mixture: di
     """Pieces of all documents (doc_id, text, source): see ``PIECES``.
 
     mixture: wanted share of each source; sources it leaves out share what it leaves over (in equal parts, 0 if it adds
-    up to 1). None: the corpus' own shares. A null or empty text is the end id alone; a null source is a queue like
+    up to 1); a source it names has a queue of its own whatever its rank. None: the corpus' own shares. A null or empty text is the end id alone; a null source is a queue like
     others. Repeated rows are packed each. No row in, no row out.
     """
     sizes = docs.groupBy("source").count().orderBy(F.desc("count"), F.col("source").asc_nulls_first()).limit(params.queues)
     sources = [r["source"] for r in sizes.collect()]
+    sources += [s for s in mixture or () if s not in set(sources)]
     ids = encoded(docs, tokenizer, sources, params)
     by_part = ids.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,11 +157,12 @@ def pack(docs: DataFrame, tokenizer: str, params: Params = Params(), mixture: di
     totals = [0] * (len(sources) + 1)  # the queues' number is bounded
     for r in by_part.groupBy("queue").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).collect():
         totals[r["queue"]] = r["n"]
-    shares = None
+    shares, rest = None, ids.where(F.col("queue") == len(sources))
     if mixture is not None:
-        left_out = [s for s in [*sources, REST] if s not in mixture]
-        spare = max(0.0, 1.0 - sum(mixture.get(s, 0.0) for s in sources)) / max(1, len(left_out))
-        shares = [max(mixture.get(s, spare), 1e-6) for s in [*sources, REST]]
+        sharing = rest.select("source").distinct().count()
+        left_out = sum(s not in mixture for s in sources) + sharing
+        spare = max(0.0, 1.0 - sum(mixture.values())) / max(1, left_out)
+        shares = [*[max(mixture.get(s, spare), 1e-6) for s in sources], max(spare, 1e-6) * max(1, sharing)]
     plan = Plan.of(totals, shares, params)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +190,12 @@ def pack(docs: DataFrame, tokenizer: str, params: Params = Params(), mixture: di
             columns = zip(*out, strict=True) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if x == "queue" else pa.int64()) for x, c in zip(names, columns, strict=True)], names)
 
-    placed = ids.join(checked_broadcast(base, by_part.count()), ["queue", "part"])
-    return placed.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids").mapInArrow(pieces, PIECES)
+    columns = ["doc_id", "queue", "first", "n", "ids"]
+    own = ids.where(F.col("queue") < len(sources)).join(checked_broadcast(base, by_part.count()), ["queue", "part"])
+    placed = own.withColumn("first", F.col("base") + F.col("before")).select(*columns)
+    if totals[-1]:
+        placed = placed.unionByName(rest.join(shared_places(rest, mixture is not None), ["part", "before"]).select(*columns))
+    return placed.mapInArrow(pieces, PIECES)
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:

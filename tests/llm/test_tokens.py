@@ -96,6 +96,38 @@ def test_packing(spark, mixture):
     assert packing.pack(df.limit(0), BYTE).count() == 0
 
 
+def shared_queue(spark, mixture):
+    rows = [(i, " ".join(["word"] * (5 + i % 7)), "big") for i in range(300)]
+    rows += [(1000 + 100 * k + i, " ".join(["word"] * (4 + i % 5)), f"tail{k}" if k else None) for k in range(4) for i in range(80)]
+    rows += [(2000 + i, "word word", f"single{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3)
+    return packing.pack(df, BYTE, packing.Params(length=16, window=8, queues=1), mixture).toPandas(), {r[0]: r[2] for r in rows}
+
+
+def test_packing_keeps_shares_in_the_shared_queue(spark):
+    got, source = shared_queue(spark, None)
+    assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all() and set(got.doc_id) == set(source)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset == g.length.cumsum() - g.length).all()
+    got["source"] = got.doc_id.map(source).fillna("none")
+    tail = got[got.queue == 1]
+    by = tail.groupby(["window_id", "source"]).length.sum().unstack(fill_value=0)
+    part = by.sum(axis=1).cumsum() / by.sum().sum()
+    for s in ("none", "tail1", "tail2", "tail3"):
+        assert (by[s].cumsum() - part * by[s].sum()).abs().max() < 30  # about a document or two of 9 to 17 tokens
+    singles = by[[c for c in by if c.startswith("single")]].sum(axis=1)
+    assert (singles.cumsum() - part * singles.sum()).abs().max() < 40
+
+
+def test_packing_honours_a_mixture_beyond_the_largest_sources(spark):
+    got, source = shared_queue(spark, {"big": 0.5, "tail2": 0.3, "absent": 0.1})
+    assert set(got.doc_id) == set(source)
+    first = got[got.window_id == 0]
+    shares = first.groupby(first.doc_id.map(source).fillna("none")).length.sum() / first.length.sum()
+    assert shares["tail2"] == pytest.approx(0.3 / 0.9, abs=0.02)  # the absent source's queue is dry from the start
+    assert first[first.doc_id.map(source) == "tail2"].queue.nunique() == 1 and got[got.doc_id.map(source) == "tail2"].queue.iloc[0] == 1
+
+
 def test_samples(spark):
     texts = [None, "", " ", "Hello  world\nfoo é 日本 \t x", "  lead", "🙂".encode("utf-16", "surrogatepass").decode("utf-16") + " a", "word " * 5000, "ab"]
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, sample int")
