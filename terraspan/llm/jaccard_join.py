@@ -9,11 +9,12 @@ global order, rare ones first; documents that link share a shingle among the fir
 3. Groups that share prefix shingles are counted against each other; pairs whose shared prefix and remaining sizes
    cannot reach the threshold fall away. Shingles that many groups hold are not paired there: each of their groups
    meets the first one only.
-4. The likeliest pairs are expanded to classes and verified on whole sets; components of verified links follow. So do
-   neighbours in those lists that are still of different components.
-5. Every other candidate pair between different components is expanded and verified too, so that no link that matters
-   to a component is lost; of the pairs in crowded lists, those that the measured distances from the list's first
-   group leave near enough. Components are settled once more.
+4. The likeliest pairs are expanded to classes and verified on whole sets; components of verified links follow. Members
+   of crowded lists then meet another one of their list, which joins most of what belongs together.
+5. What is left are lists whose classes are still of different components: crowded shingles, large groups, and pairs of
+   large groups. Each is dealt in tiles of bounded size: the classes outside the list's largest component meet each
+   other and that component's, and a tile counts their overlaps on whole sets with one matrix product. It hands on the
+   components that its links join, not the links, so nothing grows with the square of a list's length but that product.
 
 Nothing is sampled or capped. Sets are computed again from the text where they are needed, not kept for all documents.
 """
@@ -42,6 +43,8 @@ class Params:
     frequent: int = 8  # documents from which a shingle may come last in the order
     most_frequent: int = 500_000  # shingles that come last at most, the commonest ones; they are broadcast
     crowded: int = 32  # groups from which a shingle's groups are not all paired at first
+    pairs: int = 16  # pairs of classes up to which a pair of groups is expanded into pairs and not into a list
+    tile: int = 131_072  # shingles of one side of a tile, about
 
 
 def need(size, percent: int):
@@ -143,11 +146,12 @@ def common_shingles(docs: DataFrame, params: Params) -> tuple[np.ndarray, np.nda
     return (top["key"].to_numpy(np.uint64) << low) if len(top) else np.zeros(0, np.uint64), top["docs"].to_numpy(np.int64)
 
 
-DESCRIBED = "doc_id long, n long, set_hash binary, sig binary, prefix array<long>"
+DESCRIBED = "doc_id long, n long, set_hash binary, sig binary, rare array<long>, common array<long>"
 
 
 def described(docs: DataFrame, params: Params) -> DataFrame:
-    """Size, hash of the set, prefix and hash of prefix and size of each document; written to the shared folder."""
+    """Size, hash of the set, hash of prefix and size, and the prefix in two parts, rare and common shingles, of each
+    document; written to the shared folder."""
     keys, df = common_shingles(docs, params)
     bits = segment_bits(docs)
     mask = np.uint64((1 << 64) - (1 << (32 - bits)))
@@ -157,23 +161,26 @@ def described(docs: DataFrame, params: Params) -> DataFrame:
         shingler = Shingler(params.words)
         keys, df = shared.value
         for batch in batches:
-            n, sets, sigs, prefixes = [], [], [], []
+            n, sets, sigs, rare, common = [], [], [], [], []
             for text in batch.column(1):
                 s = shingler.of(text.as_py())
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, s & mask), len(keys) - 1)
                     s_df = np.where(keys[at] == s & mask, df[at], 0)
-                    ordered = s[np.argsort(s_df, kind="stable")]
+                    ordered, few = s[np.argsort(s_df, kind="stable")], int((s_df == 0).sum())
                 else:
-                    ordered = s
+                    ordered, few = s, len(s)
                 prefix = ordered[: len(s) - need(len(s), params.percent) + 1] if len(s) else s
                 n.append(len(s))
                 sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sigs.append(hashlib.blake2b(prefix.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest())
-                prefixes.append(prefix.view(np.int64))
-            ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary()), lists], ["doc_id", "n", "set_hash", "sig", "prefix"])
+                rare.append(prefix[:few].view(np.int64))
+                common.append(prefix[few:].view(np.int64))
+            lists = []
+            for each in (rare, common):
+                ends = np.append(0, np.cumsum([len(p) for p in each])).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary()), *lists], ["doc_id", "n", "set_hash", "sig", "rare", "common"])
 
     return staged(docs.select("doc_id", "text").mapInArrow(describe, DESCRIBED), "prefixes")
 
@@ -195,25 +202,15 @@ def _reachable(shared, a: str, b: str, percent: int):
 UNLIKE = "a_low <> b_low or a_high <> b_high or a_low <> a_high"
 
 
-def _paired(lists: DataFrame, params: Params, *more: str) -> DataFrame:
-    """Pairs of groups (a < b) that share tokens, with the number ``c`` of tokens shared in ``lists``. Where there are
-    components (the least and the largest of a group's classes: low, high), not where all classes of both are of one; where
-    there are distances of a group's classes from the list's first document (nearest, far), only pairs that these leave
-    near enough, since Jaccard distances obey the triangle inequality."""
-    side = lambda x: lists.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("g", "n", *more)])
+def _paired(lists: DataFrame, params: Params) -> DataFrame:
+    """Pairs of groups (a < b) that share tokens, with the number ``c`` of tokens shared in ``lists``."""
+    side = lambda x: lists.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("g", "n", "many")])
     pairs = side("a").join(side("b"), "token").where(F.expr("a_g < b_g") & _close("a_n", "b_n", params.percent))
-    if "low" in more:
-        pairs = pairs.where(UNLIKE)
-    if "far" in more:
-        pairs = pairs.where(F.greatest(F.expr("a_nearest - b_far"), F.expr("b_nearest - a_far")) <= 1 - params.percent / 100 + 1e-9)
-    kept = [c for c in more if c not in ("low", "high", "nearest", "far")]
-    return pairs.groupBy("a_g", "b_g", "a_n", "b_n", *[f"{x}_{c}" for c in kept for x in "ab"]).agg(F.count("*").alias("c"))
+    return pairs.groupBy("a_g", "b_g", "a_n", "b_n", "a_many", "b_many").agg(F.count("*").alias("c"))
 
 
-def _measured(pairs: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
-    """The pairs (a, b of classes) with the Jaccard distance of their whole sets and whether they link."""
-    pairs = staged(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
+    """``id`` and ``set`` (its shingles' hashes, sorted) of the documents in ``ids`` (doc_id, distinct)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(params.words)
@@ -221,22 +218,127 @@ def _measured(pairs: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
             each = [shingler.of(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each, pa.binary())], ["id", "set"])
 
+    texts = docs.select("doc_id", "text").join(checked_broadcast(ids, ids.count()), "doc_id")
+    return staged(texts.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"]), "sets")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
+    """The pairs (a, b of classes) that link, by their whole sets."""
+    pairs = staged(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(i) for i in (2, 3))
-            far, linked = [], []
+            linked = []
             for k in range(batch.num_rows):
                 p, q = (np.frombuffer(s[k].as_buffer(), np.uint64) for s in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                far.append(1 - both / (len(p) + len(q) - both))
                 linked.append((100 + params.percent) * both >= params.percent * (len(p) + len(q)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "far", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    texts = docs.select("doc_id", "text").join(checked_broadcast(ids, ids.count()), "doc_id")
-    own = staged(texts.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"]), "sets")
+    own = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), params)
     with_a = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a")
     with_b = with_a.join(own.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b").select("a", "b", "a_set", "b_set")
-    return staged(with_b.mapInArrow(compared, "a long, b long, far double, linked boolean"), "compared")
+    return staged(with_b.mapInArrow(compared, "a long, b long"), "links")
+
+
+# ---- lists of classes, in tiles --------------------------------------------------------------------------------------
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets. Values that many hold are counted by a matrix product, the others by their
+    own pairs."""
+    n, m = len(left), len(right)
+    size = [len(x) for x in (*left, *right)]
+    values, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row, cut = np.repeat(np.arange(n + m), size), sum(size[:n])
+    of_left, of_right = (np.bincount(x, minlength=len(values)) for x in (at[:cut], at[cut:]))
+    weight = of_left * of_right
+    out = np.zeros((n, m), np.float32)
+    dense = np.flatnonzero(weight * 100 > n * m)
+    column = np.full(len(values), -1)
+    for start in range(0, len(dense), 2048):
+        chosen = dense[start : start + 2048]
+        column[:] = -1
+        column[chosen] = np.arange(len(chosen))
+        held = np.zeros((n + m, len(chosen)), np.float32)
+        there = column[at] >= 0
+        held[row[there], column[at[there]]] = 1
+        out += held[:n] @ held[n:].T
+    sparse = (weight > 0) & (weight * 100 <= n * m)
+    order = np.argsort(at[cut:], kind="stable")
+    other, first = row[cut:][order] - n, np.cumsum(of_right) - of_right
+    mine = np.flatnonzero(sparse[at[:cut]])
+    for start in range(0, len(mine), 65_536):
+        own = mine[start : start + 65_536]
+        times = of_right[at[own]]
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[at[own]], times)
+        out += np.bincount(np.repeat(row[own], times) * m + other[place], minlength=n * m).reshape(n, m)
+    return out
+
+
+def _across(members: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
+    """Links between components (``a``, ``b``) that the lists of ``members`` (list, node, n, component) hold, enough of
+    them to join all that links inside a list. A repeated member counts once."""
+    weight = F.col("n") + 128  # so that a tile's rows are bounded too
+    members = members.dropDuplicates(["list", "node"])
+    size = members.groupBy("list", "component").agg(F.sum(weight).alias("size"))
+    lists = size.groupBy("list").agg(
+        F.max_by("component", F.struct("size", -F.col("component"))).alias("main"),
+        F.ceil(F.max("size") / params.tile).alias("main_parts"), F.ceil((F.sum("size") - F.max("size")) / params.tile).alias("parts"),
+    ).where("parts > 0")
+    members = staged(members.join(lists, "list"), "members")
+    outside = F.col("component") != F.col("main")
+    deal = lambda n: F.pmod(F.xxhash64("node", "list"), F.col(n))
+    side = F.when(outside, deal("parts")).otherwise(F.col("parts") + deal("main_parts"))
+    all_parts = F.sequence(F.lit(0).cast("long"), F.col("parts") + F.col("main_parts") - 1)
+    met = F.when(outside, all_parts).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    tile = F.transform(met, lambda j: F.struct(F.least(j, F.col("side")).alias("i"), F.greatest(j, F.col("side")).alias("j")))
+    keys = ["list", "i", "j"]
+
+    def met_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            for *key, side, component, data in zip(*columns, batch.column(5), strict=True):
+                if key != now:
+                    yield tile_of(now, held)
+                    now, held = key, []
+                held.append((side, component, np.frombuffer(data.as_buffer(), np.uint64)))
+        yield tile_of(now, held)
+
+    def tile_of(key: list | None, rows: list[tuple]) -> pa.RecordBatch:
+        found: set[tuple[int, int]] = set()
+        if rows:
+            left, right = ([r for r in rows if r[0] == k] for k in key[1:])
+            if left and right:
+                both = overlaps([r[2] for r in left], [r[2] for r in right])
+                n, m = (np.array([len(r[2]) for r in x]) for x in (left, right))
+                a, b = (np.array([r[1] for r in x]) for x in (left, right))
+                p, q = np.nonzero(((100 + params.percent) * both.astype(np.int64) >= params.percent * (n[:, None] + m)) & (a[:, None] != b))
+                found = spanning(np.unique(np.sort(np.stack([a[p], b[q]], 1), axis=1), axis=0).tolist())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    own = _sets(docs, members.select(F.col("node").alias("doc_id")).distinct(), params)
+    dealt = members.withColumn("side", side).select("list", "node", "component", "side", F.inline(tile))
+    with_sets = dealt.join(own.select(F.col("id").alias("node"), "set"), "node").select(*keys, "side", "component", "set")
+    return with_sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(met_in, "a long, b long")
+
+
+def spanning(links: list[list[int]]) -> set[tuple[int, int]]:
+    """A star for each component of the links: at most one pair for each end."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return {(x, top(x)) for x in root if top(x) != x}
 
 
 # ---- the operator ----------------------------------------------------------------------------------------------------
@@ -256,29 +358,31 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     classes = staged(classes.join(groups, "sig").select("node", "g", "n", "classes", "set_hash"), "classes")
 
     reps = classes.where("node = g").select(F.col("g").alias("doc_id"))
-    tokens = rows.join(checked_broadcast(reps, reps.count()), "doc_id").select(F.col("doc_id").alias("g"), "n", F.explode("prefix").alias("token"))
-    held = tokens.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1")
-    lists = staged(held, "lists")
+    reps = rows.join(checked_broadcast(reps, reps.count()), "doc_id").select(F.col("doc_id").alias("g"), "n", "rare", "common")
+    # A rare shingle's groups are few, so they may share a task; a common one's are counted before they meet the count.
+    rare = reps.select("g", "n", F.explode("rare").alias("token")).withColumn("held", F.count("*").over(Window.partitionBy("token")))
+    common = staged(reps.select("g", "n", F.explode("common").alias("token")), "common")
+    counts = common.groupBy("token").agg(F.count("*").alias("held"))
+    lists = staged(rare.where("held > 1").unionByName(common.join(counts.where("held > 1"), "token").select("g", "n", "token", "held")), "lists")
     crowded = lists.where(F.col("held") > params.crowded)
     n_crowded = crowded.groupBy("g").agg(F.count("*").alias("many"))
 
     some = lists.where(F.col("held") <= params.crowded).join(n_crowded, "g", "left").na.fill(0, ["many"])
-    pairs = _paired(some, params, "many")
+    pairs = _paired(some, params)
     pairs = staged(pairs.where(_reachable(F.col("c") + F.least("a_many", "b_many"), "a_n", "b_n", params.percent)), "candidates")
 
     # First the likeliest: every group with the partner it shares most with, every class with the first group of each
     # crowded list and with its own group's first.
     best = pairs.groupBy("b_g").agg(F.max_by("a_g", F.struct("c", -F.col("a_g"))).alias("a")).select("a", F.col("b_g").alias("b"))
-    hubs = crowded.groupBy("token").agg(F.min("g").alias("hub"))
-    spokes = crowded.join(hubs, "token").where("g <> hub").select("hub", "g").distinct()
+    of_list = lambda x, near: x.join(near, [c for c in near.columns if c != "hub"]).where("g <> hub").select("hub", "g").distinct()
+    spokes = of_list(crowded, crowded.groupBy("token").agg(F.min("g").alias("hub")))
     stars = spokes.join(classes.select("g", "node"), "g").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     inner = classes.where("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))
-    near = _measured(best.unionByName(stars).unionByName(inner), docs, params)
-    links = near.where("linked").select("a", "b")
+    links = _linked(best.unionByName(stars).unionByName(inner), docs, params)
     first = components(links)
 
-    # Groups that a crowded list leaves outside the others' components meet their neighbours there, in an order that
-    # differs from list to list.
+    # In crowded lists of several components a group then meets one of those that a hash puts beside it, another one in
+    # every list.
     def placed_in(found: DataFrame) -> DataFrame:
         return classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -292,33 +396,27 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
         mixed = labelled.groupBy("token").agg((F.min("low") != F.max("high")).alias("mixed")).where("mixed").select("token")
         return labelled.join(mixed, "token", "left_semi")
 
-    shuffled = Window.partitionBy("token").orderBy(F.xxhash64("token", "g"))
-    beside = mixed_lists(labels(placed_in(first))).select("g", "component", F.lag(F.struct("g", "component")).over(shuffled).alias("other"))
-    beside = beside.where("other.component <> component").select(F.col("other.g").alias("a"), F.col("g").alias("b"))
-    links = links.unionByName(_measured(beside, docs, params).where("linked").select("a", "b"))
+    near = mixed_lists(labels(placed_in(first))).withColumn("bucket", F.pmod(F.xxhash64("token", "g"), F.ceil(F.col("held") / params.crowded)))
+    beside = near.groupBy("token", "bucket").agg(F.min_by(F.struct(F.col("g").alias("hub"), F.col("component").alias("hub_component")), F.xxhash64("g", "token")).alias("of"))
+    beside = near.join(beside.select("token", "bucket", "of.*"), ["token", "bucket"]).where("hub_component <> component").select(F.col("hub").alias("a"), F.col("g").alias("b"))
+    links = links.unionByName(_linked(beside, docs, params))
     first = staged(components(links), "components")
 
-    # Then all that is left between different components. Classes of one group may differ in component and in distance,
-    # so a group is judged by the ranges of both over all its classes.
+    # Then all that is left between different components: pairs of a few classes one by one, the others as lists.
     placed = staged(placed_in(first), "placed")
     label = labels(placed)
-    spoke = near.select(F.col("a").alias("hub"), F.col("b").alias("node"), "far").join(classes.select("node", "g"), "node")
-    spoke = spoke.groupBy("hub", "g").agg(F.min("far").alias("nearest"), F.max("far").alias("far"))
-    spread = mixed_lists(label).join(hubs, "token").join(spoke, ["hub", "g"], "left")
-    itself = F.col("g") == F.col("hub")
-    spread = spread.withColumn("nearest", F.when(itself, 0.0).otherwise(F.col("nearest"))).withColumn("far", F.when(itself, F.coalesce("far", F.lit(0.0))).otherwise(F.col("far")))
-    late = _paired(spread, params, "low", "high", "nearest", "far")
-    late = late.where(_reachable(F.col("c"), "a_n", "b_n", params.percent)).select("a_g", "b_g")
-    a, b = (label.select(F.col("g").alias(f"{x}_g"), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high")) for x in "ab")
-    early = pairs.join(a, "a_g").join(b, "b_g").where(UNLIKE).select("a_g", "b_g")
-    several = placed.where("classes > 1").select(F.col("g").alias("a_g"), F.col("g").alias("b_g")).distinct()
-    wanted = early.unionByName(late).unionByName(several).distinct()
+    kinds = classes.where("node = g").select("g", "classes")
+    a, b = (label.join(kinds, "g").select(*[F.col(c).alias(f"{x}_{c}") for c in ("g", "low", "high", "classes")]) for x in "ab")
+    early = staged(pairs.join(a, "a_g").join(b, "b_g").where(UNLIKE).select("a_g", "b_g", F.col("a_classes").cast("double") * F.col("b_classes") <= params.pairs), "early").toDF("a_g", "b_g", "few")
     member = lambda x: placed.select(F.col("g").alias(f"{x}_g"), F.col("node").alias(x), F.col("component").alias(f"{x}_c"))
-    rest = wanted.join(member("a"), "a_g").join(member("b"), "b_g").where("a_c <> b_c").select("a", "b")
-    more = _measured(rest, docs, params).where("linked").select("a", "b")
+    single = early.where("few").join(member("a"), "a_g").join(member("b"), "b_g").where("a_c <> b_c").select("a", "b")
+    wide = early.where("not few").select(F.xxhash64("a_g", "b_g").alias("list"), F.explode(F.array("a_g", "b_g")).alias("g"))
+    several = placed.where("classes > 1").select(F.xxhash64("g").alias("list"), "g").distinct()
+    mixed = mixed_lists(label).select(F.col("token").alias("list"), "g")
+    members = wide.unionByName(several).unionByName(mixed).join(placed.select("g", "node", "n", "component"), "g")
     a, b = (first.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in "ab")
-    joined = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    second = components(joined).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    more = _linked(single, docs, params).join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    second = components(more.unionByName(_across(members, docs, params))).select(F.col("node").alias("component"), F.col("component").alias("final"))
     final = placed.join(second, "component", "left").select("set_hash", F.coalesce("final", "component").alias("component_id"))
     return (
         rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash"))

@@ -61,9 +61,34 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("seed, crowded", [(1, 32), (2, 3), (3, 1)])
-def test_join_against_brute_force(spark, seed, crowded):
-    texts = corpus(seed)
+def few_passages(seed):
+    """Texts made of the same few passages, so that many unlike sets share their prefixes and groups hold several classes."""
+    rng = random.Random(seed)
+    passage = lambda n: ["".join(rng.choices("abcdefgh", k=4)) for _ in range(n)]
+    parts = [passage(rng.choice([6, 12, 25])) for _ in range(7)]
+    heads = [passage(rng.choice([5, 9, 20])) for _ in range(4)]
+    out = []
+    for _ in range(150):
+        words = list(rng.choice(heads))
+        for part in rng.sample(parts, rng.randint(1, 4)):
+            words += part[: rng.choice([len(part), len(part) - rng.randint(0, 4)])]
+        if rng.random() < 0.3:
+            words[rng.randrange(len(words))] = "other"
+        out.append(" ".join(words))
+    return out
+
+
+def test_overlaps():
+    rng = np.random.default_rng(5)
+    for top in (30, 3000):
+        sets = [np.unique(rng.integers(0, top, rng.integers(0, 200))).astype(np.uint64) for _ in range(70)]
+        want = [[len(np.intersect1d(a, b)) for b in sets[40:]] for a in sets[:40]]
+        assert J.overlaps(sets[:40], sets[40:]).tolist() == want
+
+
+@pytest.mark.parametrize("seed, crowded, pairs, tile, make", [(1, 32, 16, 1 << 17, corpus), (3, 1, 4, 300, corpus), (5, 4, 1, 700, few_passages)])
+def test_join_against_brute_force(spark, seed, crowded, pairs, tile, make):
+    texts = make(seed)
     own, links = [shingles(t) for t in texts], Sets()
     for a in range(len(own)):
         links.find(a)
@@ -71,7 +96,7 @@ def test_join_against_brute_force(spark, seed, crowded):
             if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
                 links.join(a, b)
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n long").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(df, J.Params(crowded=crowded, frequent=3)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(df, J.Params(crowded=crowded, frequent=3, pairs=pairs, tile=tile)).collect()}
     assert got == {i: (len(s), links.find(i)) for i, s in enumerate(own)}
 
 
@@ -94,6 +119,27 @@ def test_join_of_classes_in_crowded_lists(spark):
     assert {r.doc_id: r.component_id for r in J.near_duplicates(df).collect()} == {i: links.find(i) for i in own}
 
 
+@pytest.mark.parametrize("both", [False, True])
+def test_join_of_classes_far_from_the_first_one(spark, both):
+    """Two classes of one group, the first of which is near the list's first group and the second far from it."""
+    rng = random.Random(14)
+    passage = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    r, c1, c2 = passage(124), passage(320), passage(320)
+    texts = {i: [*r, *c1[: 280 + i]] for i in range(1, 41)} | {50: [*r, *c1[:280]], 51: [*r, *c2[:280]], 52: [*r, *c2[:270]]}
+    texts |= {1000 + i: [*r[-4:], *(c1, c2)[i % 2]] for i in range(200)}
+    if both:
+        texts[45] = [*r, *c1[:270]]
+    own, links = {i: shingles(" ".join(t)) for i, t in texts.items()}, Sets()
+    for a in own:
+        links.find(a)
+        for b in own:
+            if a < b and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
+                links.join(a, b)
+    assert links.find(52) == links.find(51) == 51
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in J.near_duplicates(df).collect()} == {i: links.find(i) for i in own}
+
+
 def test_rows_without_an_id_of_their_own(spark):
     base = [f"w{i}" for i in range(40)]
     one, near, other, third = " ".join(base), " ".join([*base, "x"]), " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
