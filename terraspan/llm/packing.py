@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraspan.llm.common import checked_broadcast, staged, table
-from terraspan.llm.tokens import ByteEncoder
+from terraspan.llm.tokens import ByteEncoder, encoder_of
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def encoded(docs: DataFrame, tokenizer: str, sources: list[str | None], params:
     number = {s: i for i, s in enumerate(sources)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = ByteEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(ByteEncoder, tokenizer), TaskContext.get().partitionId()
         end = np.array([params.end_id], "<u2").tobytes()
         done = [0] * (len(sources) + 1)
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraspan.llm.common import checked_broadcast, staged, table
-from terraspan.llm.tokens import WordEncoder
+from terraspan.llm.tokens import WordEncoder, encoder_of
 
 MAGIC = b"RPG1"
 
@@ -167,7 +167,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, params: Param
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(WordEncoder, tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], np.uint16)
         doc_ids: list[int] = []
         ids: list[np.ndarray] = []
