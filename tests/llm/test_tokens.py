@@ -158,7 +158,9 @@ def test_samples_follow_the_distribution():
     import itertools
 
     params = piece_sampling.Params(samples=2)
-    lattices = piece_sampling.Lattices(["▁then", "▁ab"], piece_sampling.Vocabulary(PIECE, params))
+    lattices = piece_sampling.Lattices(piece_sampling.Vocabulary(PIECE, params))
+    two = lattices.words("then ab")
+    lattices.grow()
 
     def all_of(place, end):
         if place == end:
@@ -172,11 +174,32 @@ def test_samples_follow_the_distribution():
     p = {a + b: np.exp(x + y) for (a, x), (b, y) in itertools.product(*words)}
     assert sum(p.values()) == pytest.approx(1)
     n, first, second = 4000, collections.Counter(), collections.Counter()
+    paths, _ = piece_sampling.Sampler(lattices, [two] * n, list(range(n)), params).search()
     for key in range(n):
-        paths, _ = piece_sampling.Sampler(lattices, np.array([0, 1]), key, params).search()
-        first[tuple(paths[0].edges)] += 1
-        second[tuple(paths[1].edges)] += 1
+        first[tuple(paths[0].edges[key])] += 1
+        second[tuple(paths[1].edges[key])] += 1
     q = {b: sum(p[a] * p[b] / (1 - p[a]) for a in p if a != b) for b in p}
     assert sum(abs(first[k] / n - p[k]) for k in p) / 2 < 0.02 and sum(abs(second[k] / n - q[k]) for k in p) / 2 < 0.02
-    every, left = piece_sampling.Sampler(lattices, np.array([0, 1]), 1, piece_sampling.Params(samples=10**6)).search()
-    assert {tuple(x.edges) for x in every} == set(p) and left == -np.inf
+    every, left = piece_sampling.Sampler(lattices, [two], [1], piece_sampling.Params(samples=10**6)).search()
+    assert {tuple(x.edges[0]) for x in every if x.edges} == set(p) and left == [-np.inf]
+    values = [x.value[0] for x in every if x.edges]
+    assert values == sorted(values, reverse=True)
+
+
+def test_samples_of_a_row_do_not_depend_on_other_rows(spark):
+    rows = [(r.doc_id, r.text) for r in table(spark, DIR, "documents").where("text is not null").limit(60).collect()]
+    params = piece_sampling.Params(samples=4)
+    vocabulary = piece_sampling.Vocabulary(PIECE, params)
+
+    def found(chosen):
+        lattices = piece_sampling.Lattices(vocabulary)
+        words = [lattices.words(t) for _, t in chosen]
+        lattices.grow()
+        some = [k for k, w in enumerate(words) if len(w)]
+        paths, left = piece_sampling.Sampler(lattices, [words[k] for k in some], [chosen[k][0] for k in some], params).search()
+        return {chosen[k][0]: [(x.logp[j], x.value[j], lattices.length[x.edges[j]].tolist()) for x in paths if j in x.edges] + [left[j]] for j, k in enumerate(some)}
+
+    alone = {}
+    for row in rows:
+        alone |= found([row])
+    assert found(rows) == alone == found(rows[::-1])
