@@ -5,9 +5,9 @@ product of the rotated vector with the unit vector of its signs. From these the
 estimated without bias, and a bound holds with known confidence; only pairs whose upper bound reaches the threshold
 are computed again exactly, in double precision.
 
-Pairs are looked for in buckets: further random rotations give each vector a short sign code in each of several
-tables, and vectors with equal codes share a bucket. The length of the codes follows the logarithm of the number of
-vectors and the number of tables the wanted recall at the threshold, so buckets stay small at any size. A crowded
+Pairs are looked for in buckets: in each of several tables, further random rotations give a vector the axes that it is
+nearest to, and vectors with equal axes share a bucket. The number of axes follows the logarithm of the number of
+vectors, so buckets stay small at any size, and the number of tables the wanted recall at the threshold. A crowded
 bucket is cut into parts and every two parts meet in a task of their own. Equal vectors are one vector with a weight.
 """
 
@@ -29,10 +29,10 @@ from terraspan.llm.components import components
 @dataclass(frozen=True)
 class Params:
     threshold: float = 0.9
-    recall: float = 0.97  # of pairs right at the threshold; closer ones are found more surely
-    bits: int = 256  # of the stored code
+    recall: float = 0.99  # of pairs right at the threshold, bounds of 4 sigma included; closer ones are found more surely
+    bits: int = 64  # of the stored code at least; as many as there are dimensions, if these are more
     sigmas: float = 4.0  # width of the bounds
-    bucket: int = 32  # vectors a bucket should hold, about, if directions were spread evenly
+    bucket: int = 512  # vectors a bucket should hold, about, if directions were spread evenly
     part: int = 1024  # vectors of a crowded bucket that go together
     seed: int = 3
 
@@ -65,23 +65,44 @@ def estimate(codes: np.ndarray, factors: np.ndarray, turned: np.ndarray, sigmas:
     return with_code / factors[:, None], np.broadcast_to(error[:, None], with_code.shape)
 
 
-def shape_of(n: int, params: Params) -> tuple[int, int]:
-    """Bits of a bucket's code and number of tables for n vectors."""
-    bits = max(4, int(np.ceil(np.log2(max(n, 1) / params.bucket))))
-    agree = (1 - np.arccos(params.threshold) / np.pi) ** bits
-    return bits, int(np.ceil(np.log(1 - params.recall) / np.log(1 - agree)))
-
-
-def table_codes(unit: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    out = np.empty((len(unit), tables), np.int64)
+@lru_cache(maxsize=256)
+def agreement(d: int, axes: int, threshold: float, draws: int = 20_000) -> float:
+    """Chance that two vectors with this cosine are nearest to the same one of the first axes (and their opposites)
+    after a random rotation, from random pairs."""
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((2, draws, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+    y = threshold * x + np.sqrt(1 - threshold**2) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    return max(float((nearest(x[:, :axes]) == nearest(y[:, :axes])).mean()), 1 / draws)
+
+
+def nearest(turned: np.ndarray) -> np.ndarray:
+    """Numbers of the axes, or their opposites, nearest to rotated vectors."""
+    at = np.abs(turned).argmax(1)
+    return 2 * at + (turned[np.arange(len(at)), at] < 0)
+
+
+def shape_of(n: int, d: int, params: Params) -> tuple[list[int], int]:
+    """Axes of each of a table's hashes, and the number of tables, for n vectors."""
+    bits = float(np.log2(max(n / params.bucket, 2)))
+    whole = int(bits // np.log2(2 * d))
+    rest = 2 ** (bits - whole * np.log2(2 * d))
+    axes = [d] * whole + ([min(d, int(np.ceil(rest / 2)))] if rest > 1.01 else [])
+    agree = float(np.prod([agreement(d, k, params.threshold) for k in axes]))
+    return axes, max(1, int(np.ceil(np.log(1 - params.recall) / np.log(max(1 - agree, 1e-9)))))
+
+
+def table_codes(unit: np.ndarray, axes: list[int], tables: int, seed: int) -> np.ndarray:
+    out = np.zeros((len(unit), tables), np.int64)
     d = unit.shape[1]
     for t in range(tables):
-        planes = [rotation(d, seed * 100_003 + t * 101 + k)[:, : min(d, bits - k * d)] for k in range(-(-bits // d))]
-        out[:, t] = (unit @ np.concatenate(planes, 1) >= 0) @ (1 << np.arange(bits, dtype=np.int64))
+        for j, k in enumerate(axes):
+            out[:, t] = out[:, t] * (2 * k) + nearest(unit @ rotation(d, seed * 100_003 + t * 101 + j)[:, :k])
     return out
 
 
-def units(vectors: list) -> np.ndarray:
+def units(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # so that no square leaves the range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -101,9 +122,11 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = F.coalesce((F.size(x) > 0) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
-    rows = vectors.select("vec_id", F.when(valid, F.transform(x, lambda v: v + 0)).alias("embedding"))
+    rows = vectors.select("vec_id", F.when(valid, F.transform(x, lambda v: v + 0)).alias("embedding"))  # + 0: no negative zeros
     found = rows.where("embedding is not null")
-    distinct = staged(found.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")), "vectors")
+    both = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]  # 128 bits stand for the vector
+    distinct = found.select("*", *both).groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    distinct = staged(distinct, "vectors")
     sizes = {r["d"]: r["n"] for r in distinct.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
     pieces = [_linked(distinct.where(F.size("embedding") == d), n, d, params) for d, n in sizes.items()]
     if not pieces:
@@ -117,39 +140,47 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
     reached = components(pairs.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     of_rep = (
         distinct.join(other, "vec_id", "left").join(reached.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-        .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     )
-    out = rows.join(of_rep, "embedding", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
-    )
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    linked = found.select("vec_id", *both).join(of_rep, ["h1", "h2"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def _linked(vectors: DataFrame, n: int, d: int, params: Params) -> DataFrame:
     """For tiles with links: vec_id, the weight of its partners there and the smallest id it reaches there (root)."""
-    bits, tables = shape_of(n, params)
+    axes, tables = shape_of(n, d, params)
     size = -(-max(params.bits, d) // 8) * 8
+    short = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"  # kept as they came, so that nothing is rounded
+    kind = np.float32 if short else np.float64
 
-    def bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = rotation(size, params.seed)
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2048):
-                rows = batch.iloc[at : at + 2048]
-                unit = units(rows["embedding"].tolist())
-                codes, factors = encode(unit, turn)
-                buckets = table_codes(unit, bits, tables, params.seed)
-                k = len(rows)
-                yield pd.DataFrame({
-                    "t": np.tile(np.arange(tables, dtype=np.int32), k), "bucket": buckets.ravel(),
-                    "vec_id": np.repeat(rows["vec_id"].to_numpy(), tables), "weight": np.repeat(rows["weight"].to_numpy(), tables),
-                    "unit": np.repeat(np.array([u.tobytes() for u in unit], object), tables),
-                    "code": np.repeat(np.array([c.tobytes() for c in codes], object), tables), "factor": np.repeat(factors, tables),
-                })
-
-    schema = "t int, bucket long, vec_id long, weight long, unit binary, code binary, factor double"
-    rows = staged(vectors.select("vec_id", "weight", "embedding").mapInPandas(bucketed, schema), "codes")
-    counts = rows.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = counts.where(F.col("n") > params.part).select("t", "bucket", F.ceil(F.col("n") / params.part).cast("int").alias("parts"))
+                yield batch.iloc[at : at + 2048]
+
+    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in some(batches):
+            codes = table_codes(units(rows["embedding"].tolist()), axes, tables, params.seed)
+            yield pd.DataFrame({"t": np.tile(np.arange(tables, dtype=np.int32), len(rows)), "bucket": codes.ravel()})
+
+    def bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = rotation(size, params.seed)
+        for rows in some(batches):
+            x, k = np.array(rows["embedding"].tolist(), kind), len(rows)
+            unit = units(x)
+            codes, factors = encode(unit, turn)
+            each = lambda data: np.repeat(np.array([y.tobytes() for y in data], object), tables)
+            yield pd.DataFrame({
+                "t": np.tile(np.arange(tables, dtype=np.int32), k), "bucket": table_codes(unit, axes, tables, params.seed).ravel(),
+                "vec_id": np.repeat(rows["vec_id"].to_numpy(), tables), "weight": np.repeat(rows["weight"].to_numpy(), tables),
+                "x": each(x), "code": each(codes), "factor": np.repeat(factors, tables),
+            })
+
+    picked = vectors.select("vec_id", "weight", "embedding")
+    counts = picked.mapInPandas(buckets, "t int, bucket long").groupBy("t", "bucket").agg(F.count("*").alias("n"))
+    crowded = staged(counts.where(F.col("n") > params.part).select("t", "bucket", F.ceil(F.col("n") / params.part).cast("int").alias("parts")), "crowded")
+    rows = picked.mapInPandas(bucketed, "t int, bucket long, vec_id long, weight long, x binary, code binary, factor double")
     dealt = rows.join(checked_broadcast(crowded, crowded.count()), ["t", "bucket"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("vec_id", "t"), F.col("parts")).cast("int")
     tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
@@ -171,7 +202,7 @@ def _linked(vectors: DataFrame, n: int, d: int, params: Params) -> DataFrame:
     def joined(rows: pd.DataFrame, turn: np.ndarray) -> pd.DataFrame:
         key = rows[keys].to_numpy()
         edges = np.append(np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(rows))
-        unit = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), d)
+        unit = units(np.frombuffer(b"".join(rows["x"]), kind).reshape(len(rows), d))
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
         factors, ids, weight, mine = (rows[c].to_numpy() for c in ("factor", "vec_id", "weight", "mine"))
         out = []
@@ -189,8 +220,8 @@ def _linked(vectors: DataFrame, n: int, d: int, params: Params) -> DataFrame:
             sure = np.einsum("ij,ij->i", unit[a:b][p], unit[a:b][q]) >= params.threshold
             p, q = p[sure], q[sure]
             if len(p) and t:  # a pair counts in the first table whose bucket it shares
-                buckets = table_codes(unit[a:b], bits, int(t), params.seed)
-                early = np.array([(buckets[p, k] == buckets[q, k]) for k in range(int(t))]).any(0)
+                buckets = table_codes(unit[a:b], axes, int(t), params.seed)
+                early = (buckets[p] == buckets[q]).any(1)
                 p, q = p[~early], q[~early]
             if len(p):
                 out.append(summed(p, q, ids[a:b], weight[a:b]))

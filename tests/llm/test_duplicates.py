@@ -170,6 +170,20 @@ def test_estimates_are_unbiased_and_bounds_hold():
     assert outside / (60 * true.size) < 1e-3
 
 
+def test_recall_at_the_threshold_with_production_parameters():
+    """Pairs with a cosine of 0.90 to 0.92 share a bucket in one of the tables, at any number of vectors."""
+    rng, params = np.random.default_rng(7), V.Params()
+    x, y = rng.standard_normal((2, 3000, 64))
+    x = V.units(list(x))
+    y = V.units(list(y - np.einsum("ij,ij->i", x, y)[:, None] * x))
+    cos = rng.uniform(0.9, 0.92, (3000, 1))
+    y = cos * x + np.sqrt(1 - cos**2) * y
+    for n in (1000, 50_000, 10**6):
+        axes, tables = V.shape_of(n, 64, params)
+        met = (V.table_codes(x, axes, tables, params.seed) == V.table_codes(y, axes, tables, params.seed)).any(1).mean()
+        assert met >= 0.985 and tables <= 40
+
+
 @pytest.mark.parametrize("part", [1024, 8])
 def test_vectors_against_brute_force(spark, part):
     rng = np.random.default_rng(2)
