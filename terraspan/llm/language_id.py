@@ -171,5 +171,5 @@ def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(fold_of(F.col("doc_id")) != 0))
-    held_out = (fold_of(F.col("doc_id")) == 0).alias("held_out")
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     return predict(docs, model).select("doc_id", held_out, "lang_pred", "score")

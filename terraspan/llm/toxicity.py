@@ -1,15 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One interpolated bigram model is fitted on texts labelled toxic and one on ordinary texts. Both back off to the same
-continuation counts, taken over both classes, so an expression that either class hardly knows is judged alike by both.
-A text's score compares its length-normalised log-likelihoods under the two models; a logistic curve set by
-labelled rows that the counts have not seen turns the difference into a number from 0 to 1.
+One interpolated bigram model is fitted on texts labelled toxic and one on ordinary texts, on continuation counts, so
+that copies of a text add nothing. Absolute discounting takes from a count a constant and what the other class leads to
+expect of it; what is left is the class's own, and the freed mass backs off, from pairs to words and from words to the
+counts that both classes share. So an expression that is rare, or alike in both, is smoothed to the same value in both.
+
+A text's score compares its log-likelihoods under the two models, normalised by its number of words; a logistic curve
+set by labelled rows that the counts have not seen turns the difference into a number from 0 to 1, and the same rows
+choose the constant of the discount.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -17,112 +21,138 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm.common import bounded_rows, fold_of, letter_words, staged, table, words_of
+from terraspan.llm.common import bounded_rows, checked_broadcast, fold_of, letter_words, staged, table, words_of
 
 
 @dataclass(frozen=True)
 class Params:
     sample_docs: int = 4000  # labelled rows of each class that the model is fitted on, about
-    words: int = 150_000  # known words, the most frequent ones
-    pairs: int = 300_000  # known word pairs, the most frequent ones
-    discount: float = 2.0  # taken off every count and given to the shared backoff
-    least: float = 2.0  # log ratios shrink towards 0 by this much: what both classes say about as often tells nothing
-    power: float = 0.5  # log-likelihoods are divided by the number of words to this power
-    by: int = 4  # labelled rows of this remainder fit the curve, the others the counts
+    discounts: tuple[float, ...] = (1.0, 2.0, 4.0, 8.0, 16.0)  # constants to choose from
+    alike: float = 3.0  # times the count that the other class leads to expect, which the discount takes too
+    even: float = 0.1  # part of the shared backoff that goes to all words alike
+    by: int = 4  # labelled rows of this remainder choose the discount and fit the curve, the others the counts
 
 
 @dataclass(frozen=True)
 class Model:
+    """Log ratios, toxic to ordinary, relative to that of a word which neither class has of its own. Words, histories
+    and pairs that are not listed have 0."""
+
     words: list[str]
-    unigram: np.ndarray  # log p(w | toxic) - log p(w | ordinary); the last entry is for unknown words
+    word_gain: np.ndarray  # p(w)
+    history_gain: np.ndarray  # backoff weight of a history
     pair_keys: np.ndarray  # sorted: history * (number of words) + word
-    pair_gain: np.ndarray  # the pair's log ratio
-    slope: float
-    shift: float
-    params: Params
+    pair_gain: np.ndarray  # p(w | v)
+    slope: float = 1.0
+    shift: float = 0.0
+
+
+@dataclass(frozen=True)
+class _Totals:
+    n: dict[int, float]  # continuation counts of a class
+    kinds: float  # distinct words
+    common: float  # sum of the smaller ones of each word's relative frequencies
+
+
+def _shared(c1, c0, t: _Totals, params: Params, least):
+    """Shared backoff of a word, for columns or arrays."""
+    return (1 - params.even) * least(c1 / t.n[1], c0 / t.n[0]) / max(t.common, 1e-300) + params.even / (t.kinds + 1)
 
 
-def _counts(sample: DataFrame, params: Params) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
-    """Continuation counts of words and of pairs in either class. A pair counts once for each word before it and a word
-    once for each word before it, so that copies of a text add nothing."""
+def _excess(x: int, c1, c0, t: _Totals, discount: float, params: Params, least):
+    """What a class has of a word beyond the discount, as a part of all; may be negative."""
+    return ((c1 if x else c0) - discount) / t.n[x] - params.alike * least(c1 / t.n[1], c0 / t.n[0])
+
+
+def _counts(sample: DataFrame, params: Params) -> tuple[pd.DataFrame, pd.DataFrame, _Totals, dict] | None:
+    """Counts of the words and of the pairs that a class may have of its own under the smallest discount, and the part
+    of each class's words that every discount leaves. A pair counts once for each word before it and a word once for
+    each word before it. All else in the sample is counted but has no ratio, so it stays in Spark."""
     w = sample.select("toxic", F.concat(F.array(F.lit("")), letter_words(F.col("text"))).alias("w"))
     triple = F.transform(
         F.sequence(F.lit(1), F.size("w") - 1),
         lambda i: F.struct(F.coalesce(F.get("w", i - 2), F.lit("")).alias("u"), F.col("w")[i - 1].alias("v"), F.col("w")[i].alias("w")),
     )
     triples = w.where(F.size("w") > 1).select("toxic", F.inline(triple)).distinct()
-    each = lambda f, c: [f(x).alias(f"{c}{x}") for x in "10"]
-    pairs = staged(triples.groupBy("v", "w").agg(*each(lambda x: F.count_if(F.col("toxic") == int(x)), "c")), "pairs")
-    capped = lambda c: F.least(c, F.lit(params.discount))
-    single = staged(pairs.groupBy(F.col("w").alias("word")).agg(*each(lambda x: F.count_if(F.col(f"c{x}") > 0), "c")), "words")
-    history = pairs.groupBy(F.col("v").alias("word")).agg(*each(lambda x: F.sum(f"c{x}"), "h"), *each(lambda x: F.sum(capped(F.col(f"c{x}"))), "t"))
-    vocab = single.join(history, "word", "left").na.fill(0)
-    total = single.agg(
-        *each(lambda x: F.sum(f"c{x}"), "n"),
-        *each(lambda x: F.sum(capped(F.col(f"c{x}"))), "k"),
-        F.sum((F.col("c1") > 0).cast("int") + (F.col("c0") > 0).cast("int")).alias("kinds"),
-    )
-    top = vocab.orderBy(F.desc(F.col("c1") + F.col("c0")), "word").limit(params.words)
-    best = pairs.where("c1 + c0 > 1").orderBy(F.desc(F.col("c1") + F.col("c0")), "v", "w").limit(params.pairs)
-    return top.toPandas(), best.toPandas(), total.toPandas().fillna(0)
+    each = lambda f, c: [f(x).alias(f"{c}{x}") for x in (1, 0)]
+    pairs = staged(triples.groupBy("v", "w").agg(*each(lambda x: F.count_if(F.col("toxic") == x), "c")), "pairs")
+    single = staged(pairs.groupBy("w").agg(*each(lambda x: F.count_if(F.col(f"c{x}") > 0), "n")), "words")
+    sums = single.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count("*").alias("kinds")).first()
+    if not sums["n1"] or not sums["n0"]:
+        return None
+    n = {1: float(sums["n1"]), 0: float(sums["n0"])}
+    common = single.agg(F.sum(F.least(F.col("n1") / n[1], F.col("n0") / n[0]))).first()[0]
+    t = _Totals(n, float(sums["kinds"]), float(common))
+    own = lambda x, d: _excess(x, F.col("n1"), F.col("n0"), t, d, params, F.least)
+    taken = single.agg(*[F.sum(F.greatest(own(x, d), F.lit(0.0))).alias(f"{x}_{i}") for x in (1, 0) for i, d in enumerate(params.discounts)]).first().asDict()
+    low = min(params.discounts)
+    words = single.where((own(1, low) > 0) | (own(0, low) > 0)).toPandas()
+    history = pairs.groupBy("v").agg(F.sum("c1").alias("h1"), F.sum("c0").alias("h0"))
+    strong = pairs.where(F.greatest("c1", "c0") > low).join(history, "v").join(single, "w")
+    most = max(taken[f"{x}_{i}"] for x in (1, 0) for i in range(len(params.discounts)))
+    expected = (1 - most) * _shared(F.col("n1"), F.col("n0"), t, params, F.least)  # by the other class, at least
+    beyond = [F.col(f"c{x}") - low > params.alike * F.col(f"h{x}") * F.greatest(expected, F.try_divide(f"c{1 - x}", f"h{1 - x}")) for x in (1, 0)]
+    return words, strong.where(beyond[0] | beyond[1]).toPandas(), t, taken
+
+
+def _model(words: pd.DataFrame, pairs: pd.DataFrame, t: _Totals, taken: dict, k: int, params: Params) -> Model:
+    """The ratios under the k-th discount."""
+    d, least = params.discounts[k], np.minimum
+    left = {x: 1 - taken[f"{x}_{k}"] for x in (1, 0)}
+
+    def p(x: int, rows: pd.DataFrame) -> np.ndarray:
+        c1, c0 = rows["n1"].to_numpy(float), rows["n0"].to_numpy(float)
+        return np.maximum(_excess(x, c1, c0, t, d, params, least), 0) + left[x] * _shared(c1, c0, t, params, least)
+
+    names = sorted({*words["w"], *pairs["v"], *pairs["w"]})
+    at = {w: i for i, w in enumerate(names)}
+    base = np.log(left[1] / left[0])
+    word_gain = np.zeros(len(names) + 1)
+    word_gain[words["w"].map(at).to_numpy(int)] = np.log(p(1, words) / p(0, words)) - base
+    v, w = pairs["v"].map(at).to_numpy(int), pairs["w"].map(at).to_numpy(int)
+    c, h = ({x: pairs[f"{name}{x}"].to_numpy(float) for x in (1, 0)} for name in "ch")
+    own, rest = {}, {}
+    for x in (1, 0):
+        y = 1 - x
+        expected = np.maximum(p(y, pairs), np.divide(c[y], h[y], out=np.zeros_like(c[y]), where=h[y] > 0))
+        own[x] = np.maximum(c[x] - d - params.alike * h[x] * expected, 0) / np.maximum(h[x], 1)
+        rest[x] = 1 - np.bincount(v, own[x], len(names) + 1)
+    some = (own[1] > 0) | (own[0] > 0)
+    under = {x: own[x] + rest[x][v] * p(x, pairs) for x in (1, 0)}
+    keys = v * np.int64(len(names)) + w
+    order = np.argsort(keys)[some[np.argsort(keys)]]
+    return Model(names, word_gain, np.log(rest[1] / rest[0]), keys[order], (np.log(under[1] / under[0]) - base)[order])
 
 
 def fit(labelled: DataFrame, params: Params = Params(), share: float | None = None) -> Model | None:
-    """Fit on rows with ``doc_id``, ``text`` and ``toxic`` (0 or 1); others are ignored. None if a class has no row.
-    The sample holds as many rows of either class; share is the toxic one's share of all labelled rows, if known."""
+    """Fit on rows with ``doc_id``, ``text`` and ``toxic`` (0 or 1); others are ignored. None if a class has no word.
+    The sample holds as many rows of either class; share is the toxic one's share of all labelled rows, if known. Of
+    discounts that do equally well the one whose cut leaves the widest gap is taken, then the first."""
     known = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)")
     sample = bounded_rows(known, "toxic", params.sample_docs, seed=6, even=True).withColumn("fold", fold_of(F.col("doc_id"))).cache()
     try:
-        vocab, pairs, total = _counts(sample.where(F.col("fold") != params.by), params)
-        t = total.iloc[0]
-        if not t["n1"] or not t["n0"]:
+        found = _counts(sample.where(F.coalesce(F.col("fold"), F.lit(0)) != params.by), params)
+        if found is None:
             return None
-        model = _model(vocab, pairs, t, params)
-        seen = _ratios(sample.where(F.col("fold") == params.by), model, "toxic").toPandas()
+        models = [_model(*found, k, params) for k in range(len(params.discounts))]
+        seen = _ratios(sample.where(F.col("fold") == params.by), models, "toxic").toPandas()
         if seen["toxic"].nunique() < 2:  # too few rows to set some aside
-            seen = _ratios(sample, model, "toxic").toPandas()
+            seen = _ratios(sample, models, "toxic").toPandas()
     finally:
         sample.unpersist()
     share = share if share is not None and 0 < share < 1 else 0.5
-    slope, shift = _curve(seen["ratio"].to_numpy(float), seen["toxic"].to_numpy(float), share)
-    return Model(**{**model.__dict__, "slope": slope, "shift": shift})
-
-
-def _model(vocab: pd.DataFrame, pairs: pd.DataFrame, t: pd.Series, params: Params) -> Model:
-    d = params.discount
-    # The shared backoff counts the classes a word is found in, as Kneser and Ney count the contexts of a word.
-    kinds = (vocab["c1"] > 0).to_numpy(float) + (vocab["c0"] > 0).to_numpy(float)
-    shared = np.append(kinds, 1.0) / (t["kinds"] + 1)
-    p, weight = {}, {}
-    for x in "10":
-        n, freed = t[f"n{x}"], t[f"k{x}"]
-        c = np.append(vocab[f"c{x}"].to_numpy(float), 0.0)
-        p[x] = (np.maximum(c - d, 0) + freed * shared) / n
-        h, k = vocab[f"h{x}"].to_numpy(float), vocab[f"t{x}"].to_numpy(float)
-        weight[x] = np.append(np.where(h > 0, k / np.maximum(h, 1), 1.0), 1.0)
-    # A class with fewer tokens frees more of its mass; a word is judged against what its class has freed.
-    unigram = np.log(p["1"] / p["0"]) - np.log((t["k1"] / t["n1"]) / (t["k0"] / t["n0"]))
-    at = {w: i for i, w in enumerate(vocab["word"])}
-    v, w = pairs["v"].map(at), pairs["w"].map(at)
-    both = (v.notna() & w.notna()).to_numpy()
-    v, w = v[both].to_numpy(int), w[both].to_numpy(int)
-    logs = {}
-    for x in "10":
-        h = np.maximum(vocab[f"h{x}"].to_numpy(float)[v], 1)
-        c = pairs[f"c{x}"].to_numpy(float)[both]
-        logs[x] = np.log(np.maximum(c - d, 0) / h + weight[x][v] * p[x][w])
-    keys = v * np.int64(len(vocab)) + w
-    order = np.argsort(keys)
-    told = lambda x: np.sign(x) * np.maximum(np.abs(x) - params.least, 0)
-    return Model(vocab["word"].tolist(), told(unigram), keys[order], told(logs["1"] - logs["0"])[order], 1.0, 0.0, params)
+    curves = [_curve(seen[f"ratio{k}"].to_numpy(float), seen["toxic"].to_numpy(float), share) for k in range(len(models))]
+    best = min(range(len(models)), key=lambda k: curves[k][2])
+    return replace(models[best], slope=curves[best][0], shift=curves[best][1])
 
 
 class _Scorer:
-    """Differences of the two length-normalised log-likelihoods; 0 without words."""
+    """Differences of the two log-likelihoods, normalised by the number of words; 0 without words."""
 
     def __init__(self, model: Model):
         self.m, self.n = model, len(model.words)
         self.at = {w: i for i, w in enumerate(model.words)}
+        self.start = self.at.get("", self.n)
         self.keys = np.append(model.pair_keys, np.iinfo(np.int64).max)
 
     def __call__(self, texts: list) -> np.ndarray:
@@ -133,59 +163,63 @@ class _Scorer:
                 ids += [self.at.get(w, self.n) for w in words_of(text)]
             ends[i + 1] = len(ids)
         w = np.array(ids, np.int64)
-        value = self.m.unigram[w]
-        if len(w) > 1:
-            pair = w[:-1] * self.n + w[1:]
-            k = np.searchsorted(self.keys, pair)
-            hit = (self.keys[k] == pair) & (w[:-1] < self.n) & (w[1:] < self.n)
-            start = np.zeros(len(w), bool)
-            start[ends[:-1][ends[:-1] < len(w)]] = True
-            hit &= ~start[1:]
-            value[1:][hit] = self.m.pair_gain[k[hit]]
-        sums = np.append(0.0, np.cumsum(value))
-        return (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(np.diff(ends), 1) ** self.m.params.power
-
-
-def _ratios(docs: DataFrame, model: Model, *more: str) -> DataFrame:
-    """``doc_id``, ``more`` and ``ratio``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        v = np.append(self.start, w[:-1])[: len(w)]
+        begin = ends[:-1][np.diff(ends) > 0]
+        v[begin] = self.start
+        value = self.m.word_gain[w] + self.m.history_gain[v]
+        pair = v * self.n + w
+        k = np.searchsorted(self.keys, pair)
+        hit = (self.keys[k] == pair) & (v < self.n) & (w < self.n)
+        value[hit] = self.m.pair_gain[k[hit]]
+        out = np.zeros(len(texts))
+        if len(begin):
+            out[np.diff(ends) > 0] = np.add.reduceat(value, begin)
+        return out / np.maximum(np.diff(ends), 1)
+
+
+def _ratios(docs: DataFrame, models: list[Model], *more: str) -> DataFrame:
+    """``doc_id``, ``more`` and ``ratio0`` on, one for each model."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _Scorer(shared.value)
+        scorers = [_Scorer(m) for m in shared.value]
         for batch in batches:
-            yield batch[["doc_id", *more]].assign(ratio=scorer(batch["text"].tolist()))
+            texts = batch["text"].tolist()
+            yield batch[["doc_id", *more]].assign(**{f"ratio{k}": scorer(texts) for k, scorer in enumerate(scorers)})
 
     extra = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
-    return docs.select("doc_id", "text", *more).mapInPandas(score, f"doc_id long{extra}, ratio double")
+    ratios = "".join(f", ratio{k} double" for k in range(len(models)))
+    return docs.select("doc_id", "text", *more).mapInPandas(score, f"doc_id long{extra}{ratios}")
 
 
-def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope and shift of the logistic curve. It crosses 0.5 at the cut with the fewest expected errors when a text is
-    toxic with probability ``share``, in the widest gap of such cuts: labels that the words do not bear out then cannot
-    drag the curve along. Its slope comes from the spread of the ratios."""
+def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float, tuple[float, float]]:
+    """Slope and shift of the logistic curve, and how bad it is: expected errors, then the smallness of its gap. It
+    crosses 0.5 at the cut with the fewest expected errors when a text is toxic with probability ``share``, in the
+    widest gap of such cuts: labels that the words do not bear out then cannot drag the curve along. Its slope comes
+    from the spread of the ratios."""
     at = np.unique(np.append(x[x > 0], 0.0))  # a text that is no likelier under the toxic model is never above the cut
     if len(at) < 2:
-        return 1.0, float(np.log(share / (1 - share)))
+        return 1.0, float(np.log(share / (1 - share))), (1.0, 0.0)
     cuts = (at[1:] + at[:-1]) / 2
     missed = np.searchsorted(np.sort(x[y == 1]), cuts) / max((y == 1).sum(), 1)
     alarms = 1 - np.searchsorted(np.sort(x[y == 0]), cuts) / max((y == 0).sum(), 1)
     errors = share * missed + (1 - share) * alarms
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    cut = cuts[best[np.argmax(np.diff(at)[best])]]
-    slope = 4 / max(float(x.std()), 1e-9)
-    return slope, float(-slope * cut)
+    widest = best[np.argmax(np.diff(at)[best])]
+    spread = max(float(x.std()), 1e-9)
+    return 4 / spread, float(-4 / spread * cuts[widest]), (float(errors.min()), -float(np.diff(at)[widest]) / spread)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1, higher: likelier toxic) and ``predicted`` (1 if score >= 0.5) for every row.
 
-    A null or empty text has no words and gets the curve's value at 0. Without a model every score is 0. Whole texts
+    A null or empty text has no words and gets the curve's value at 0. A score of exactly 0.5 counts as toxic. Without a model every score is 0. Whole texts
     are read, repeated rows each, other columns never.
     """
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    z = F.col("ratio") * F.lit(model.slope) + F.lit(model.shift)
-    scored = _ratios(docs, model).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    z = F.col("ratio0") * F.lit(model.slope) + F.lit(model.shift)
+    scored = _ratios(docs, [model]).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -213,11 +247,11 @@ def fit_labels(docs: DataFrame, labels: DataFrame, params: Params = Params()) ->
     marks = marks.where(fold_of(F.col("doc_id")) != 0)
     share = marks.agg(F.avg("toxic")).first()[0]
     sample = bounded_rows(marks, "toxic", params.sample_docs, seed=7, even=True)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), params, share)
+    return fit(docs.select("doc_id", "text").join(checked_broadcast(sample, sample.count()), "doc_id"), params, share)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_labels(docs, table(spark, sf_dir, "labels"))
-    held_out = (fold_of(F.col("doc_id")) == 0).alias("held_out")
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     return predict(docs, model).select("doc_id", held_out, "score", "predicted")

@@ -55,6 +55,54 @@ def test_toxicity_on_planted_words(spark):
     assert T.fit_labels(docs, labels.limit(0)) is None and T.predict(docs, None).count() == 600
 
 
+def test_toxicity_model_against_plain_python(spark):
+    """Every ratio of every text as dictionaries over all words and pairs give it, without the model's tables."""
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefg", k=3)) for _ in range(40)]
+    texts = [(int(i % 2), " ".join(rng.choices(names[: 25 + 10 * (i % 2)], weights=range(25 + 10 * (i % 2), 0, -1), k=rng.randint(0, 90)))) for i in range(60)]
+    params = T.Params(discounts=(0.5, 2.0))
+    sample = spark.createDataFrame(texts, "toxic int, text string")
+    words, pairs, totals, taken = T._counts(sample, params)
+    triples = {x: {(*((["", ""] + t.split())[i : i + 3]),) for y, t in texts if y == x for i in range(len(t.split()))} for x in (0, 1)}
+    pair = {x: {} for x in (0, 1)}
+    single = {x: {} for x in (0, 1)}
+    for x in (0, 1):
+        for _, v, w in triples[x]:
+            pair[x][v, w] = pair[x].get((v, w), 0) + 1
+        for _, w in pair[x]:
+            single[x][w] = single[x].get(w, 0) + 1
+    vocabulary = {*single[0], *single[1]}
+    n = {x: sum(single[x].values()) for x in (0, 1)}
+    least = {w: min(single[x].get(w, 0) / n[x] for x in (0, 1)) for w in vocabulary}
+
+    for k, d in enumerate(params.discounts):
+        own = {x: {w: max(0, single[x].get(w, 0) - d - params.alike * n[x] * least[w]) / n[x] for w in vocabulary} for x in (0, 1)}
+
+        def p(x, w):
+            shared = (1 - params.even) * least.get(w, 0) / sum(least.values()) + params.even / (len(vocabulary) + 1)
+            return own[x].get(w, 0) + (1 - sum(own[x].values())) * shared
+
+        def p_after(x, v, w):
+            h = {y: sum(c for (a, _), c in pair[y].items() if a == v) for y in (0, 1)}
+
+            def beyond(b):
+                expected = max(p(1 - x, b), pair[1 - x].get((v, b), 0) / h[1 - x] if h[1 - x] else 0)
+                return max(0, pair[x].get((v, b), 0) - d - params.alike * h[x] * expected) / max(h[x], 1)
+
+            return beyond(w) + (1 - sum(beyond(b) for b in vocabulary)) * p(x, w)
+
+        base = math.log((1 - sum(own[1].values())) / (1 - sum(own[0].values())))
+        asked = [t for _, t in texts[:8]] + ["unseen word", names[0], ""]
+        want = []
+        for t in asked:
+            w = ["", *t.split()]
+            each = [math.log(p_after(1, a, b) / p_after(0, a, b)) - base for a, b in zip(w[:-1], w[1:], strict=True)]
+            want.append(sum(each) / max(len(each), 1))
+        model = T._model(words, pairs, totals, taken, k, params)
+        assert T._Scorer(model)(asked).tolist() == pytest.approx(want, abs=1e-9)
+        assert len(model.pair_keys) or d > 1
+
+
 def test_field_learns_layouts():
     model = H.train(H.labelled_pages(250, seed=1), rounds=150)
     held = H.labelled_pages(80, seed=2)
