@@ -28,12 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder. Where neither is set
+    a temporary one serves a local session; on a cluster that is an error, since executors could not see it."""
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
-        path = sc.getCheckpointDir()
-    if path is None:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="terraspan-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
@@ -54,9 +55,14 @@ def fold_of(doc_id):
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def checked_broadcast(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` when its counted ``rows`` are at most ``most``; beyond that Spark joins it by a shuffle."""
-    return F.broadcast(df) if rows <= most else df
+#: Bytes of a value in a broadcast relation, about; strings and binaries are taken as keys of some length.
+WIDTH = {"boolean": 1, "int": 4, "float": 4, "string": 64, "binary": 64}
+
+
+def checked_broadcast(df: DataFrame, rows: int, most: int = 32 << 20) -> DataFrame:
+    """Broadcast ``df`` when its counted ``rows`` take at most ``most`` bytes; beyond that Spark joins it by a shuffle."""
+    width = 16 + sum(WIDTH.get(kind, 8) for _, kind in df.dtypes)
+    return F.broadcast(df) if rows * width <= most else df
 
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -71,14 +77,18 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def bounded_rows(rows: DataFrame, by: str, most: int, seed: int, even: bool = False) -> DataFrame:
-    """A sample of about ``most`` rows at most for each value of ``by``, chosen by a hash of ``doc_id``: counts come
-    from one aggregation over ids and ``by`` alone, then each row decides by itself, so nothing is sorted or moved.
-    even: no value gets more than the rarest one has."""
-    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+def bounded_rows(rows: DataFrame, by: str, most: int, seed: int, even: bool = False, counts: dict | None = None) -> DataFrame:
+    """A sample of about ``most`` rows at most for each value of ``by`` (not null), chosen by a hash of ``doc_id``: counts
+    come from one aggregation over ids and ``by`` alone, unless given, then each row decides by itself, so nothing is
+    sorted or moved. even: no value gets more than the rarest one has."""
+    counts = counts_by(rows, by) if counts is None else counts
     most = min([most, *counts.values()]) if even else most
-    rate = F.lit(0.0)
-    for value, n in counts.items():
-        rate = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(rate)
+    rate = f"rate_{seed}"
+    kind = rows.schema[by].dataType.simpleString()
+    rates = rows.sparkSession.createDataFrame([(v, min(1.0, most / n)) for v, n in counts.items()], f"`{by}` {kind}, {rate} double")
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
-    return rows.where(uniform < rate)
+    return rows.join(checked_broadcast(rates, len(counts)), by).where(uniform < F.col(rate)).select(*rows.columns)
+
+
+def counts_by(rows: DataFrame, by: str) -> dict:
+    return {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}

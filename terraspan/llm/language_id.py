@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm.common import bounded_rows, fold_of, letter_words, table, words_of
+from terraspan.llm.common import bounded_rows, counts_by, fold_of, letter_words, staged, table, words_of
 
 UNDETERMINED = "und"
 
@@ -24,8 +24,6 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Params:
     sample_docs: int = 1500  # labelled rows for each language that the model is fitted on, about
-    words: int = 60_000  # known words, the most frequent ones
-    grams: int = 60_000  # known n-grams, the most frequent ones
     longest: int = 5  # n-grams of a word, its start and end marked
     prior: float = 0.5  # added to every count
     evidence: float = 20.0  # words beyond which a score gets no surer
@@ -34,7 +32,8 @@ class Params:
 
 @dataclass(frozen=True)
 class Model:
-    """``words`` and ``grams`` map to rows of log probabilities; a row is centred, so that it only compares."""
+    """``words`` and ``grams``, all of the sample, map to rows of log probabilities; a row is centred, so that it only
+    compares."""
 
     langs: list[str]
     words: list[str]
@@ -47,39 +46,33 @@ class Model:
 def fit(docs: DataFrame, params: Params = Params()) -> Model:
     """Fit on rows of ``docs`` (doc_id, text, lang) that have both text and lang. No such row: a model without languages."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = bounded_rows(labelled, "lang", params.sample_docs, seed=5)
-    words = sample.select("lang", F.explode(letter_words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
+    counts = counts_by(labelled, "lang")
+    langs = sorted(counts)
+    if not langs:
+        return Model([], [], np.zeros((0, 0)), [], np.zeros((0, 0)), params)
+    sample = bounded_rows(labelled, "lang", params.sample_docs, seed=5, counts=counts)
+    words = staged(sample.select("lang", F.explode(letter_words(F.col("text"))).alias("word")).groupBy("lang", "word").count(), "lang_words")
     marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.char_length(marked) - (n - 1)), lambda i: F.substr(marked, i, F.lit(n)))
     some = lambda n: F.when(F.char_length(marked) >= n, cut(n)).otherwise(F.array().cast("array<string>"))
-    grams = words.where("char_length(word) <= 40").select(
+    grams = words.select(
         "lang", F.explode(F.flatten(F.array(*[some(n) for n in range(2, params.longest + 1)]))).alias("word")
     ).groupBy("lang", "word").count()
 
-    def wide(counts: DataFrame, most: int) -> pd.DataFrame:
-        langs = sorted(r.lang for r in sample_langs)
-        each = [F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
-        total = counts.groupBy("word").agg(F.sum("count").alias("total"), *each).where("total > 1")
-        return total.orderBy(F.desc("total"), "word").limit(most).toPandas()
+    at = {x: i for i, x in enumerate(langs)}
 
-    sample_langs = labelled.select("lang").distinct().collect()
-    langs = sorted(r.lang for r in sample_langs)
-    if not langs:
-        return Model([], [], np.zeros((0, 0)), [], np.zeros((0, 0)), params)
+    def table_of(found: pd.DataFrame, by_length: bool) -> tuple[list[str], np.ndarray]:
+        """Words or n-grams with their log probabilities; n-grams have those among n-grams of their length."""
+        row, names = pd.factorize(found["word"].astype(object), sort=True)
+        c = np.full((len(names), len(langs)), params.prior)
+        np.add.at(c, (row, found["lang"].map(at).to_numpy(int)), found["count"].to_numpy(float))
+        group = np.array([len(x) if by_length else 0 for x in names])
+        for g in np.unique(group):
+            c[group == g] /= c[group == g].sum(0)
+        p = np.log(c)
+        return list(names), (p - p.max(1, keepdims=True)).astype(np.float32) if len(p) else p
 
-    def rows(found: pd.DataFrame, group: np.ndarray | None = None) -> np.ndarray:
-        c = found[[f"c{i}" for i in range(len(langs))]].to_numpy(float) + params.prior
-        if group is None:
-            p = c / c.sum(0)
-        else:
-            p = np.zeros_like(c)
-            for g in np.unique(group):
-                p[group == g] = c[group == g] / c[group == g].sum(0)
-        p = np.log(p)
-        return (p - p.max(1, keepdims=True)).astype(np.float32)
-
-    w, g = wide(words, params.words), wide(grams, params.grams)
-    return Model(langs, w.word.tolist(), rows(w), g.word.tolist(), rows(g, g.word.str.len().to_numpy()), params)
+    return Model(langs, *table_of(words.toPandas(), False), *table_of(grams.toPandas(), True), params)
 
 
 class _Scorer:

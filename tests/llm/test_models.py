@@ -33,6 +33,53 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in L.predict(asked, none).collect()} == {"und"}
 
 
+def test_language_against_plain_python(spark):
+    rng = random.Random(8)
+    make = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 6)))
+    docs = [(i, " ".join(make("aeiouß" if i % 3 else "bcdxyé") for _ in range(rng.randint(0, 12))), "ba"[i % 3 > 0]) for i in range(40)]
+    docs.append((99, "w" * 60, "c"))
+    params = L.Params()
+    counts = {x: {} for x in "abc"}
+    for _, text, lang in docs:
+        for w in text.split():
+            counts[lang][w] = counts[lang].get(w, 0) + 1
+    grams = {x: {} for x in "abc"}
+    for x in "abc":
+        for w in counts[x]:
+            m = f"<{w}>"
+            for n in range(2, params.longest + 1):
+                for i in range(len(m) - n + 1):
+                    grams[x][m[i : i + n]] = grams[x].get(m[i : i + n], 0) + 1
+    known, known_grams = {w for x in "abc" for w in counts[x]}, {g for x in "abc" for g in grams[x]}
+
+    def log_p(of, names, x, g):
+        return math.log((of[x].get(g, 0) + params.prior) / sum(of[x].get(k, 0) + params.prior for k in names))
+
+    def row(w):
+        if w in known:
+            return [log_p(counts, known, x, w) for x in "abc"]
+        m = f"<{w}>"
+        for n in range(min(params.longest, len(m)), 1, -1):
+            hit = [m[i : i + n] for i in range(len(m) - n + 1) if m[i : i + n] in known_grams]
+            if hit:
+                same = {g for g in known_grams if len(g) == n}
+                each = [[log_p(grams, same, x, g) for x in "abc"] for g in hit]
+                return [sum(e) for e in zip(*[[v - max(e) for v in e] for e in each], strict=True)]
+        return [0.0] * 3
+
+    asked = [(i, t) for i, t, _ in docs[:6]] + [(200, "aei bcd unseen Aß ééx"), (201, "qqqq"), (202, "wwww " * 50), (203, "")]
+    got = {r.doc_id: r for r in L.predict(spark.createDataFrame(asked, "doc_id long, text string"), L.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))).collect()}
+    for i, text in asked:
+        words = text.lower().split()
+        if not words:
+            assert got[i].lang_pred == "und"
+            continue
+        total = [sum(v) / len(words) * min(len(words), params.evidence) for v in zip(*[[v - max(r) for v in r] for r in map(row, words)], strict=True)]
+        share = [math.exp(v - max(total)) for v in total]
+        assert got[i].score == pytest.approx(max(share) / sum(share), abs=1e-5)
+        assert got[i].lang_pred == "abc"[total.index(max(total))]
+
+
 def test_toxicity_on_planted_words(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choices(["ka", "lo", "mi", "ru", "te", "so"], k=rng.randint(1, 4)))
