@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,7 +34,6 @@ CLOSES |= {t: {"p"} for t in "address article aside blockquote div dl fieldset f
 #: An open element of the values keeps what is outside from being closed.
 KEEPS = frozenset("table ul ol dl select body html div section article main aside nav header footer form".split())
 SECTIONS = frozenset("article main aside nav header footer section form div".split())
-DEEP = 100  # levels of ancestors that still add features
 
 
 @dataclass
@@ -44,20 +45,35 @@ class Block:
 
 
 class _Blocks(HTMLParser):
-    """Leaf blocks in page order. Malformed pages are read as far as they make sense; nothing is refused."""
+    """Leaf blocks in page order. Malformed pages are read as far as they make sense; nothing is refused. A comment or a
+    tag that the page leaves open reaches to its end, as in browsers.
 
-    def __init__(self) -> None:
+    known: features of ancestors that a model has; others are left out, so that deep pages cost no more than flat ones."""
+
+    def __init__(self, known: Container[str] | None = None) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+        self.known = known
+        self.stack: list[tuple[str, frozenset[str], str]] = [("", frozenset(), "")]  # tag, marks, nearest block-level tag
+        self.open: Counter[str] = Counter()
         self.blocks: list[Block] = []
         self.held: list[str] = []
         self.linked = self.silent = self.links = 0
 
+    def whole(self, html: str) -> list[Block]:
+        self.feed(html)
+        if re.match(r"<[!/?a-zA-Z]", self.rawdata):
+            self.rawdata = ""
+        self.close()
+        self.flush()
+        return self.blocks
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)  # the base class refuses unknown ones
+
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            parent = next((t for t, _ in reversed(self.stack) if t not in INLINE), "")
-            self.blocks.append(Block(text, self.linked, self.stack[-1][1], parent))
+            self.blocks.append(Block(text, self.linked, self.stack[-1][1], self.stack[-1][2]))
         self.held, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -67,25 +83,30 @@ class _Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self.flush()
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k][0] in CLOSES.get(tag, ()):
-                    self.pop(k)
-                    break
-                if self.stack[k][0] in KEEPS:
-                    break
-        marks = self.stack[-1][1]
-        if len(self.stack) <= DEEP:
-            words = {f"c:{w}" for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z]+", v.lower()) if w}
-            if tag not in INLINE or words:
-                marks = marks | {f"t:{tag}"} | words
-            if tag in SECTIONS and not any(m.startswith("top:") for m in marks):
-                marks = marks | {f"top:{tag}"}
-        self.stack.append((tag, marks))
+            if any(self.open[t] for t in CLOSES.get(tag, ())):
+                for k in range(len(self.stack) - 1, 0, -1):
+                    if self.stack[k][0] in CLOSES[tag]:
+                        self.pop(k)
+                        break
+                    if self.stack[k][0] in KEEPS:
+                        break
+        _, marks, parent = self.stack[-1]
+        words = {f"c:{w}" for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z]+", v.lower()) if w}
+        new = {f"t:{tag}", *words} if tag not in INLINE or words else set()
+        if tag in SECTIONS and not any(m.startswith("top:") for m in marks):
+            new.add(f"top:{tag}")
+        if self.known is not None:
+            new = {m for m in new if m in self.known}
+        if not new <= marks:
+            marks = marks | new
+        self.stack.append((tag, marks, parent if tag in INLINE else tag))
+        self.open[tag] += 1
         self.silent += tag in SILENT
         self.links += tag == "a"
 
     def pop(self, k: int) -> None:
-        for tag, _ in self.stack[k:]:
+        for tag, _, _ in self.stack[k:]:
+            self.open[tag] -= 1
             self.silent -= tag in SILENT
             self.links -= tag == "a"
         del self.stack[k:]
@@ -93,6 +114,8 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
+        if self.open[tag] <= 0:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
                 self.pop(k)
@@ -107,12 +130,8 @@ class _Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def blocks_of(html: str | None) -> list[Block]:
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.blocks
+def blocks_of(html: str | None, known: Container[str] | None = None) -> list[Block]:
+    return _Blocks(known).whole(html or "")
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
@@ -259,7 +278,7 @@ def labelled_pages(n: int = 400, seed: int = 10) -> list[tuple[list[Block], list
 
     def other(kind: str) -> str:
         tag = rng.choice(ASIDE_TAGS[kind])
-        attr = named(ASIDE_WORDS[kind], 1.0 if tag in ("div", "section", "ul", "ol", "p", "ins") else 0.5)
+        attr = named(ASIDE_WORDS[kind] + 3 * ASIDE_WORDS[kind][:2], 1.0 if tag in ("div", "section", "ul", "ol", "p", "ins") else 0.5)
         if kind == "menu" or (kind in ("sidebar", "share", "footer") and rng.random() < 0.5):
             inner = "".join(f'<li><a href="/x">{words(rng.randint(1, 3))}</a></li>' for _ in range(rng.randint(2, 8)))
             inner = inner if tag in ("ul", "ol") else f"<ul>{inner}</ul>"
@@ -268,7 +287,10 @@ def labelled_pages(n: int = 400, seed: int = 10) -> list[tuple[list[Block], list
         elif kind == "comments":
             inner = (f"<h3>{words(2)}</h3>" if rng.random() < 0.6 else "") + "".join(f"<{t}{named(['comment', 'reply', 'reader'], 0.5)}><p>{prose(rng.randint(3, 60))}</p></{t}>" for t in [rng.choice(["div", "li", "article"])] * rng.randint(1, 5))
         elif kind == "footer":
-            inner = f"&copy; {words(3)} &middot; {prose(rng.randint(3, 12))}" if rng.random() < 0.6 else f"<p>{prose(rng.randint(4, 25))}</p>"
+            inner = rng.choice([f"&copy; {words(3)} &middot; {prose(rng.randint(3, 12))}", f"Copyright {rng.randint(1990, 2030)} {words(rng.randint(1, 3))}", f"<p>{prose(rng.randint(4, 25))}</p>"])
+        elif kind == "header" and rng.random() < 0.6:
+            title = words(rng.randint(1, 4))
+            inner = rng.choice([f"<h1>{title}</h1>", f"<h2>{title}</h2>", f'<h1><a href="/">{title}</a></h1>', f"<h2>{title}</h2><p>{prose(rng.randint(2, 9))}</p>", f'<a href="/"><b>{title}</b></a>'])
         elif kind == "advert":
             inner = rng.choice([prose(rng.randint(3, 20)), f"<p>{prose(rng.randint(3, 20))}</p>", f'<a href="#">{prose(6)}</a>'])
         else:
@@ -293,6 +315,8 @@ def labelled_pages(n: int = 400, seed: int = 10) -> list[tuple[list[Block], list
                 parts.append(f"<table><tr><td>{words(2)}</td><td>{words(1)}</td></tr></table>")
             else:
                 parts.append(other(rng.choice(["advert", "advert", "sidebar", "notice", "share", "form", "comments", "menu"])))
+        if rng.random() < 0.12:
+            return "".join(parts)  # right in the body
         tag = rng.choice(["article", "article", "main", "div", "section"])
         text = f"<{tag}{named(MAIN_WORDS, 1.0 if tag == 'div' and rng.random() < 0.7 else 0.4)}>{''.join(parts)}</{tag}>"
         if rng.random() < 0.35:
@@ -306,7 +330,16 @@ def labelled_pages(n: int = 400, seed: int = 10) -> list[tuple[list[Block], list
         before = [other(k) for k in ("header", "menu", "notice", "advert", "form", "sidebar") if rng.random() < 0.5]
         after = [other(k) for k in ("share", "sidebar", "comments", "advert", "form", "notice", "footer") if rng.random() < 0.5]
         rng.shuffle(before)
-        page = f"<html><head><title>\x01{words(4)}\x02</title></head><body>{''.join(before)}{main()}{''.join(after)}</body></html>"
+        text, kind = main(), rng.random()
+        if kind < 0.1:  # a plain page
+            before, after = [], after[:1] if rng.random() < 0.3 else []
+        elif kind < 0.2:  # a plainer one
+            before, after = [], []
+            text = "".join(rng.choice([f"<p>{x}</p>", f"<p>{x}", f"{x}<br>", x]) for x in (prose(rng.randint(8, 80)) for _ in range(rng.randint(1, 3))))
+        text = f"{''.join(before)}{text}{''.join(after)}"
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 5])):
+            text = f"<div>{text}</div>"
+        page = f"<html><head><title>\x01{words(4)}\x02</title></head><body>{text}</body></html>" if kind < 0.15 or kind > 0.2 else text
         blocks, labels, depth = [], [], 0
         for b in blocks_of(page):  # the marks \x01 and \x02 enclose what is not main text
             opened = depth + b.text.count("\x01")
@@ -326,7 +359,8 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFram
     """``id_col``, ``url``, ``text`` (main blocks in page order, joined by a space) and ``n_chars`` (its code points).
 
     A null or empty page, and one without main text, gives an empty text. Character references are decoded and white
-    space inside a block becomes one space. Whole pages are read, repeated rows each; other columns are not read.
+    space inside a block becomes one space. Whole pages are read at any depth, repeated rows each; other columns are not
+    read. Where two labellings of a page are equally likely, a block goes to what is not main text.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -334,7 +368,7 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFram
         for batch in batches:
             texts = []
             for html in batch.column(2):
-                blocks = blocks_of(html.as_py())
+                blocks = blocks_of(html.as_py(), shared.value.names)
                 texts.append(" ".join(b.text for b, y in zip(blocks, shared.value.decode(blocks), strict=True) if y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
@@ -343,5 +377,11 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFram
     return out.select(F.col("id").alias(id_col), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@lru_cache(maxsize=4)
+def composed_model(pages: int = 700, seed: int = 10) -> Model:
+    """The model of composed pages, trained once in a session: its size and effort do not depend on the tables."""
+    return train(labelled_pages(pages, seed))
+
+
 def op10_html_extract(spark, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"), train(labelled_pages()))
+    return extract(table(spark, sf_dir, "pages"), composed_model())

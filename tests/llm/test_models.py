@@ -179,7 +179,34 @@ def test_blocks():
 
 @pytest.fixture(scope="module")
 def field():
-    return H.train(H.labelled_pages())
+    return H.composed_model()
+
+
+def test_malformed_pages_are_read(field):
+    rng = random.Random(6)
+    bits = ["<", ">", "<!", "<![", "]]>", "<![foo[bar]]>", "<![if x]>", "<![CDATA[x > y]]>", "<!-- ", "-->", "--!>", "<!doctype html", "<?php ", "?>", "</", "<p", "<p class='", '"', "'", "=", "<b>", "</b>", "<div id=", "<a href=x>", "</a>", "<script>", "</script>", "<style>", "<textarea>", "<title>", "&", "&#", "&#x", "&amp", "&#0;", "&#xD800;", "text ", "\n", "\x00", "é", "<tr>", "<td>", "</table>", "<svg/>", "<br/>"]
+    for _ in range(4000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+        blocks = H.blocks_of(page, field.names)
+        assert len(field.decode(blocks)) == len(blocks)
+    text = lambda page: " ".join(b.text for b in H.blocks_of(page))
+    assert text("a <!-- open <p>x") == "a" and text("<p>a</p><div class='x y") == "a" and text("<![foo[bar]]>x") == "x" and text("a < b &lt; c") == "a < b < c"
+    assert len(H.blocks_of("<b>" * 100_000 + "<p>x</i>" * 1000, field.names)) == 1000  # in time that grows with the page
+
+
+def test_pages_not_made_by_the_generator(field):
+    one = "A lone paragraph of main text that goes on for a while, and says something of interest to its readers."
+    two = "A second one follows it, for the sake of those who read on; it ends here."
+    pages = [
+        (f"<body><p>{one}</p></body>", one), (f"<p>{one}", one), (one, one), (f"<html><body><h1>Title</h1><p>{one}<p>{two}</body></html>", f"Title {one} {two}"),
+        (f"<body><div id=nav><a href=/>Home</a> <a href=/a>About</a></div><div id=content><h1>News</h1><p>{one}<p>{two}</div><div id=footer>Copyright 2020 Someone</div>", f"News {one} {two}"),
+        ("<div>" * 150 + f"<article><p>{one}</p></article><div class=comments><p>I like this one a lot, thanks.</p></div>" + "</div>" * 150, one),
+        ("<b>" * 3000 + f"<article><p>{one}</p></article>", one),
+        (f"<header><h2>My site</h2></header><main><h1>On things</h1><p>{one}</p><ul><li>First thing.</li><li>Second thing.</li></ul><p>{two}</p></main><footer><p>All rights reserved.</p></footer>", f"On things {one} First thing. Second thing. {two}"),
+    ]
+    for page, want in pages:
+        blocks = H.blocks_of(page, field.names)
+        assert " ".join(b.text for b, y in zip(blocks, field.decode(blocks), strict=True) if y) == want
 
 
 def test_pages(spark, field):
