@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm.common import bounded_rows, checked_broadcast, fold_of, letter_words, staged, table, words_of
+from terraspan.llm.common import bounded_rows, checked_broadcast, counts_by, fold_of, letter_words, staged, table, words_of
 
 
 @dataclass(frozen=True)
@@ -126,12 +126,17 @@ def _model(words: pd.DataFrame, pairs: pd.DataFrame, t: _Totals, taken: dict, k:
 
 def fit(labelled: DataFrame, params: Params = Params(), share: float | None = None) -> Model | None:
     """Fit on rows with ``doc_id``, ``text`` and ``toxic`` (0 or 1); others are ignored. None if a class has no word.
-    The sample holds as many rows of either class; share is the toxic one's share of all labelled rows, if known. Of
-    discounts that do equally well the one whose cut leaves the widest gap is taken, then the first."""
+    The counts are of as many rows of either class, the curve is of all rows of the sample that are set aside for it;
+    share is the toxic one's share of all labelled rows, if known. The discount with the fewest expected errors is
+    taken, of several the one that puts the fewest rows the wrong way round, then the first."""
     known = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)")
-    sample = bounded_rows(known, "toxic", params.sample_docs, seed=6, even=True).withColumn("fold", fold_of(F.col("doc_id"))).cache()
+    sample = bounded_rows(known, "toxic", params.sample_docs, seed=6).withColumn("fold", F.coalesce(fold_of(F.col("doc_id")), F.lit(0))).cache()
     try:
-        found = _counts(sample.where(F.coalesce(F.col("fold"), F.lit(0)) != params.by), params)
+        counted = sample.where(F.col("fold") != params.by)
+        of_class = counts_by(counted, "toxic")
+        if len(of_class) < 2:
+            return None
+        found = _counts(bounded_rows(counted, "toxic", params.sample_docs, seed=8, even=True, counts=of_class), params)
         if found is None:
             return None
         models = [_model(*found, k, params) for k in range(len(params.discounts))]
@@ -141,8 +146,10 @@ def fit(labelled: DataFrame, params: Params = Params(), share: float | None = No
     finally:
         sample.unpersist()
     share = share if share is not None and 0 < share < 1 else 0.5
-    curves = [_curve(seen[f"ratio{k}"].to_numpy(float), seen["toxic"].to_numpy(float), share) for k in range(len(models))]
-    best = min(range(len(models)), key=lambda k: curves[k][2])
+    y = seen["toxic"].to_numpy(float)
+    ratios = [seen[f"ratio{k}"].to_numpy(float) for k in range(len(models))]
+    curves = [_curve(x, y, share) for x in ratios]
+    best = min(range(len(models)), key=lambda k: (round(curves[k][2], 9), _mixed(ratios[k], y)))
     return replace(models[best], slope=curves[best][0], shift=curves[best][1])
 
 
@@ -192,22 +199,28 @@ def _ratios(docs: DataFrame, models: list[Model], *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more).mapInPandas(score, f"doc_id long{extra}{ratios}")
 
 
-def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float, tuple[float, float]]:
-    """Slope and shift of the logistic curve, and how bad it is: expected errors, then the smallness of its gap. It
-    crosses 0.5 at the cut with the fewest expected errors when a text is toxic with probability ``share``, in the
+def _mixed(x: np.ndarray, y: np.ndarray) -> float:
+    """Part of the pairs of a toxic and an ordinary text whose ratios are the wrong way round; half of those that tie."""
+    ordinary, toxic = np.sort(x[y == 0]), x[y == 1]
+    below = np.searchsorted(ordinary, toxic - 1e-9) + np.searchsorted(ordinary, toxic + 1e-9)
+    return float(1 - below.mean() / 2 / len(ordinary)) if len(ordinary) and len(toxic) else 1.0
+
+
+def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float, float]:
+    """Slope and shift of the logistic curve, and its expected errors. It crosses 0.5 at the cut with the fewest expected errors when a text is toxic with probability ``share``, in the
     widest gap of such cuts: labels that the words do not bear out then cannot drag the curve along. Its slope comes
     from the spread of the ratios."""
-    at = np.unique(np.append(x[x > 0], 0.0))  # a text that is no likelier under the toxic model is never above the cut
+    at = np.unique(np.append(x[x > 1e-9], 0.0))  # a text that is no likelier under the toxic model is never above the cut
     if len(at) < 2:
-        return 1.0, float(np.log(share / (1 - share))), (1.0, 0.0)
+        return 1.0, float(np.log(share / (1 - share))), 1.0
     cuts = (at[1:] + at[:-1]) / 2
     missed = np.searchsorted(np.sort(x[y == 1]), cuts) / max((y == 1).sum(), 1)
     alarms = 1 - np.searchsorted(np.sort(x[y == 0]), cuts) / max((y == 0).sum(), 1)
     errors = share * missed + (1 - share) * alarms
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
     widest = best[np.argmax(np.diff(at)[best])]
-    spread = max(float(x.std()), 1e-9)
-    return 4 / spread, float(-4 / spread * cuts[widest]), (float(errors.min()), -float(np.diff(at)[widest]) / spread)
+    slope = 4 / max(float(x.std()), 1e-9)
+    return slope, float(-slope * cuts[widest]), float(errors.min())
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -246,7 +259,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, params: Params = Params()) ->
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(fold_of(F.col("doc_id")) != 0)
     share = marks.agg(F.avg("toxic")).first()[0]
-    sample = bounded_rows(marks, "toxic", params.sample_docs, seed=7, even=True)
+    sample = bounded_rows(marks, "toxic", params.sample_docs, seed=7)
     return fit(docs.select("doc_id", "text").join(checked_broadcast(sample, sample.count()), "doc_id"), params, share)
 
 
