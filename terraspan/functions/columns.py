@@ -28,9 +28,24 @@ def canonical_grid(df: DataFrame, short_first: bool = False) -> DataFrame:
     return df.withColumnsRenamed({a: b for a, b in names.items() if a != b})
 
 
+def time_column(df: DataFrame, source: str) -> str | None:
+    """The time of a variable's source (a or b), or the other source's; None if neither is there."""
+    return next((c for c in (f"time_{source}", "time_a", "time_b") if c in df.columns), None)
+
+
+def without(df: DataFrame, names: tuple[str, ...] = ("number", "expver")) -> DataFrame:
+    """``df`` without auxiliary columns; those that are not there do no harm."""
+    return df.drop(*[c for c in names if c in df.columns])
+
+
+def unique(names: list[str]) -> list[str]:
+    """Names without repetitions, in order."""
+    return list(dict.fromkeys(names))
+
+
 def subset(df: DataFrame, keys: list[str], wanted: list[str]) -> tuple[DataFrame, list[str]]:
     """Keys and those of ``wanted`` that exist, and the names that do not; an error if none exists."""
-    there = [c for c in wanted if c in df.columns]
+    there = [c for c in unique(wanted) if c in df.columns and c not in keys]
     if not there:
         raise MissingColumn(f"none of {wanted} is there")
     return df.select(*keys, *there), [c for c in wanted if c not in df.columns]

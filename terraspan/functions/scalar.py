@@ -18,6 +18,15 @@ def normal_longitude(lon) -> Column:
     return F.pmod(lon + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)
 
 
+def one_longitude_range(df: DataFrame, lon: str = "lon") -> DataFrame:
+    """``df``, unless its longitudes lie both below 0 and above 180: then they are of two conventions, an error. Reads
+    that column once."""
+    both = df.agg((F.min(lon) < 0) & (F.max(lon) > 180)).first()[0]
+    if both:
+        raise ValueError(f"{lon} holds values below 0 and above 180")
+    return df
+
+
 def latitude_weight(lat) -> Column:
     return F.cos(F.radians(lat))
 

@@ -105,8 +105,9 @@ def diagnostics(banded: DataFrame, keys: tuple[str, ...] = ("region_id", "variab
 
 
 def wide(banded: DataFrame, variables: list[str], keys: list[str]) -> DataFrame:
-    """One row for each of ``keys`` with four columns for each variable. Of several samples of a key the first by time
-    counts. Keys that any variable has are there, as after a chain of full outer joins."""
+    """One row for each of ``keys`` with four columns for each variable. Of several samples of a key the first by
+    ``time``, and ``other_time`` if it is there, counts. Keys that any variable has are there, as after a chain of full
+    outer joins."""
     parts = ("short", "seasonal", "long", "reconstructed")
     kept = banded.where("kept")
     first = lambda v, p: F.min_by(F.when(F.col("variable") == v, F.col(p)), F.when(F.col("variable") == v, F.struct("time", *[c for c in ("other_time",) if c in banded.columns]))).alias(f"{v}_{p}")

@@ -13,17 +13,21 @@ def cells_in_regions(cells: DataFrame, edges: DataFrame, band: float = 1.0) -> D
 
     edges: region_id and the sides x1, y1, x2, y2 of all rings of its polygons; holes and several parts need nothing
     more. A cell is inside if a ray to the east crosses an odd number of sides (an edge belongs to the region above
-    it and to its right). Of several regions the smallest id wins. Cells and sides meet by bands of latitude of
-    ``band`` degrees, an equi-join: a side is repeated for the bands it reaches, a cell is in one.
+    it and to its right). Of several regions the smallest id wins. Cells meet regions by tiles of ``band`` degrees that
+    the regions' boxes cover, and then only the sides of those regions in their own band of latitude: both are
+    equi-joins, on keys as many as there are tiles, and as regions and bands.
     """
-    spread = edges.where("y1 <> y2").withColumn(
-        "band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band)))
-    )
-    points = cells.select("lon", "lat").distinct().withColumn("band", F.floor(F.col("lat") / band))
+    reach = lambda a, b: F.sequence(F.floor(a / band), F.floor(b / band))
+    spread = edges.where("y1 <> y2").withColumn("band", F.explode(reach(F.least("y1", "y2"), F.greatest("y1", "y2"))))
+    ends = [f(g(f"{c}1", f"{c}2")).alias(f"{c}_{f.__name__}") for c in "xy" for f, g in ((F.min, F.least), (F.max, F.greatest))]
+    boxes = edges.groupBy("region_id").agg(*ends)
+    tiles = boxes.withColumn("band", F.explode(reach(F.col("y_min"), F.col("y_max")))).withColumn("tile", F.explode(reach(F.col("x_min"), F.col("x_max"))))
+    points = cells.select("lon", "lat").distinct().withColumns({"band": F.floor(F.col("lat") / band), "tile": F.floor(F.col("lon") / band)})
+    near = points.join(tiles, ["band", "tile"]).where("lon between x_min and x_max and lat between y_min and y_max").select("lon", "lat", "band", "region_id")
     crossing = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (
         F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
     )
-    inside = points.join(spread, "band").where(crossing).groupBy("lon", "lat", "region_id").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
+    inside = near.join(spread, ["region_id", "band"]).where(crossing).groupBy("lon", "lat", "region_id").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
     chosen = inside.groupBy("lon", "lat").agg(F.min("region_id").alias("region_id"))
     return cells.join(chosen, ["lon", "lat"])
 

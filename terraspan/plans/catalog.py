@@ -139,6 +139,12 @@ def sides(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SIDES, "region_id long, x1 double, y1 double, x2 double, y2 double")
 
 
+@query("region_outlines", f"WITH {PLACED} SELECT region_id, x1, y1, x2, y2 FROM sides")
+def region_outlines(spark, d):
+    """What a map of the regions alone draws."""
+    return sides(spark)
+
+
 @query("cell_to_region", f"WITH {PLACED} SELECT cell, region_id FROM placed")
 def cell_to_region(spark, d):
     wrapped = cells(spark, d).select("cell", normal_longitude(F.col("lon")).alias("lon"), "lat")
@@ -481,11 +487,24 @@ def split_ranges(spark, d):
     return windows.split_ranges(found(spark, d)).select("split", month("first_start"), month("last_end"), "n_windows")
 
 
-@query("multiscale_windows")
+#: Bands exist for every month of a series that is long enough, so a month's channels are there if each series' are. A
+#: normalised anomaly is NULL where the value is, or where the variable does not vary.
+CHAIN = f"""{BASE}, t1 AS (SELECT *, {each('{v} - avg({v}) OVER (PARTITION BY region_id, month) AS {v}_anomaly')} FROM mm),
+t2 AS (SELECT *, {each('stddev_pop({v}_anomaly) OVER (PARTITION BY region_id) AS {v}_std')} FROM t1),
+long_enough AS (SELECT region_id FROM t2 GROUP BY region_id
+  HAVING count(*) >= 16 AND {' AND '.join(f'count(CASE WHEN {v}_std > 1e-8 THEN {v}_anomaly END) >= 24' for v in VARIABLES)}),
+rows AS (SELECT DISTINCT region_id, year, month FROM mm WHERE region_id IN (SELECT region_id FROM long_enough)),
+s AS (SELECT *, CASE WHEN year <= 1996 THEN 'train' WHEN year <= 1998 THEN 'val' ELSE 'test' END AS split, year * 12 + month AS mi FROM rows),
+k AS (SELECT region_id, split, year AS start_year, month AS start_month, lead(year, 23) OVER w AS end_year, lead(month, 23) OVER w AS end_month,
+  lead(mi, 23) OVER w - mi AS span FROM s WINDOW w AS (PARTITION BY region_id, split ORDER BY mi))"""
+
+
+@query("multiscale_windows", f"""WITH {CHAIN} SELECT row_number() OVER (ORDER BY region_id, split, start_year, start_month) - 1 AS sample_id,
+  region_id, split, start_year, start_month, end_year, end_month, 24 AS window_length, 9 AS n_channels FROM k WHERE span = 23""")
 def multiscale_windows(spark, d):
     """The whole chain from monthly series to windows over band channels."""
     rows = regional.normalized(series_a(spark, d), series_b_twice(spark, d), VARIABLES)
-    table, _ = regional.multiscale_table(rows, VARIABLES, SETTINGS)
+    table, _ = regional.multiscale_table(rows, VARIABLES, SETTINGS, from_b=("total",))
     return regional.window_table(table, SETTINGS).drop("start_time", "end_time")
 
 
@@ -566,7 +585,11 @@ def plot_raw_vs_anomaly(spark, d):
     return rounded(rounded(rows, "total"), "total_anomaly", digits=5)
 
 
-@query("feature_catalog")
+#: Position, name, type, nullable, metadata of the columns that the merged and normalised table must have.
+FEATURES = [("region_id", "bigint"), ("year", "int"), ("month", "int"), *[(v + x, "double") for x in ("", "_climatology", "_anomaly", "_anomaly_std", "_anomaly_normalized") for v in VARIABLES]]
+
+
+@query("feature_catalog", f"""SELECT * FROM (VALUES {", ".join(f"({i}, '{c}', '{kind}', true, '{{}}')" for i, (c, kind) in enumerate(FEATURES))}) AS t(position, name, type, nullable, metadata)""")
 def feature_catalog(spark, d):
     rows = normalized(spark, d)
     features = C.feature_columns(rows, {"region_id", "year", "month"})

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraspan.functions import columns as C
 from terraspan.functions.columns import with_suffix
 from terraspan.functions.scalar import month_index
 from terraspan.operators import align, multiscale, normalize, spatial, windows
@@ -31,14 +32,30 @@ def normalized(a: DataFrame, b: DataFrame, variables: list[str]) -> DataFrame:
     return normalize.with_normalized(normalize.with_anomalies(merged, variables), variables)
 
 
-def multiscale_table(rows: DataFrame, variables: list[str], settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with four bands for each variable, one row a region and month, and the diagnostics of each series."""
-    columns = {f"{v}_anomaly_normalized": v for v in variables}
+def multiscale_table(
+    rows: DataFrame, variables: list[str], settings: Settings = Settings(), from_b: tuple[str, ...] = (), dedupe: str = "late"
+) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with four bands for each variable, one row a region and month, and the diagnostics of each series.
+
+    A variable's series runs in the order of its source's time: ``time_b`` for those of ``from_b``, else ``time_a``, or
+    the one of the two that is there, or the month; the other time settles ties. Where a month has several
+    observations each is a sample of the series, and the earliest one's values and bands stay (dedupe: late), or the
+    later ones go before the bands are taken (early).
+    """
+    if dedupe not in ("late", "early"):
+        raise ValueError(f"dedupe is late or early, not {dedupe}")
     timed = rows.withColumn("time", month_index(F.col("year"), F.col("month")))
-    long = normalize.long_form(timed, ["region_id", "year", "month", "time"], columns)
-    banded = multiscale.bands(long, ["time", "year", "month"], settings.band)
-    wide = multiscale.wide(banded, variables, align.KEY)
     order = [c for c in ("time_b", "time_a") if c in rows.columns] or ["time"]
+    if dedupe == "early":
+        timed = align.keep_first(timed, order)
+    keys, pieces = ["region_id", "year", "month"], []
+    for v in variables:
+        time = C.time_column(rows, "b" if v in from_b else "a") or "time"
+        other = next((c for c in ("time_a", "time_b") if c in rows.columns and c != time), time)
+        value = F.col(f"{v}_anomaly_normalized").cast("double")
+        pieces.append(F.struct(F.lit(v).alias("variable"), F.col(time).alias("time"), F.col(other).alias("other_time"), value.alias("value")))
+    banded = multiscale.bands(timed.select(*keys, F.inline(F.array(*pieces))), ["time", "other_time", "year", "month"], settings.band)
+    wide = multiscale.wide(banded, variables, align.KEY)
     table = align.keep_first(timed.join(wide, align.KEY, "left"), order).drop("time")
     return table, multiscale.diagnostics(banded)
 

@@ -1,7 +1,8 @@
 """Polygons of a GeoPackage (SQLite with WKB) as a Spark data source: ``spark.read.format("regions_gpkg")``.
 
-Options: path (a file every executor can open), table, id_column, and geometry_column (default geom). Only EPSG:4326
-(or an undefined reference system) is accepted. The source lists feature ids in ranges, one for each partition.
+Options: path (a file every executor can open), table, id_column, geometry_column (default geom), and attributes: names
+of further columns, separated by commas, or * for all; they come as strings. Only EPSG:4326 (or an undefined reference
+system) is accepted. The source lists feature ids in ranges, one for each partition.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ class GeoPackageReader(DataSourceReader):
         self.path, self.table, self.id_column = options["path"], options["table"], options["id_column"]
         self.geometry = options.get("geometry_column", "geom")
         self.size = int(options.get("rows_per_partition", 10_000))
+        self.attributes = attributes_of(options)
 
     def open(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
@@ -43,11 +45,21 @@ class GeoPackageReader(DataSourceReader):
         return [] if first is None else [Rows(a, min(a + self.size - 1, last)) for a in range(first, last + 1, self.size)]
 
     def read(self, part: Rows) -> Iterator[tuple]:
-        query = f'SELECT "{self.id_column}", "{self.geometry}" FROM "{self.table}" WHERE rowid BETWEEN ? AND ?'
+        columns = ", ".join(f'"{c}"' for c in (self.id_column, self.geometry, *self.attributes))
         with self.open() as db:
-            for region_id, blob in db.execute(query, (part.first, part.last)):
+            for region_id, blob, *rest in db.execute(f'SELECT {columns} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', (part.first, part.last)):
                 if blob is not None:
-                    yield int(region_id), wkb_of(blob)
+                    yield int(region_id), wkb_of(blob), *[None if x is None else str(x) for x in rest]
+
+
+def attributes_of(options: dict) -> list[str]:
+    """Names of the attribute columns asked for."""
+    wanted = [x.strip() for x in options.get("attributes", "").split(",") if x.strip()]
+    if wanted != ["*"]:
+        return wanted
+    with sqlite3.connect(f"file:{options['path']}?mode=ro", uri=True) as db:
+        names = [r[1] for r in db.execute(f'PRAGMA table_info("{options["table"]}")')]
+    return [x for x in names if x not in (options["id_column"], options.get("geometry_column", "geom"))]
 
 
 class GeoPackage(DataSource):
@@ -56,7 +68,7 @@ class GeoPackage(DataSource):
         return "regions_gpkg"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + "".join(f", `{x}` string" for x in attributes_of(self.options))
 
     def reader(self, schema) -> GeoPackageReader:
         return GeoPackageReader(self.options)

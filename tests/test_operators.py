@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terraspan.functions import columns as C
 from terraspan.functions import scalar as S
 from terraspan.operators import align, explore, multiscale, normalize, spatial, windows
+from terraspan.plans import regional
 from terraspan.sources import files, geopackage
 
 
@@ -210,6 +211,11 @@ def test_geopackage(spark, tmp_path):
     cells = spark.createDataFrame([(1.0, 1.0), (5.0, 5.0), (25.0, 5.0), (15.0, 5.0)], "lon double, lat double")
     found = {(r.lon, r.lat): r.region_id for r in spatial.cells_in_regions(cells, geopackage.polygon_sides(regions)).collect()}
     assert found == {(1.0, 1.0): 4000000001, (25.0, 5.0): 8}
+    with sqlite3.connect(path) as db:
+        db.execute("ALTER TABLE basins ADD COLUMN name TEXT")
+        db.execute("UPDATE basins SET name = 'far one' WHERE code = 8")
+    assert {(r.region_id, r.name) for r in load(id_column="code", attributes="name").select("region_id", "name").collect()} == {(8, "far one"), (4000000001, None)}
+    assert load(id_column="code", attributes="*").columns == ["region_id", "wkb", "fid", "name"]
     with pytest.raises(Exception, match="no column"):
         load(id_column="nothing").count()
     with pytest.raises(ValueError, match="3857"):
@@ -223,3 +229,44 @@ def test_slices(spark):
     assert values(explore.at_step(df, 2), "v") == [3]
     assert [(r.year, r.month) for r in explore.year_months(df).collect()] == [(2000, 1), (2000, 2)]
     assert math.isclose(spark.range(1).select(S.latitude_weight(F.lit(60.0))).first()[0], 0.5)
+
+
+def test_small_choices_of_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0, "x"), (2, 3.0, "x")], "number int, v double, expver string")
+    assert C.without(df).columns == ["v"] and C.without(C.without(df)).columns == ["v"]
+    assert C.unique(["b", "a", "b"]) == ["b", "a"]
+    assert C.require(df, {"v"}) is df
+    with pytest.raises(C.MissingColumn, match="w"):
+        C.require(df, {"v", "w"})
+    times = spark.createDataFrame([(1, 2)], "time_a int, time_b int")
+    assert (C.time_column(times, "a"), C.time_column(times, "b"), C.time_column(times.drop("time_b"), "b"), C.time_column(df, "a")) == ("time_a", "time_b", "time_a", None)
+    lon = lambda *x: spark.createDataFrame([(float(v),) for v in x], "lon double")
+    assert S.one_longitude_range(lon(-170, 170)).count() == 2 and S.one_longitude_range(lon(0, 359)).count() == 2 and S.one_longitude_range(lon().limit(0)).count() == 0
+    with pytest.raises(ValueError, match="lon"):
+        S.one_longitude_range(lon(-10, 190))
+    files.write_report(df.select("v"), str(tmp_path / "report"))
+    assert sorted(values(spark.read.csv(str(tmp_path / "report"), header=True, inferSchema=True), "v")) == [2.0, 3.0]
+
+
+@pytest.mark.parametrize("dedupe", ["late", "early"])
+def test_repeated_months_keep_the_earliest_observation_and_its_bands(spark, dedupe):
+    """Two observations in one month of source B, the later one with the smaller value, and one in source A."""
+    import datetime
+
+    rows = []
+    for i in range(40):
+        year, month = 2000 + i // 12, i % 12 + 1
+        day = lambda d, year=year, month=month: datetime.datetime(year, month, d)
+        rows.append((1, year, month, day(1), day(1), math.sin(i), math.cos(i)))
+        if i == 7:
+            rows.append((1, year, month, day(1), day(20), math.sin(i), -9.0))
+    schema = "region_id long, year int, month int, time_a timestamp_ntz, time_b timestamp_ntz, x_anomaly_normalized double, y_anomaly_normalized double"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    table, _ = regional.multiscale_table(df, ["x", "y"], from_b=("y",), dedupe=dedupe)
+    got = table.orderBy("year", "month").collect()
+    assert len(got) == 40
+    for r in got:
+        assert r.x_short + r.x_seasonal + r.x_long == pytest.approx(r.x_anomaly_normalized) and r.y_short + r.y_seasonal + r.y_long == pytest.approx(r.y_anomaly_normalized)
+    assert got[7].y_anomaly_normalized == math.cos(7) and got[7].time_b.day == 1
+    with pytest.raises(ValueError, match="dedupe"):
+        regional.multiscale_table(df, ["x"], dedupe="never")
