@@ -10,12 +10,14 @@ ablation.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm.common import BLANK, table
+from terraspan.llm.common import BLANK, shared_dir, table
 
 #: Bit k of the ledger is the k-th rule. Rules are only ever appended, so that old ledgers keep their meaning.
 RULES: dict[str, str] = {
@@ -137,6 +139,26 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs).withColumn("failed_bits", failed)
 
 
+#: Paths of the ledgers that this process has written, by application and table folder.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def stored_ledger(spark, sf_dir: str, anew: bool = False) -> DataFrame:
+    """The ledger of ``documents`` as a table in the shared folder: the texts are read once a session, whatever number of
+    policies and ablations follows. anew: measure again, after the documents have changed. A ledger that has been
+    cleared away is written again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _WRITTEN and not anew:
+        try:
+            return spark.read.parquet(_WRITTEN[key])
+        except AnalysisException:
+            pass
+    path = f"{shared_dir(spark)}/terraspan/ledger-{uuid.uuid4().hex}"
+    ledger(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 def passes(policy: Policy) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
@@ -165,7 +187,7 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(table(spark, sf_dir, "documents")), POLICIES["v2"])
+    rows = apply_policy(stored_ledger(spark, sf_dir), POLICIES["v2"])
     base = F.col("failed_bits").bitwiseAND(F.lit(POLICIES["v1-base"].mask).cast("long")) != 0
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -174,7 +196,7 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def op1_ablations(spark, sf_dir: str) -> DataFrame:
-    return ablations(ledger(table(spark, sf_dir, "documents")), POLICIES["v2"])
+    return ablations(stored_ledger(spark, sf_dir), POLICIES["v2"])
 
 
 _MEASURED_SQL = r"""

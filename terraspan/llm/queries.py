@@ -17,4 +17,4 @@ QUERIES = {
     "op9_piece_sampling": piece_sampling.op9_piece_sampling,
     "op10_html_extract": html_extract.op10_html_extract,
 }
-ORACLE = {**quality_rules.ORACLE, **secret_scan.ORACLE, **jaccard_join.ORACLE}
+ORACLE = {**quality_rules.ORACLE, **secret_scan.ORACLE, **vector_dedup.ORACLE, **jaccard_join.ORACLE}

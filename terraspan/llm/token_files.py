@@ -6,8 +6,10 @@ any document is decoded by itself. No rule crosses the end of a document.
 
 Format of a block, little-endian: the magic ``RPG1``; five uint32: terminals, rules, symbols, documents, crc32 of all
 that follows; then the arrays left uint16[rules], right uint16[rules], length uint32[rules], first symbol of each
-document uint32[documents + 1], doc_id int64[documents], symbols uint16[symbols]. Blocks are the binary column of a
-Parquet table, written by Spark's committer into the shared folder, so a lost executor leaves no half-written file.
+document uint32[documents + 1], doc_id int64[documents], whether there is one uint8[documents], symbols
+uint16[symbols]. Symbols take two bytes, so a block has 65,536 of them at most, terminals included. Blocks are the
+binary column of a Parquet table, written by Spark's committer into the shared folder, so a lost executor leaves no
+half-written file.
 """
 
 from __future__ import annotations
@@ -32,9 +34,8 @@ MAGIC = b"RPG1"
 @dataclass(frozen=True)
 class Params:
     block_tokens: int = 1_000_000  # a block closes at the first document that reaches so many
-    rounds: int = 8  # passes over a block
-    rules: int = 2048  # new rules in a pass at most, the most frequent pairs
-    least: int = 32  # occurrences of a pair worth a rule
+    rules: int = 4096  # new rules in a pass at most, the most frequent pairs; the others have their turn in the next one
+    least: int = 5  # occurrences of a pair that repay a rule of eight bytes
 
 
 # ---- Re-Pair ---------------------------------------------------------------------------------------------------------
@@ -44,11 +45,12 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, params: Params =
     """Symbols, rules (pairs of symbols; rule k is nonterminal terminals + k) and the marks of documents' last symbols.
 
     Each pass counts all pairs, makes rules of the most frequent ones and replaces their occurrences from left to
-    right; an occurrence that overlaps the one before it waits for the next pass.
+    right; an occurrence that overlaps the one before it waits for the next pass. It ends when no pair repays its rule,
+    or the symbols are used up. Of equally frequent pairs the smaller one comes first.
     """
     seq, last = ids.astype(np.uint32), last.copy()
     rules = np.zeros((0, 2), np.uint32)
-    for _ in range(params.rounds):
+    while True:
         room = min(params.rules, (1 << 16) - terminals - len(rules))
         if len(seq) < 2 or room <= 0:
             break
@@ -106,20 +108,21 @@ def expand(seq: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
 # ---- the file format -------------------------------------------------------------------------------------------------
 
 
-def write_block(doc_ids: list[int], ids: list[np.ndarray], terminals: int, params: Params = Params()) -> bytes:
+def write_block(doc_ids: list[int | None], ids: list[np.ndarray], terminals: int, params: Params = Params()) -> bytes:
     """Documents with one id at least each."""
     whole = np.concatenate(ids)
     last = np.zeros(len(whole), bool)
     last[np.cumsum([len(x) for x in ids]) - 1] = True
     seq, rules, last = compress(whole, last, terminals, params)
     first = np.append(0, np.flatnonzero(last) + 1).astype("<u4")
-    arrays = [rules[:, 0].astype("<u2"), rules[:, 1].astype("<u2"), lengths(rules, terminals).astype("<u4"), first, np.array(doc_ids, "<i8"), seq.astype("<u2")]
+    arrays = [rules[:, 0].astype("<u2"), rules[:, 1].astype("<u2"), lengths(rules, terminals).astype("<u4"), first, np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is not None for x in doc_ids], "u1"), seq.astype("<u2")]
     body = b"".join(a.tobytes() for a in arrays)
     return MAGIC + struct.pack("<5I", terminals, len(rules), len(seq), len(doc_ids), zlib.crc32(body)) + body
 
 
 class Block:
-    """A block read back: ``doc_ids``, ``document(i)`` and ``stretch(i, a, b)`` without decoding anything else."""
+    """A block read back: ``doc_ids`` (where ``named``), ``document(i)`` and ``stretch(i, a, b)`` without decoding anything
+    else."""
 
     def __init__(self, data: bytes):
         terminals, n_rules, n_symbols, n_docs, crc = struct.unpack_from("<5I", data, 4)
@@ -127,10 +130,11 @@ class Block:
         if data[:4] != MAGIC or zlib.crc32(body) != crc:
             raise ValueError("not a block, or a damaged one")
         at, parts = 0, []
-        for kind, n in (("<u2", n_rules), ("<u2", n_rules), ("<u4", n_rules), ("<u4", n_docs + 1), ("<i8", n_docs), ("<u2", n_symbols)):
+        for kind, n in (("<u2", n_rules), ("<u2", n_rules), ("<u4", n_rules), ("<u4", n_docs + 1), ("<i8", n_docs), ("|u1", n_docs), ("<u2", n_symbols)):
             parts.append(np.frombuffer(body, kind, n, at))
             at += n * int(kind[2])
-        left, right, length, self.first, self.doc_ids, self.symbols = parts
+        left, right, length, self.first, self.doc_ids, named, self.symbols = parts
+        self.named = named.astype(bool)
         self.terminals, self.rules = terminals, np.stack([left, right], 1).astype(np.uint32)
         self.size = np.append(np.ones(terminals, np.int64), length.astype(np.int64))
 
@@ -162,8 +166,8 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, params: Param
     """Encode ``docs`` (doc_id, text), put ``end_id`` behind each document, and write blocks in ascending ``doc_id``
     order. Returns the written table: part (in order), block in the part, ids of the part before the block, ids, data.
 
-    A null or empty text has the end id alone. Repeated ids stay, in the order of their texts; a null id is an error of
-    the input and counts as -1, first of all. Whole texts are encoded; other columns are not read. One shuffle by range.
+    A null or empty text has the end id alone. Repeated ids and rows stay, in the order of their texts; those without an id
+    come first and stay without one. Whole texts are encoded; other columns are not read. One shuffle by range.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +197,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, params: Param
         if doc_ids:
             yield closed()
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return staged(ordered.mapInArrow(blocks, BLOCKS), "token_blocks")
 
@@ -211,7 +215,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                 block = Block(data)
                 ids, at = block.tokens().astype("<u4"), block.bounds()
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                arrays = [pa.array(block.doc_ids), pa.array(at[:-1] + (base + before)), pa.array(np.diff(at)), pa.array(crc, pa.int64())]
+                arrays = [pa.array(block.doc_ids, mask=~block.named), pa.array(at[:-1] + (base + before)), pa.array(np.diff(at)), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = blocks.join(checked_broadcast(base, n_parts), "part").select("base", "before", "data")

@@ -85,7 +85,7 @@ def nearest(turned: np.ndarray) -> np.ndarray:
 
 def shape_of(n: int, d: int, params: Params) -> tuple[list[int], int]:
     """Axes of each of a table's hashes, and the number of tables, for n vectors."""
-    bits = float(np.log2(max(n / params.bucket, 2)))
+    bits = float(np.log2(max(n / params.bucket, 1)))
     whole = int(bits // np.log2(2 * d))
     rest = 2 ** (bits - whole * np.log2(2 * d))
     axes = [d] * whole + ([min(d, int(np.ceil(rest / 2)))] if rest > 1.01 else [])
@@ -246,3 +246,19 @@ def _linked(vectors: DataFrame, n: int, d: int, params: Params) -> DataFrame:
 
 def op3_vector_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs; candidates at small sizes are all pairs too, so that the results agree.
+ORACLE = {
+    "op3_vector_dedup": """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
+  WHERE len(x) > 0 AND list_bool_and(list_transform(x, lambda y: y IS NOT NULL AND isfinite(y))) AND list_dot_product(x, x) > 0),
+l AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) AND list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+}

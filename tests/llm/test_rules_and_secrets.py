@@ -16,6 +16,16 @@ def test_oracle(spark, name):
     assert compare(spark, DIR, QUERIES[name], ORACLE[name]) > 0
 
 
+def test_ledger_is_stored_once(spark):
+    first = Q.stored_ledger(spark, DIR)
+    assert Q.stored_ledger(spark, DIR).inputFiles() == first.inputFiles()
+    assert sorted(map(str, first.collect())) == sorted(map(str, Q.ledger(Q.table(spark, DIR, "documents")).collect()))
+    assert Q.stored_ledger(spark, DIR, anew=True).inputFiles() != first.inputFiles()
+    key = (spark.sparkContext.applicationId, DIR)
+    Q._WRITTEN[key] += "-gone"
+    assert Q.stored_ledger(spark, DIR).count() == first.count()
+
+
 def docs_of(spark, *texts):
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, n_words string, failed_bits int")  # clashing names

@@ -59,6 +59,23 @@ def test_blocks_round_trip(seed):
         token_files.Block(bytes(data))
 
 
+def test_files_keep_rows_without_ids_and_repeated_rows(spark):
+    rows = [(None, "a b", "x"), (-1, "c", "x"), (None, None, "x"), (5, "a b", "x"), (5, "a b", "x"), (0, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3)
+    got = token_files.read_documents(token_files.write_blocks(df, WORD)).orderBy("start").collect()
+    library = Tokenizer.from_file(WORD)
+    ids = lambda t: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+    want = [(None, ""), (None, "a b"), (-1, "c"), (0, ""), (5, "a b"), (5, "a b")]
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(ids(t)), zlib.crc32(ids(t))) for i, t in want]
+    assert [r.start for r in got] == np.cumsum([0, *(len(ids(t)) for _, t in want)])[:-1].tolist()
+
+
+def test_samples_of_rows_without_ids(spark):
+    df = spark.createDataFrame([(None, "hello there"), (None, "hello there"), (-1, "hello there")], "doc_id long, text string")
+    got = piece_sampling.sample(df, PIECE).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["-1"] * 2 + ["None"] * 4 and len({tuple(r.ids) for r in got}) == 2
+
+
 def some(spark, extra=()):
     rows = [(r.doc_id, r.text, r.source) for r in table(spark, DIR, "documents").limit(120).collect()]
     rows += [(100_000, None, None), (100_001, "", "src0"), (100_002, "a b", None), (100_003, "word " * 9000, "src1"), *extra]
