@@ -124,6 +124,40 @@ def test_packing(spark, mixture):
     assert packing.pack(df.limit(0), BYTE).count() == 0
 
 
+def test_packing_is_the_plain_deficit_loop(spark):
+    """Counters that grow by a quantum in every window, one token at a time, clashing columns and repeated rows included."""
+    from fractions import Fraction
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(["word"] * rng.randint(0, 40)) if i % 9 else None, rng.choice(["b", "a", None, "c", "a"]), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, queue int").coalesce(1)
+    params = packing.Params(length=16, window=4)
+    sizes = {s: sum(r[2] == s for r in rows) for s in {r[2] for r in rows}}
+    order = sorted(sizes, key=lambda s: (-sizes[s], s is not None, s or ""))
+    encoder = tokens.ByteEncoder(BYTE)
+    queues = [[(i, k) for i, t, s, _ in rows if s == q for k in range(len(encoder.encode_all([t])[0]) // 2 + 1)] for q in order]
+    total = sum(map(len, queues))
+    windows = -(-total // (params.length * params.window))
+    quanta, counters, placed = [Fraction(len(q), windows) for q in queues], [Fraction(0)] * len(queues), []
+    for _ in range(windows):
+        for q, quantum in enumerate(quanta):
+            counters[q] += quantum
+            take = int(counters[q])
+            counters[q] -= take
+            placed += queues[q][:take]
+            del queues[q][:take]
+    assert len(placed) == total and not any(queues)
+    ends = [params.length] * (total // params.length) + [1 << b for b in reversed(range(params.length)) if total % params.length >> b & 1]
+    want, at = {}, 0
+    for sequence, size in enumerate(ends):
+        want |= {token: (sequence, offset) for offset, token in enumerate(placed[at : at + size])}
+        at += size
+    got = {(r.doc_id, r.start + k): (r.sequence_id, r.offset + k) for r in packing.pack(df, BYTE, params).collect() for k in range(r.length)}
+    assert got == want
+    again = packing.pack(df.unionByName(df.limit(5)), BYTE, params)
+    assert again.agg({"length": "sum"}).first()[0] == total + sum(len(encoder.encode_all([t])[0]) // 2 + 1 for _, t, _, _ in rows[:5])
+
+
 def shared_queue(spark, mixture):
     rows = [(i, " ".join(["word"] * (5 + i % 7)), "big") for i in range(300)]
     rows += [(1000 + 100 * k + i, " ".join(["word"] * (4 + i % 5)), f"tail{k}" if k else None) for k in range(4) for i in range(80)]
