@@ -194,6 +194,9 @@ def train(pages: Iterable[tuple[list[Block], list[int]]], rounds: int = 300, pen
     n, longest = len(pages), max(len(r) for r, _ in pages)
     at = [(i, t, names[x]) for i, (rows, _) in enumerate(pages) for t, r in enumerate(rows) for x in r]
     page, step, feature = np.array(at).T
+    block = np.flatnonzero(np.append(True, (np.diff(page) != 0) | (np.diff(step) != 0)))  # first feature of each block
+    where = (page[block], step[block])
+    many = np.diff(np.append(block, len(page)))
     there = np.zeros((n, longest), bool)
     truth = np.zeros((n, longest, 2))
     for i, (rows, y) in enumerate(pages):
@@ -205,7 +208,7 @@ def train(pages: Iterable[tuple[list[Block], list[int]]], rounds: int = 300, pen
     for k in range(1, rounds + 1):
         w, m, f = theta
         s = np.zeros((n, longest, 2))
-        np.add.at(s, (page, step), w[feature])
+        s[where] = np.add.reduceat(w[feature], block, axis=0)
         alpha, beta = np.zeros_like(s), np.zeros_like(s)
         alpha[:, 0] = s[:, 0] + f
         for t in range(1, longest):
@@ -219,8 +222,8 @@ def train(pages: Iterable[tuple[list[Block], list[int]]], rounds: int = 300, pen
         p = np.exp(np.minimum(alpha + beta - total, 0)) * there[:, :, None]
         pair = alpha[:, :-1, :, None] + m + (s + beta)[:, 1:, None, :] - total[..., None]
         expected = (np.exp(np.minimum(pair, 0)) * there[:, 1:, None, None]).sum((0, 1))
-        g = np.zeros_like(w)
-        np.add.at(g, feature, (truth - p)[page, step])
+        off = np.repeat((truth - p)[where], many, axis=0)
+        g = np.stack([np.bincount(feature, off[:, k], len(names)) for k in (0, 1)], axis=1)
         grads = [g - penalty * w, moved - expected - penalty * m, (truth - p)[:, 0].sum(0) - penalty * f]
         for j, d in enumerate(grads):
             mean[j] = 0.9 * mean[j] + 0.1 * d
