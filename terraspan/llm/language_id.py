@@ -23,11 +23,11 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Params:
-    sample_docs: int = 1500  # labelled rows for each language that the model is fitted on, about
+    sample_docs: int = 400  # labelled rows for each language that the model is fitted on, about
     longest: int = 5  # n-grams of a word, its start and end marked
     prior: float = 0.5  # added to every count
     evidence: float = 20.0  # words beyond which a score gets no surer
-    cache: int = 250_000  # words a task remembers
+    cache: int = 100_000  # unknown words a task remembers
 
 
 @dataclass(frozen=True)

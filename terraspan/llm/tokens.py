@@ -63,7 +63,7 @@ class Encoder:
     letters = _byte_letters()
     plain: re.Pattern  # the vocabulary's pattern on plain characters
 
-    def __init__(self, path: str, cache: int = 600_000, special_as_text: bool = False):
+    def __init__(self, path: str, cache: int = 200_000, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
