@@ -27,7 +27,7 @@ class Params:
     longest: int = 5  # n-grams of a word, its start and end marked
     prior: float = 0.5  # added to every count
     evidence: float = 20.0  # words beyond which a score gets no surer
-    cache: int = 100_000  # unknown words a task remembers
+    cache: int = 50_000  # unknown words a task remembers
 
 
 @dataclass(frozen=True)

@@ -47,11 +47,15 @@ class Known(dict):
         ids = self.learn(s)
         if len(s) <= 64:
             if len(self) >= self.most:
-                for old in list(islice(reversed(self), self.most // 2)):
-                    del self[old]
+                self.trim(self.most // 2)
             self[s] = ids
         return ids
 
+    def trim(self, left: int) -> None:
+        """Keep the oldest entries, at most ``left``."""
+        for young in list(islice(reversed(self), max(0, len(self) - left))):
+            del self[young]
+
 
 class Encoder:
     """``encode_all(texts)`` gives each text's ids as bytes, little-endian, two bytes each (ids stay under 65,536).
@@ -62,8 +66,9 @@ class Encoder:
 
     letters = _byte_letters()
     plain: re.Pattern  # the vocabulary's pattern on plain characters
+    remembered = 200_000  # texts at most
 
-    def __init__(self, path: str, cache: int = 200_000, special_as_text: bool = False):
+    def __init__(self, path: str, cache: int | None = None, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -74,7 +79,7 @@ class Encoder:
         if self.size > 1 << 16:
             raise ValueError("ids must fit in two bytes")
         self.model = self.library.model.tokenize
-        self.stretches = Known(self.of_stretch, cache)
+        self.stretches = Known(self.of_stretch, cache or self.remembered)
 
     def of_piece(self, s: str) -> bytes:
         """Ids of what the vocabulary's pattern leaves whole."""
@@ -90,6 +95,10 @@ class Encoder:
             return self.whole(s)
         return b"".join(map(self.stretches.__getitem__, cut)) if len(cut) > 1 else self.of_piece(s) if s else b""
 
+    def rest(self, left: int) -> None:
+        """Between tasks: keep ``left`` of what is known, the earliest."""
+        self.stretches.trim(left)
+
     def whole(self, s: str) -> bytes:
         return array("H", self.library.encode(s, add_special_tokens=False).ids).tobytes()
 
@@ -106,6 +115,7 @@ class WordEncoder(Encoder):
     """For vocabularies that drop white space and case: no token crosses a space or a line feed."""
 
     plain = re.compile(f"[{STABLE}]+|[0-9]|[{SIGNS}]+")
+    remembered = 600_000
 
     def encode(self, text: str) -> bytes:
         cut = text.encode().lower().decode().replace("\n", " ").split(" ")  # ASCII letters only; the library folds the rest
@@ -126,6 +136,10 @@ class ByteEncoder(Encoder):
         super().__init__(*args, **kwargs)
         self.spaced = Known(self.after_space, self.stretches.most)  # by what follows the space
 
+    def rest(self, left: int) -> None:
+        super().rest(left)
+        self.spaced.trim(left)
+
     def after_space(self, s: str) -> bytes:
         if s.isascii() and s.isalpha():
             return array("H", [t.id for t in self.model(self.letters[32] + s)]).tobytes()
