@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from terraspan.llm import html_extract, jaccard_join, language_id, packing, piece_sampling, quality_rules, secret_scan, token_files, toxicity, vector_dedup
+from terraspan.llm import (
+    conversation_repair,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    language_id,
+    packing,
+    piece_sampling,
+    prefix_trie,
+    quality_rules,
+    secret_scan,
+    token_files,
+    toxicity,
+    vector_dedup,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,5 +30,10 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_piece_sampling": piece_sampling.op9_piece_sampling,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
-ORACLE = {**quality_rules.ORACLE, **secret_scan.ORACLE, **vector_dedup.ORACLE, **jaccard_join.ORACLE}
+ORACLE = {}
+for _m in (quality_rules, secret_scan, vector_dedup, jaccard_join, decontaminate, conversation_repair, prefix_trie):
+    ORACLE |= _m.ORACLE

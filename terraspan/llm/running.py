@@ -1,0 +1,28 @@
+"""Running sums over a whole table, without a task that sees it all."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from terraspan.llm.common import staged
+
+
+def running_sums(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sum of each of ``sums`` over all rows up to and with their own, by ``order`` (unique, any columns
+    that can be sorted).
+
+    Rows are dealt by ranges of ``order`` and kept in the shared folder; a window adds up inside a range, and the sums of
+    the ranges before it are added, of which the driver holds a row a range.
+    """
+    valued = rows.select("*", *[c.cast("long").alias(n) for n, c in sums.items()])
+    dealt = staged(valued.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range").agg(*[F.sum(n).alias(n) for n in sums]).orderBy("_range").collect()
+    before, base = dict.fromkeys(sums, 0), []
+    for t in totals:
+        base.append((t["_range"], *before.values()))
+        before = {n: v + (t[n] or 0) for n, v in before.items()}
+    offsets = rows.sparkSession.createDataFrame(base, ", ".join(["_range int", *[f"`_before_{n}` long" for n in sums]]))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = dealt.withColumns({n: F.sum(n).over(inside) for n in sums}).join(F.broadcast(offsets), "_range")  # a row a range
+    return added.select(*rows.columns, *[(F.coalesce(n, F.lit(0)) + F.col(f"_before_{n}")).alias(n) for n in sums])
