@@ -6,15 +6,19 @@ source B. Missing values are put in where the tables have none.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraspan.functions import columns as C
 from terraspan.functions.scalar import days_since, latitude_weight, month_index, normal_longitude
+from terraspan.functions.storage import new_path
 from terraspan.operators import align, explore, multiscale, normalize, spatial, windows
 from terraspan.plans import regional
+from terraspan.sources import netcdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,6 +172,45 @@ def days_since_decode(spark, d):
     return read(spark, d, "events").select("event_id", F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("decoded"), F.year(t).alias("year"), F.month(t).alias("month"))
 
 
+# ---- files -----------------------------------------------------------------------------------------------------------
+
+
+def coarse_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Mean order value and number of orders by month and box of 15 by 30 degrees; most cells have none."""
+    coarse = lambda c, step: (F.floor(F.col(c) / step) * step + step / 2).alias(c)
+    orders = read(spark, d, "orders").select("o_custkey", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("time"), "o_totalprice")
+    joined = orders.join(cells(spark, d), orders.o_custkey == F.col("cell"))
+    return joined.groupBy("time", coarse("lat", 15), coarse("lon", 30)).agg(F.avg("o_totalprice").alias("price"), F.count("*").cast("int").alias("n"))
+
+
+COARSE = f"""{CELLS}, coarse AS (SELECT date_trunc('month', o_orderdate) AS time, floor(lat / 15) * 15 + 7.5 AS lat, floor(lon / 30) * 30 + 15.0 AS lon,
+  avg(o_totalprice) AS price, count(*)::BIGINT AS n FROM orders JOIN cells ON o_custkey = cell GROUP BY 1, 2, 3)"""
+
+
+def grid_file(spark: SparkSession, d: str) -> str:
+    """The grid as a NetCDF file in the shared folder."""
+    path = new_path(spark, "grid").removeprefix("file://").removeprefix("file:") + ".nc"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    netcdf.write_netcdf(coarse_grid(spark, d), path, ["time", "lat", "lon"], {"title": "orders by month"})
+    return path
+
+
+@query("netcdf_round_trip", f"""WITH {COARSE} SELECT {YM}, lat, lon, {r('price', 4)} AS price, n FROM (SELECT DISTINCT time FROM coarse)
+  CROSS JOIN (SELECT DISTINCT lat FROM coarse) CROSS JOIN (SELECT DISTINCT lon FROM coarse) LEFT JOIN coarse USING (time, lat, lon)""")
+def netcdf_round_trip(spark, d):
+    """Every cell of the grid as the file gives it back, those without orders too."""
+    back = netcdf.read_netcdf(spark, grid_file(spark, d))
+    return rounded(back.select(F.year("time").alias("year"), F.month("time").alias("month"), "lat", "lon", "price", "n"), "price", digits=4)
+
+
+@query("netcdf_box", f"WITH {COARSE} SELECT {YM}, lat, lon, n FROM coarse WHERE time BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1998-06-30' AND lat BETWEEN -45 AND 45 AND lon >= 0")
+def netcdf_box(spark, d):
+    """One variable in a box of times and cells; nothing else of the file is read."""
+    box = {"time": (datetime(1996, 3, 1), datetime(1998, 6, 30)), "lat": (-45, 45), "lon": (0, None)}
+    back = netcdf.read_netcdf(spark, grid_file(spark, d), ["n"], box=box)
+    return back.where("n is not null").select(F.year("time").alias("year"), F.month("time").alias("month"), "lat", "lon", "n")
+
+
 # ---- series and alignment --------------------------------------------------------------------------------------------
 
 

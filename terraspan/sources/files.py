@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from terraspan.functions.columns import canonical_grid, subset
 from terraspan.functions.scalar import days_since, no_nan, normal_longitude
+from terraspan.sources.netcdf import read_netcdf
 
 
 def read_grid(spark: SparkSession, path: str, variables: list[str], short_first: bool = False, day_origin: str | None = None) -> DataFrame:
-    """A grid kept as Parquet, a row for each cell and time: time, lat, lon and those of ``variables`` that exist.
+    """A grid, a row for each cell and time: time, lat, lon and those of ``variables`` that exist. path: Parquet, or NetCDF
+    classic files if it ends in .nc.
 
     NaN becomes NULL, longitude goes to [-180, 180), and a time in days since ``day_origin`` is decoded."""
-    grid = canonical_grid(no_nan(spark.read.parquet(path)), short_first)
+    if path.endswith(".nc"):
+        source = read_netcdf(spark, path, variables, decode_times=day_origin is None)
+    else:
+        source = spark.read.parquet(path)
+    grid = canonical_grid(no_nan(source), short_first)
     grid, _ = subset(grid, ["time", "lat", "lon"], variables)
     if day_origin is not None:
         grid = grid.withColumn("time", days_since(F.col("time"), day_origin))
