@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraspan.functions import columns as C
+from terraspan.functions import projection
 from terraspan.functions.scalar import days_since, latitude_weight, month_index, normal_longitude
 from terraspan.functions.storage import new_path
 from terraspan.operators import align, explore, multiscale, normalize, spatial, windows
@@ -172,6 +173,40 @@ def days_since_decode(spark, d):
     return read(spark, d, "events").select("event_id", F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("decoded"), F.year(t).alias("year"), F.month(t).alias("month"))
 
 
+# ---- projections -----------------------------------------------------------------------------------------------------
+
+
+def projected(spark: SparkSession, d: str) -> DataFrame:
+    """Customers at projected places: Web Mercator, and UTM zones of either half and either ellipsoid."""
+    key = F.col("c_custkey")
+    code = F.when(key % 4 == 0, 3857).when(key % 4 == 1, 32601 + key % 60).when(key % 4 == 2, 32701 + key % 60).otherwise(25828 + key % 11)
+    x = F.when(key % 4 == 0, (key * 7919) % 40_000_000 - 20_000_000).otherwise(200_000 + (key * 7919) % 600_000)
+    y = F.when(key % 4 == 0, (key * 104_729) % 30_000_000 - 15_000_000).otherwise((key * 104_729) % 9_300_000 + F.when(key % 4 == 2, 600_000).otherwise(0))
+    return read(spark, d, "customer").select(key.alias("cell"), code.alias("epsg"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def utm_sql(flattening: float) -> str:
+    """lon and lat of ``x`` and ``y`` in a query over p, step by step."""
+    e, sphere, beta = projection.series(flattening)
+    total = lambda f, g: " - ".join(f"{b!r} * {f}(2 * {j} * xi) * {g}(2 * {j} * eta)" for j, b in beta.items())
+    steps = f"SELECT *, atan(sinh(q)) AS f0 FROM (SELECT *, atanh(sin(up) / cosh(across)) AS q FROM (SELECT *, xi - {total('sin', 'cosh')} AS up, eta - {total('cos', 'sinh')} AS across FROM (SELECT *, (y - off) / {projection.SCALE * sphere!r} AS xi, (x - 500000) / {projection.SCALE * sphere!r} AS eta FROM p)))"
+    for k in range(7):
+        steps = f"SELECT *, atan(sinh(q + {e!r} * atanh({e!r} * sin(f{k})))) AS f{k + 1} FROM ({steps})"
+    return f"SELECT cell, degrees(atan2(sinh(across), cos(up))) + zone * 6 - 183 AS lon, degrees(f7) AS lat FROM ({steps})"
+
+
+@query("reprojected_cells", f"""WITH k AS (SELECT c_custkey AS cell, c_custkey % 4 AS m, CASE c_custkey % 4 WHEN 0 THEN (c_custkey * 7919) % 40000000 - 20000000 ELSE 200000 + (c_custkey * 7919) % 600000 END::DOUBLE AS x,
+  CASE c_custkey % 4 WHEN 0 THEN (c_custkey * 104729) % 30000000 - 15000000 ELSE (c_custkey * 104729) % 9300000 + CASE WHEN c_custkey % 4 = 2 THEN 600000 ELSE 0 END END::DOUBLE AS y FROM customer),
+p AS (SELECT *, CASE m WHEN 3 THEN 28 + cell % 11 ELSE 1 + cell % 60 END AS zone, CASE m WHEN 2 THEN 1e7 ELSE 0 END AS off FROM k),
+w AS ({utm_sql(projection.FLATTENING["WGS84"])}), g AS ({utm_sql(projection.FLATTENING["GRS80"])}),
+a AS (SELECT cell, degrees(x / 6378137) AS lon, degrees(2 * atan(exp(y / 6378137)) - pi() / 2) AS lat FROM p WHERE m = 0
+  UNION ALL SELECT cell, lon, lat FROM w WHERE cell % 4 IN (1, 2) UNION ALL SELECT cell, lon, lat FROM g WHERE cell % 4 = 3)
+SELECT cell, {r(WRAP, 8)} AS lon, {r('lat', 8)} AS lat FROM a""")
+def reprojected_cells(spark, d):
+    degrees = projection.lon_lat(F.col("x"), F.col("y"), F.col("epsg"))
+    return rounded(projected(spark, d).select("cell", degrees.alias("p")).select("cell", "p.lon", "p.lat"), "lon", "lat", digits=8)
+
+
 # ---- files -----------------------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,9 @@
 """Polygons of a GeoPackage (SQLite with WKB) as a Spark data source: ``spark.read.format("regions_gpkg")``.
 
 Options: path (a file every executor can open), table, id_column, geometry_column (default geom), and attributes: names
-of further columns, separated by commas, or * for all; they come as strings. Only EPSG:4326 (or an undefined reference
-system) is accepted. The source lists feature ids in ranges, one for each partition.
+of further columns, separated by commas, or * for all; they come as strings. Reference systems that
+``functions.projection`` undoes are accepted: a geometry of another one than EPSG:4326 carries its code, and
+``polygon_sides`` gives degrees. The source lists feature ids in ranges, one for each partition.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terraspan.functions.projection import DEGREES, reprojected_sides, supported
+
 SCHEMA = "region_id long, wkb binary"
-SIDES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+SIDES = "struct<srid:int,sides:array<struct<x1:double,y1:double,x2:double,y2:double>>>"
+#: Marks a WKB type that is followed by the code of its reference system.
+CODED = 0x20000000
 #: Doubles in the envelope of a GeoPackage geometry header, by its code.
 ENVELOPE = {0: 0, 1: 4, 2: 6, 3: 6, 4: 8}
 
@@ -75,22 +80,32 @@ class GeoPackage(DataSource):
 
 
 def wkb_of(blob: bytes) -> bytes:
-    """The WKB behind a GeoPackage geometry header."""
+    """The WKB behind a GeoPackage geometry header, with the code of the reference system if that isn't degrees."""
     if blob[:2] != b"GP":
         raise ValueError("not a GeoPackage geometry")
     flags = blob[3]
     srs = struct.unpack_from("<i" if flags & 1 else ">i", blob, 4)[0]
-    if srs not in (4326, 0, -1):
-        raise ValueError(f"reference system {srs}: only EPSG:4326 can be read")
-    return bytes(blob[8 + 8 * ENVELOPE[(flags >> 1) & 7] :])
+    if not supported(srs):
+        raise ValueError(f"reference system {srs} cannot be turned into degrees")
+    wkb = bytes(blob[8 + 8 * ENVELOPE[(flags >> 1) & 7] :])
+    if srs in DEGREES:
+        return wkb
+    end = "<" if wkb[0] else ">"
+    return wkb[:1] + struct.pack(end + "Ii", struct.unpack_from(end + "I", wkb, 1)[0] | CODED, srs) + wkb[5:]
 
 
-def sides_of(wkb: bytes) -> list[tuple[float, float, float, float]]:
-    """Sides of all rings of a WKB polygon or multipolygon."""
+def sides_of(wkb: bytes) -> tuple[int, list[tuple[float, float, float, float]]]:
+    """Code of the reference system, and the sides of all rings of a WKB polygon or multipolygon."""
+    srid = 4326
 
     def geometry(at: int) -> tuple[int, list]:
+        nonlocal srid
         end = "<" if wkb[at] else ">"
-        kind = struct.unpack_from(end + "I", wkb, at + 1)[0] & 0xFFFF
+        kind = struct.unpack_from(end + "I", wkb, at + 1)[0]
+        if kind & CODED:
+            srid = struct.unpack_from(end + "i", wkb, at + 5)[0]
+            at += 4
+        kind &= 0xFFFF
         n = struct.unpack_from(end + "I", wkb, at + 5)[0]
         at, out = at + 9, []
         for _ in range(n):
@@ -107,10 +122,12 @@ def sides_of(wkb: bytes) -> list[tuple[float, float, float, float]]:
                 raise ValueError(f"geometry type {kind} is no polygon")
         return at, out
 
-    return geometry(0)[1]
+    sides = geometry(0)[1]
+    return srid, sides
 
 
 def polygon_sides(regions: DataFrame) -> DataFrame:
-    """region_id, x1, y1, x2, y2 of ``regions`` (region_id, wkb)."""
+    """region_id, x1, y1, x2, y2 of ``regions`` (region_id, wkb), in degrees."""
     sides = F.udf(lambda w: sides_of(bytes(w)), SIDES, useArrow=False)  # a row for each region, not for each cell
-    return regions.where("wkb is not null").select("region_id", F.inline(sides("wkb")))
+    found = regions.where("wkb is not null").select("region_id", sides("wkb").alias("s")).select("region_id", "s.srid", F.inline("s.sides"))
+    return reprojected_sides(found, F.col("srid")).drop("srid")
