@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -396,14 +397,15 @@ def long_rows(spark: SparkSession, d: str) -> DataFrame:
     return long.withColumn("value", F.when((F.col("region_id") != 2) | (F.col("time") % 3 == 0), lacking(F.col("value"))))
 
 
-SMOOTHED = "list_transform(range(0, np), lambda i: 0.5 * {x}[i + 1] + " + " + ".join(
-    f"({w * 4096:.0f} / 4096.0) * ({{x}}[(i - {k} * {{s}} + 64 * np) % np + 1] + {{x}}[(i + {k} * {{s}}) % np + 1])" for k, w in multiscale.SIDES
-) + ")"
-LONG = f"""{NORM}, l AS (SELECT region_id, year, month, year * 12 + month AS time, variable,
-  CASE WHEN (region_id <> 2 OR (year * 12 + month) % 3 = 0) AND (region_id * 31 + year * 12 + month) % 11 <> 0 THEN value END AS value
-  FROM (SELECT region_id, year, month, 'qty' AS variable, qty_anomaly_normalized AS value FROM n
-        UNION ALL SELECT region_id, year, month, 'total', total_anomaly_normalized FROM n)
-  WHERE (region_id <> 1 OR year < 1996) AND (region_id <> 2 OR year < 1998)),
+def smoothed(x: str, step: int, order: int = 4) -> str:
+    """A pass of the half-band filter over the list ``x`` of ``np`` values."""
+    terms = "".join(f" + {w!r} * ({x}[(i - {k * step} + 4096 * np) % np + 1] + {x}[(i + {k * step}) % np + 1])" for k, w in multiscale.half_band(order)[1])
+    return f"list_transform(range(0, np), lambda i: 0.5 * {x}[i + 1]{terms})"
+
+
+def bands_sql(rows: str, level: int = 5, order: int = 4, smooth: int = 3) -> str:
+    """CTEs from l (region_id, year, month, time, variable, value), given by ``rows``, to g (filled) and a0, a1, ... of each series."""
+    return f"""l AS ({rows}),
 i AS (SELECT *, row_number() OVER w AS i, count(*) OVER p AS rows_there, count(value) OVER p AS finite FROM l
   WINDOW w AS (PARTITION BY region_id, variable ORDER BY time), p AS (PARTITION BY region_id, variable)),
 f AS (SELECT *, last_value(value IGNORE NULLS) OVER back AS pv, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER back AS pi,
@@ -412,12 +414,19 @@ f AS (SELECT *, last_value(value IGNORE NULLS) OVER back AS pv, last_value(CASE
          ahead AS (PARTITION BY region_id, variable ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 g AS (SELECT *, finite >= 24 AS kept, CASE WHEN finite < 24 THEN NULL WHEN value IS NOT NULL THEN value WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv
   ELSE pv + (nv - pv) * ((i - pi)::DOUBLE / (ni - pi)) END AS filled FROM f),
-x AS (SELECT region_id, variable, list(filled ORDER BY time) AS x, count(*) AS n, (ceil(count(*) / 32.0) * 32)::BIGINT AS np FROM g WHERE kept GROUP BY 1, 2),
+x AS (SELECT region_id, variable, list(filled ORDER BY time) AS x, count(*) AS n, (ceil(count(*) / {1 << level}.0) * {1 << level})::BIGINT AS np FROM g WHERE kept GROUP BY 1, 2),
 a0 AS (SELECT *, list_transform(range(0, np), lambda i: x[CASE WHEN i < n THEN i ELSE 2 * (n - 1) - i END + 1]) AS a0 FROM x),
-a1 AS (SELECT *, {SMOOTHED.format(x='a0', s=1)} AS a1 FROM a0), a2 AS (SELECT *, {SMOOTHED.format(x='a1', s=2)} AS a2 FROM a1),
-a3 AS (SELECT *, {SMOOTHED.format(x='a2', s=4)} AS a3 FROM a2),
-bands AS (SELECT g.region_id, g.variable, g.year, g.month, g.time, g.kept, g.value, g.filled, g.filled - a2[g.i] AS short, a2[g.i] - a3[g.i] AS seasonal, a3[g.i] AS long
-  FROM g LEFT JOIN a3 ON a3.region_id = g.region_id AND a3.variable = g.variable)"""
+{", ".join(f"a{k + 1} AS (SELECT *, {smoothed(f'a{k}', 1 << k, order)} AS a{k + 1} FROM a{k})" for k in range(smooth))}"""
+
+
+BANDS = """bands AS (SELECT g.region_id, g.variable, g.year, g.month, g.time, g.kept, g.value, g.filled, g.filled - a2[g.i] AS short, a2[g.i] - a3[g.i] AS seasonal, a3[g.i] AS long
+  FROM g LEFT JOIN a3 ON a3.region_id = g.region_id AND a3.variable = g.variable)"""
+LONG_ROWS = """SELECT region_id, year, month, year * 12 + month AS time, variable,
+  CASE WHEN (region_id <> 2 OR (year * 12 + month) % 3 = 0) AND (region_id * 31 + year * 12 + month) % 11 <> 0 THEN value END AS value
+  FROM (SELECT region_id, year, month, 'qty' AS variable, qty_anomaly_normalized AS value FROM n
+        UNION ALL SELECT region_id, year, month, 'total', total_anomaly_normalized FROM n)
+  WHERE (region_id <> 1 OR year < 1996) AND (region_id <> 2 OR year < 1998)"""
+LONG = f"{NORM}, {bands_sql(LONG_ROWS)}, {BANDS}"
 
 
 def banded(spark: SparkSession, d: str) -> DataFrame:
@@ -431,10 +440,8 @@ def interpolate_both(spark, d):
 
 @query("reflect_pad", f"WITH {LONG} SELECT region_id, variable, np::INT AS padded, {r('list_sum(a0)', 5)} AS total, {r('a0[np]')} AS at_end FROM a0")
 def reflect_pad(spark, d):
-    s = multiscale.series(banded(spark, d).where("kept").select("region_id", "variable", "time", F.col("filled").alias("value")), ["region_id", "variable"], ["time"])
-    s = s.withColumn("p", multiscale.reflect_pad(F.transform("s", lambda e: e.value)))
-    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-    out = s.select("region_id", "variable", F.size("p").alias("padded"), F.round(total, 5).alias("total"), F.element_at("p", -1).alias("at_end"))
+    whole = multiscale.padded(long_rows(spark, d), ["region_id", "variable"], ["time"], multiscale.BandSpec()).where("kept")
+    out = whole.groupBy("region_id", "variable").agg(F.count("*").cast("int").alias("padded"), F.round(F.sum("filled"), 5).alias("total"), F.max_by("filled", "place").alias("at_end"))
     return rounded(out, "at_end").withColumn("total", F.col("total") + F.lit(0.0))
 
 
@@ -444,6 +451,51 @@ def wavelet_bands(spark, d):
     return rounded(banded(spark, d).where("kept").select("region_id", "variable", "year", "month", *names), *names)
 
 
+def convolved(x: str, taps: tuple[float, ...], step: int) -> str:
+    """An analysis filter over the list ``x``, centred."""
+    terms = " + ".join(f"{w!r} * {x}[(i + {(len(taps) // 2 - k) * step} + 4096 * np) % np + 1]" for k, w in enumerate(taps))
+    return f"list_transform(range(0, np), lambda i: {terms})"
+
+
+def coefficients_sql() -> str:
+    low, high = multiscale.analysis(4)
+    levels = [f"c{j} AS (SELECT *, {convolved(f'b{j - 1}', high, 1 << (j - 1))} AS d{j}, {convolved(f'b{j - 1}', low, 1 << (j - 1))} AS b{j} FROM c{j - 1})" for j in range(1, 6)]
+    return f"{NORM}, {bands_sql(LONG_ROWS, smooth=0).rstrip().rstrip(',')}, c0 AS (SELECT *, a0 AS b0 FROM a0), {', '.join(levels)}"
+
+
+PARTS = ["d1", "d2", "d3", "d4", "d5", "a5"]
+
+
+@query("wavelet_coefficients", f"WITH {coefficients_sql()} SELECT g.region_id, g.variable, g.year, g.month, {each('round({v}[g.i], 6) + 0.0 AS {v}', PARTS[:5])}, round(b5[g.i], 6) + 0.0 AS a5 FROM g JOIN c5 USING (region_id, variable) WHERE kept")
+def wavelet_coefficients(spark, d):
+    """The transform itself, at the samples of each series."""
+    found = multiscale.coefficients(long_rows(spark, d), ["time", "year", "month"]).where("time is not null")
+    return rounded(found.select("region_id", "variable", "year", "month", *PARTS), *PARTS)
+
+
+@query("wavelet_inverse", f"WITH {LONG} SELECT region_id, variable, year, month, round(short, 6) + 0.0 AS short, round(seasonal, 6) + 0.0 AS seasonal, round(filled, 6) + 0.0 AS whole FROM bands WHERE kept")
+def wavelet_inverse(spark, d):
+    """Rebuilt from chosen coefficients: the first two details, the third, all."""
+    coeffs, keys = multiscale.coefficients(long_rows(spark, d), ["time", "year", "month"]), ["region_id", "variable", "place"]
+    out = coeffs.where("time is not null").select(*keys, "year", "month")
+    for name, keep in (("short", PARTS[:2]), ("seasonal", PARTS[2:3]), ("whole", PARTS)):
+        out = out.join(multiscale.inverse(coeffs, keep).withColumnRenamed("rebuilt", name), keys)
+    return rounded(out.drop("place"), "short", "seasonal", "whole")
+
+
+#: Settings as a file of them holds.
+SCALES = {"wavelet_transform": {"transform_type": "swt", "wavelet_family": "db2", "levels": 3}, "scale_grouping": {"fast": "D1", "middle": "D2 + D3", "slow": "A3"}}
+
+
+@query("wavelet_scales", f"""WITH {NORM}, {bands_sql(LONG_ROWS, level=3, order=2)} SELECT g.region_id, g.variable, g.year, g.month,
+  round(g.filled - a1[g.i], 6) + 0.0 AS fast, round(a1[g.i] - a3[g.i], 6) + 0.0 AS middle, round(a3[g.i], 6) + 0.0 AS slow FROM g JOIN a3 USING (region_id, variable) WHERE kept""")
+def wavelet_scales(spark, d):
+    """Another filter, fewer levels and other groups, in small blocks."""
+    spec = replace(multiscale.BandSpec.of(SCALES), block=32)
+    found = multiscale.bands(long_rows(spark, d), ["time", "year", "month"], spec)
+    return rounded(found.where("kept").select("region_id", "variable", "year", "month", *spec.names), *spec.names)
+
+
 WIDE = ", ".join(f"max(CASE WHEN variable = '{v}' THEN {p} END) AS {v}_{p}" for v in ("qty", "total") for p in ("short", "seasonal", "long"))
 WIDE_NAMES = [f"{v}_{p}" for v in ("qty", "total") for p in ("short", "seasonal", "long")]
 
@@ -586,6 +638,21 @@ def multiscale_windows(spark, d):
     return regional.window_table(table, SETTINGS).drop("start_time", "end_time")
 
 
+CHAIN_ROWS = " UNION ALL ".join(f"SELECT region_id, year, month, (year * 12 + month) * 2 + again AS time, '{v}' AS variable, {v}_anomaly / nullif({v}_std, 0) AS value FROM t2" for v in VARIABLES)
+CHAIN_NAMES = [f"{v}_{p}" for v in VARIABLES for p in ("short", "seasonal", "long")]
+
+
+@query("multiscale_values", f"""WITH {CHAIN.split("long_enough AS")[0]} {bands_sql(CHAIN_ROWS)}, {BANDS}
+SELECT mm.region_id, mm.year, mm.month, round(max(total), 6) + 0.0 AS total, {", ".join(f"round(max(CASE WHEN variable = '{v}' THEN {p} END), 6) + 0.0 AS {v}_{p}" for v in VARIABLES for p in ("short", "seasonal", "long"))}
+FROM mm LEFT JOIN bands b ON b.region_id = mm.region_id AND b.year = mm.year AND b.month = mm.month AND b.time % 2 = 0 AND b.kept WHERE again = 0 GROUP BY 1, 2, 3""")
+def multiscale_values(spark, d):
+    """The chain's bands month by month: where a month has two observations, the values and bands of the earlier one, from a
+    series that holds both, in the order of each variable's own source."""
+    rows = regional.normalized(series_a(spark, d), series_b_twice(spark, d), VARIABLES)
+    table, _ = regional.multiscale_table(rows, VARIABLES, SETTINGS, from_b=("total",))
+    return rounded(table.select(*align.KEY, "total", *CHAIN_NAMES), "total", *CHAIN_NAMES)
+
+
 # ---- exploration -----------------------------------------------------------------------------------------------------
 
 

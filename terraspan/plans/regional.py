@@ -35,7 +35,7 @@ def normalized(a: DataFrame, b: DataFrame, variables: list[str]) -> DataFrame:
 def multiscale_table(
     rows: DataFrame, variables: list[str], settings: Settings = Settings(), from_b: tuple[str, ...] = (), dedupe: str = "late"
 ) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with four bands for each variable, one row a region and month, and the diagnostics of each series.
+    """``rows`` with the bands of each variable and their sum, one row a region and month, and the diagnostics of each series.
 
     A variable's series runs in the order of its source's time: ``time_b`` for those of ``from_b``, else ``time_a``, or
     the one of the two that is there, or the month; the other time settles ties. Where a month has several
@@ -55,11 +55,11 @@ def multiscale_table(
         value = F.col(f"{v}_anomaly_normalized").cast("double")
         pieces.append(F.struct(F.lit(v).alias("variable"), F.col(time).alias("time"), F.col(other).alias("other_time"), value.alias("value")))
     banded = multiscale.bands(timed.select(*keys, F.inline(F.array(*pieces))), ["time", "other_time", "year", "month"], settings.band)
-    wide = multiscale.wide(banded, variables, align.KEY)
+    wide = multiscale.wide(banded, variables, align.KEY, settings.band)
     table = align.keep_first(timed.join(wide, align.KEY, "left"), order).drop("time")
-    return table, multiscale.diagnostics(banded)
+    return table, multiscale.diagnostics(banded, spec=settings.band)
 
 
 def window_table(table: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    channels = with_suffix(table, "_short", "_seasonal", "_long", in_order=True)
+    channels = with_suffix(table, *[f"_{name}" for name in settings.band.names], in_order=True)
     return windows.windows(windows.with_split(table, settings.split), channels, settings.window)

@@ -60,22 +60,25 @@ def test_constant_series_has_no_normalised_anomaly(spark):
 
 
 def test_interpolation_and_padding(spark):
-    df = spark.createDataFrame([([None, None, 1.0, None, None, 4.0, 5.0, None, 7.0, None],)], "x array<double>")
-    assert df.select(multiscale.interpolate(F.col("x"))).first()[0] == [1, 1, 1, 2, 3, 4, 5, 6, 7, 7]
-    for n, pad in ((24, 8), (31, 1), (32, 0), (33, 31), (96, 0), (97, 31)):
-        got = spark.range(1).select(multiscale.reflect_pad(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("double")))).first()[0]
-        assert got == list(range(n)) + [n - 2 - k for k in range(pad)]
+    xs = [None, None, 1.0, None, None, 4.0, 5.0, None, 7.0, None]
+    df = spark.createDataFrame([(k, i, x) for k, own in ((1, xs), (2, [None] * 3), (3, [2.0])) for i, x in enumerate(own)], "k int, t int, value double")
+    got = multiscale.interpolated(df.repartition(3), ["k"], ["t"]).orderBy("k", "place").collect()
+    assert [r.filled for r in got] == [1, 1, 1, 2, 3, 4, 5, 6, 7, 7, None, None, None, 2] and [r.place for r in got[:10]] == list(range(10))
+    for n, level, pad in ((24, 5, 8), (31, 5, 1), (32, 5, 0), (33, 5, 31), (96, 5, 0), (97, 5, 31), (9, 5, 23), (2, 3, 6)):
+        q = spark.range(n).select(F.col("id").cast("int").alias("place"), F.lit(n).cast("long").alias("n")).withColumn("q", F.explode(multiscale.mirrored(level)))
+        got = {r.q: r.place for r in q.collect()}
+        assert [got[i] for i in range(n + pad)] == np.pad(np.arange(n), (0, pad), mode="reflect").tolist() and len(got) == n + pad
 
 
 #: Daubechies filter of eight taps.
 DB4 = [-0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309, -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965]
 
 
-def stationary_bands(x, level=5):
+def stationary_bands(x, level=5, taps=DB4):
     """Details and approximation by filtering in both directions, in the frequency domain."""
     n = len(x)
     spectrum, out = np.fft.fft(x), []
-    gain = lambda s: abs(sum(h * np.exp(-2j * np.pi * np.arange(n) * k * s / n) for k, h in enumerate(DB4))) ** 2 / 2
+    gain = lambda s: abs(sum(h * np.exp(-2j * np.pi * np.arange(n) * k * s / n) for k, h in enumerate(taps))) ** 2 / 2
     now = spectrum
     for j in range(level):
         low = now * gain(1 << j)
@@ -84,10 +87,13 @@ def stationary_bands(x, level=5):
     return out, np.fft.ifft(now).real
 
 
+def walk(spark, n, seed=1):
+    x = np.random.default_rng(seed).normal(size=n).cumsum()
+    return x, spark.createDataFrame([(1, "v", i, float(v)) for i, v in enumerate(x)], "region_id long, variable string, time int, value double").repartition(3)
+
+
 def test_bands_match_a_transform(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=96).cumsum()
-    df = spark.createDataFrame([(1, "v", i, float(v)) for i, v in enumerate(x)], "region_id long, variable string, time int, value double")
+    x, df = walk(spark, 96)
     rows = multiscale.bands(df, ["time"]).orderBy("time").collect()
     details, rest = stationary_bands(x)
     for name, want in (("short", details[0] + details[1]), ("seasonal", details[2]), ("long", details[3] + details[4] + rest)):
@@ -95,6 +101,50 @@ def test_bands_match_a_transform(spark):
     assert np.abs(np.array([r["reconstructed"] for r in rows]) - x).max() < 1e-9
 
 
+def test_filters():
+    """Orthonormal, flat, and the autocorrelation is the half-band filter; the order of eight taps is the known one."""
+    assert np.abs(np.array(multiscale.analysis(4)[0]) * math.sqrt(2) - DB4).max() < 1e-12
+    for order in range(1, 13):
+        low, high = map(np.array, multiscale.analysis(order))
+        auto = np.correlate(low, low, "full")[2 * order - 1 :]
+        centre, sides = multiscale.half_band(order)
+        assert abs(auto[0] - centre) < 1e-9 and max(abs(auto[k] - w) for k, w in sides) < 1e-7 and np.abs(auto[2::2]).max(initial=0) < 1e-7
+        assert abs(low @ high) < 1e-9 and max(abs(np.dot(high, np.arange(2.0 * order) ** m)) for m in range(min(order, 4))) < 1e-4
+
+
+@pytest.mark.parametrize("n, order, level, block", [(96, 2, 3, 32), (1000, 2, 3, 32), (257, 4, 2, 64), (500, 3, 4, 500), (130, 1, 5, 40)])
+def test_any_order_in_blocks(spark, n, order, level, block):
+    """Bands of blocks equal those of the whole series; the largest row holds a block and what it reaches."""
+    groups = tuple((f"p{j}", (f"D{j}",)) for j in range(1, level + 1)) + (("rest", (f"A{level}",)), ("odd", ("D1", f"A{level}")))
+    spec = multiscale.BandSpec(level=level, order=order, groups=groups, block=block)
+    x, df = walk(spark, n)
+    padded = np.pad(x, (0, -n % (1 << level)), mode="reflect")
+    details, rest = stationary_bands(padded, level, np.array(multiscale.analysis(order)[0]) * math.sqrt(2))
+    rows = multiscale.bands(df, ["time"], spec).orderBy("time").collect()
+    assert [r.time for r in rows] == list(range(n))
+    for name, want in (*((f"p{j + 1}", d) for j, d in enumerate(details)), ("rest", rest), ("odd", details[0] + rest)):
+        assert np.abs(np.array([r[name] for r in rows]) - want[:n]).max() < 1e-9
+    largest = multiscale.blocks(multiscale.padded(df, ["region_id", "variable"], ["time"], spec), ["region_id"], spec, ["filled"]).agg(F.max(F.size("s"))).first()[0]
+    assert largest <= block + 2 * spec.reach
+    coeffs = multiscale.coefficients(df, ["time"], spec).cache()
+    assert coeffs.count() == len(padded) and coeffs.where("time is null").count() == len(padded) - n
+    assert math.isclose(sum(coeffs.agg(*[F.sum(F.col(c) ** 2) for c in coeffs.columns if c[0] in "da" and c[1:].isdigit()]).first()), (padded**2).sum(), rel_tol=1e-9)
+    whole = [f"D{j}" for j in range(1, level + 1)] + [f"A{level}"]
+    for keep, want in ((whole, padded), (["D1"], details[0]), ([f"A{level}"], rest), ([f"d{level}"], details[-1])):
+        got = [r.rebuilt for r in multiscale.inverse(coeffs, keep, spec).orderBy("place").collect()]
+        assert np.abs(np.array(got) - want).max() < 1e-8
+
+
+def test_band_settings():
+    settings = {"wavelet_transform": {"wavelet_family": "db2", "levels": 3}, "scale_grouping": {"fast": "D1 + D2", "slow": "D3+A3"}}
+    spec = multiscale.BandSpec.of(settings)
+    assert (spec.order, spec.level, spec.groups) == (2, 3, (("fast", ("D1", "D2")), ("slow", ("D3", "A3"))))
+    assert multiscale.BandSpec.of({}).groups == multiscale.BandSpec().groups
+    for bad in ({"wavelet_transform": {"wavelet_family": "sym4"}}, {"wavelet_transform": {"padding_method": "zero"}}, {"scale_grouping": {"x": "D6"}}):
+        with pytest.raises(ValueError):
+            multiscale.BandSpec.of(bad)
+
+
 def test_band_guards(spark):
     rows = [(1, "v", i, float(i % 7)) for i in range(15)] + [(2, "v", i, float(i) if i < 23 else None) for i in range(30)] + [(3, "v", i, float(i)) for i in range(24)]
     df = spark.createDataFrame(rows, "region_id long, variable string, time int, value double")
