@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraspan.operators.normalize import long_form
+from terraspan.operators.ranges import quantiles
 
 
 def field_statistics(rows: DataFrame, variables: list[str]) -> DataFrame:
@@ -50,8 +51,8 @@ def match_counts(mapped: DataFrame, value: str) -> DataFrame:
 def colour_scale(mapped: DataFrame, value: str, robust: bool = True) -> DataFrame:
     """vmin, vmax and mode for a map: diverging and symmetric if values lie on both sides of 0, else sequential. No row
     without values. robust: from the 2nd to the 98th percentile."""
-    low, high = (F.percentile(value, F.lit(0.02)), F.percentile(value, F.lit(0.98))) if robust else (F.min(value), F.max(value))
-    ends = mapped.agg(low.alias("a"), high.alias("b")).where("a is not null")
+    ends = quantiles(mapped, value, {"a": 0.02, "b": 0.98}) if robust else mapped.agg(F.min(value).alias("a"), F.max(value).alias("b"))
+    ends = ends.where("a is not null")
     both = (F.col("a") < 0) & (F.col("b") > 0)
     most = F.greatest(F.abs("a"), F.abs("b"))
     return ends.select(

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraspan.functions.scalar import ratio
+from terraspan.functions.storage import stored
+from terraspan.operators.ranges import with_quantiles
 
 
 def climatology(rows: DataFrame, variables: list[str]) -> DataFrame:
@@ -42,12 +44,14 @@ def long_form(rows: DataFrame, keys: list[str], columns: dict[str, str]) -> Data
 def check_monthly_means(rows: DataFrame, variables: list[str]) -> DataFrame:
     """Mean, median and largest of the absolute mean anomaly over regions and months; all are about 0."""
     long = long_form(rows, ["region_id", "month"], {f"{v}_anomaly": v for v in variables})
-    means = long.groupBy("variable", "region_id", "month").agg(F.abs(F.avg("value")).alias("x"))
-    return means.groupBy("variable").agg(F.avg("x").alias("mean_abs"), F.median("x").alias("median_abs"), F.max("x").alias("max_abs"))
+    means = stored(long.groupBy("variable", "region_id", "month").agg(F.abs(F.avg("value")).alias("x")), "means")
+    summary = means.groupBy("variable").agg(F.avg("x").alias("mean_abs"), F.max("x").alias("max_abs"))
+    return with_quantiles(summary, means, "x", {"median_abs": 0.5}, ["variable"]).select("variable", "mean_abs", "median_abs", "max_abs")
 
 
 def check_normalized_std(rows: DataFrame, variables: list[str]) -> DataFrame:
     """Mean, median, least and largest deviation of the normalised anomaly over regions; all are about 1."""
     long = long_form(rows, ["region_id"], {f"{v}_anomaly_normalized": v for v in variables})
-    stds = long.groupBy("variable", "region_id").agg(F.stddev_pop("value").alias("x"))
-    return stds.groupBy("variable").agg(F.avg("x").alias("mean_std"), F.median("x").alias("median_std"), F.min("x").alias("min_std"), F.max("x").alias("max_std"))
+    stds = stored(long.groupBy("variable", "region_id").agg(F.stddev_pop("value").alias("x")), "stds")
+    summary = stds.groupBy("variable").agg(F.avg("x").alias("mean_std"), F.min("x").alias("min_std"), F.max("x").alias("max_std"))
+    return with_quantiles(summary, stds, "x", {"median_std": 0.5}, ["variable"]).select("variable", "mean_std", "median_std", "min_std", "max_std")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraspan.functions.scalar import month_index, month_start
+from terraspan.functions.storage import stored
+from terraspan.operators.ranges import with_quantiles
 
 
 @dataclass(frozen=True)
@@ -74,12 +76,10 @@ def numbered(found: DataFrame) -> DataFrame:
 
 def counts_by_split(found: DataFrame) -> DataFrame:
     """Number of regions, and mean, sample deviation, least, quartiles and largest of their numbers of windows."""
-    per = found.groupBy("split", "region_id").agg(F.count("*").alias("n"))
-    q = lambda p: F.percentile("n", F.lit(p))
-    return per.groupBy("split").agg(
-        F.count("*").alias("regions"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("least"),
-        q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("n").alias("largest"),
-    )
+    per = stored(found.groupBy("split", "region_id").agg(F.count("*").alias("n")), "counts")
+    summary = per.groupBy("split").agg(F.count("*").alias("regions"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("least"), F.max("n").alias("largest"))
+    whole = with_quantiles(summary, per, "n", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["split"])
+    return whole.select("split", "regions", "mean", "std", "least", "q25", "q50", "q75", "largest")
 
 
 def leaks(found: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ from terraspan.functions import columns as C
 from terraspan.functions import projection
 from terraspan.functions.scalar import days_since, latitude_weight, month_index, normal_longitude
 from terraspan.functions.storage import new_path
-from terraspan.operators import align, explore, multiscale, normalize, spatial, windows
+from terraspan.operators import align, explore, moments, multiscale, normalize, ranges, spatial, windows
 from terraspan.plans import regional
-from terraspan.sources import netcdf
+from terraspan.sources import files, netcdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,10 +145,39 @@ def sides(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SIDES, "region_id long, x1 double, y1 double, x2 double, y2 double")
 
 
-@query("region_outlines", f"WITH {PLACED} SELECT region_id, x1, y1, x2, y2 FROM sides")
+def outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as four-cornered regions made from their keys, those of every fourth one across the antimeridian."""
+    key = F.col("n_nationkey")
+    west, south = F.when(key % 4 == 0, 150.0 + key).otherwise((key * 67) % 260 - 170 + F.lit(0.25)), (key * 31) % 110 - 70 + F.lit(0.5)
+    wide, high = F.when(key % 4 == 0, 40.0 + key).otherwise(25.0 + key), 10.0 + key
+    corner = lambda dx, dy: F.struct(normal_longitude(west + dx * wide).alias("x"), (south + dy * high).alias("y"))
+    ring = [corner(0.0, 0.0), corner(1.0, 0.125), corner(0.75, 1.0), corner(0.125, 0.875)]
+    sides = F.array(*[F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")) for p, q in zip(ring, ring[1:] + ring[:1], strict=True)])
+    return read(spark, d, "nation").select(key.cast("long").alias("region_id"), F.inline(sides))
+
+
+CORNERS = ["0.0, 0.0", "1.0, 0.125", "0.75, 1.0", "0.125, 0.875"]
+OUTLINES = f"""boxes AS (SELECT n_nationkey::BIGINT AS region_id, CASE WHEN n_nationkey % 4 = 0 THEN 150.0 + n_nationkey ELSE (n_nationkey * 67) % 260 - 170 + 0.25 END::DOUBLE AS west,
+  ((n_nationkey * 31) % 110 - 70 + 0.5)::DOUBLE AS south, CASE WHEN n_nationkey % 4 = 0 THEN 40.0 + n_nationkey ELSE 25.0 + n_nationkey END::DOUBLE AS wide, (10.0 + n_nationkey)::DOUBLE AS high FROM nation),
+corners(k, ax, ay, ex, ey) AS (VALUES {", ".join(f"({k}, {p}, {q})" for k, (p, q) in enumerate(zip(CORNERS, CORNERS[1:] + CORNERS[:1], strict=True)))}),
+flat AS (SELECT region_id, west + ax * wide AS x1, south + ay * high AS y1, west + ex * wide AS x2, south + ey * high AS y2 FROM boxes, corners)"""
+TURNED = "{0} - 360 * floor(({0} + 180) / 360)"
+
+
+@query("region_outlines", f"WITH {OUTLINES} SELECT region_id, {r(TURNED.format('x1'))} AS x1, {r('y1')} AS y1, {r(TURNED.format('x2'))} AS x2, {r('y2')} AS y2 FROM flat")
 def region_outlines(spark, d):
     """What a map of the regions alone draws."""
-    return sides(spark)
+    return rounded(outlines(spark, d), "x1", "y1", "x2", "y2")
+
+
+@query("cell_to_outline", f"""WITH {OUTLINES}, {CELLS}, wrapped AS (SELECT cell, {WRAP} AS lon, lat FROM cells),
+moved AS (SELECT region_id, x1 - t AS x1, y1, x2 - t AS x2, y2 FROM flat, (VALUES (0), (360)) AS s(t)),
+inside AS (SELECT cell, region_id FROM wrapped JOIN moved ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 GROUP BY cell, region_id HAVING count(*) % 2 = 1)
+SELECT cell, min(region_id) AS region_id FROM inside GROUP BY cell""")
+def cell_to_outline(spark, d):
+    """Cells in regions that overlap, some of which cross the antimeridian."""
+    wrapped = cells(spark, d).select("cell", normal_longitude(F.col("lon")).alias("lon"), "lat")
+    return spatial.cells_in_regions(wrapped, outlines(spark, d)).select("cell", "region_id")
 
 
 @query("cell_to_region", f"WITH {PLACED} SELECT cell, region_id FROM placed")
@@ -247,6 +276,16 @@ def netcdf_box(spark, d):
     return back.where("n is not null").select(F.year("time").alias("year"), F.month("time").alias("month"), "lat", "lon", "n")
 
 
+@query("clustered_box", f"WITH {COARSE} SELECT {YM}, lat, lon, {r('price', 4)} AS price FROM coarse WHERE time BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1997-06-30' AND lat BETWEEN 0 AND 45 AND lon BETWEEN -90 AND 30")
+def clustered_box(spark, d):
+    """A box out of a grid that is stored along a curve; the scan skips row groups by their statistics."""
+    path = new_path(spark, "clustered")
+    files.write_clustered(coarse_grid(spark, d), path)
+    ntz = lambda s: F.lit(s).cast("timestamp_ntz")
+    box = spark.read.parquet(path).where(F.col("time").between(ntz("1996-03-01"), ntz("1997-06-30")) & F.col("lat").between(0, 45) & F.col("lon").between(-90, 30))
+    return rounded(box.select(F.year("time").alias("year"), F.month("time").alias("month"), "lat", "lon", "price"), "price", digits=4)
+
+
 # ---- series and alignment --------------------------------------------------------------------------------------------
 
 
@@ -382,6 +421,36 @@ def qc_normalized_std(spark, d):
     return rounded(normalize.check_normalized_std(normalized(spark, d), VARIABLES), "mean_std", "median_std", "min_std", "max_std")
 
 
+FIT = f"""{BASE}, c AS (SELECT region_id, month, {each('avg({v}) AS {v}_climatology')} FROM m WHERE year <= 1996 GROUP BY 1, 2),
+sd AS (SELECT region_id, {each('sqrt(avg(pow({v} - {v}_climatology, 2))) AS {v}_std')} FROM m JOIN c USING (region_id, month) WHERE year <= 1996 GROUP BY 1)"""
+NORMALIZED = [f"{v}_anomaly_normalized" for v in VARIABLES]
+
+
+@query("fitted_normalized", f"""WITH {FIT} SELECT region_id, year, month, {each('round(({v} - {v}_climatology) / nullif({v}_std, 0), 6) + 0.0 AS {v}_anomaly_normalized')}
+FROM m LEFT JOIN c USING (region_id, month) LEFT JOIN sd USING (region_id)""")
+def fitted_normalized(spark, d):
+    """All months, normalised by what the training years alone say."""
+    rows = merged(spark, d)
+    fitted = moments.merged(moments.states(rows.where(F.col("year") <= SPLIT.train_until), VARIABLES))
+    return rounded(moments.normalized(rows, fitted, VARIABLES).select(*align.KEY, *NORMALIZED), *NORMALIZED)
+
+
+@query("incremental_normalized", f"WITH {NORM} SELECT region_id, year, month, {each('round({v}_anomaly_normalized, 6) + 0.0 AS {v}_anomaly_normalized')} FROM n")
+def incremental_normalized(spark, d):
+    """The same as from all rows at once, from states stored in three batches, one of which comes twice."""
+    rows, path = merged(spark, d), new_path(spark, "states")
+    for batch, test in (("first", "year <= 1996"), ("second", "year = 1997"), ("second", "year = 1997"), ("third", "year > 1997")):
+        moments.add_batch(spark, path, rows.where(test), VARIABLES, batch)
+    return rounded(moments.normalized(rows, moments.load(spark, path), VARIABLES).select(*align.KEY, *NORMALIZED), *NORMALIZED)
+
+
+@query("anomaly_quantiles", f"""WITH {NORM}, l AS ({long_sql('_anomaly_normalized')}) SELECT variable, month, {r('quantile_cont(value, 0.05)')} AS low, {r('quantile_cont(value, 0.5)')} AS middle, {r('quantile_cont(value, 0.95)')} AS high
+FROM l WHERE value IS NOT NULL GROUP BY 1, 2""")
+def anomaly_quantiles(spark, d):
+    long = normalize.long_form(normalized(spark, d), align.KEY, {f"{v}_anomaly_normalized": v for v in VARIABLES})
+    return rounded(ranges.quantiles(long, "value", {"low": 0.05, "middle": 0.5, "high": 0.95}, ["variable", "month"]), "low", "middle", "high")
+
+
 # ---- bands -----------------------------------------------------------------------------------------------------------
 
 
