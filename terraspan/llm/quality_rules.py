@@ -139,22 +139,31 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs).withColumn("failed_bits", failed)
 
 
-#: Paths of the ledgers that this process has written, by application and table folder.
-_WRITTEN: dict[tuple[str, str], str] = {}
+#: Paths of the ledgers that this process has written, by application and the state of the documents' files.
+_WRITTEN: dict[tuple, str] = {}
 
 
-def stored_ledger(spark, sf_dir: str, anew: bool = False) -> DataFrame:
+def files_of(docs: DataFrame) -> tuple:
+    """Names, sizes and times of the files that a table is read from, as its store tells them."""
+    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in sorted(docs.inputFiles())]
+    states = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    return tuple((p.toString(), s.getLen(), s.getModificationTime()) for p, s in zip(paths, states, strict=True))
+
+
+def stored_ledger(spark, sf_dir: str) -> DataFrame:
     """The ledger of ``documents`` as a table in the shared folder: the texts are read once a session, whatever number of
-    policies and ablations follows. anew: measure again, after the documents have changed. A ledger that has been
-    cleared away is written again."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _WRITTEN and not anew:
+    policies and ablations follows. It belongs to the files it was measured on: when one of them has changed, or the
+    ledger has been cleared away, it is written again."""
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, files_of(docs))
+    if key in _WRITTEN:
         try:
             return spark.read.parquet(_WRITTEN[key])
         except AnalysisException:
             pass
     path = f"{shared_dir(spark)}/terraspan/ledger-{uuid.uuid4().hex}"
-    ledger(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    ledger(docs).write.option("compression", "zstd").parquet(path)
     _WRITTEN[key] = path
     return spark.read.parquet(path)
 
