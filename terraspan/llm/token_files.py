@@ -166,8 +166,8 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, params: Param
     """Encode ``docs`` (doc_id, text), put ``end_id`` behind each document, and write blocks in ascending ``doc_id``
     order. Returns the written table: part (in order), block in the part, ids of the part before the block, ids, data.
 
-    A null or empty text has the end id alone. Repeated ids and rows stay, in the order of their texts; those without an id
-    come first and stay without one. Whole texts are encoded; other columns are not read. One shuffle by range.
+    A null or empty text has the end id alone. Repeated ids and rows stay, in the order of a hash of their texts, by which
+    ranges may split them; those without an id come first and stay without one. Whole texts are encoded; other columns are not read. One shuffle by range.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 2, params: Param
             yield closed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.withColumn("mark", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
     return staged(ordered.mapInArrow(blocks, BLOCKS), "token_blocks")
 
 
