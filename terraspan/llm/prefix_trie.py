@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from terraspan.llm.common import BLANK, staged, table
 from terraspan.llm.conversation_repair import _CRC
-from terraspan.llm.running import running_sums
+from terraspan.operators.ranges import running_sums
 
 ROOT = b"\0" * 16
 #: Ids in one piece of a list that is hashed.
