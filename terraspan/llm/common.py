@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -50,6 +53,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hand_back() -> None:
+    """At the end of a task: give memory that a worker process no longer uses back to the system. Workers live on between
+    tasks and stages, and what they hold counts against their executor."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold_of(doc_id):
     """crc32 of the id as text, modulo 5; rows with remainder 0 are held out from training."""
     return F.crc32(doc_id.cast("string")) % 5

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm.common import bounded_rows, counts_by, fold_of, letter_words, staged, table, words_of
+from terraspan.llm.common import bounded_rows, counts_by, fold_of, hand_back, letter_words, staged, table, words_of
 
 UNDETERMINED = "und"
 
@@ -141,6 +141,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             lang, sure = scorer(batch["text"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": sure})
+        del scorer
+        hand_back()
 
     return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, lang_pred string, score double")
 
@@ -157,6 +159,8 @@ def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
         for batch in batches:
             lang, sure = scorer(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(lang, sure, strict=True)], pa.bool_()))
+        del scorer
+        hand_back()
 
     return docs.mapInArrow(kept, docs.schema)
 

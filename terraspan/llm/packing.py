@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraspan.llm.common import checked_broadcast, staged, table
+from terraspan.llm.common import checked_broadcast, hand_back, staged, table
 from terraspan.llm.tokens import ByteEncoder, encoder_of
 
 
@@ -112,7 +112,8 @@ def encoded(docs: DataFrame, tokenizer: str, sources: list[str | None], params:
                     done[q] += len(x) // 2
                 arrays = [rows.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(queue, pa.int32()), pa.array(before, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(names, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "part", "queue", "before", "n", "ids", "source"])
-        encoder.rest(40_000)  # other stages share the worker's memory
+        encoder.rest(10_000)  # other stages share the worker's memory
+        hand_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     return staged(rows.mapInArrow(encode, "doc_id long, part int, queue int, before long, n long, ids binary, source string"), "packing")

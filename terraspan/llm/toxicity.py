@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.llm.common import bounded_rows, checked_broadcast, counts_by, fold_of, letter_words, staged, table, words_of
+from terraspan.llm.common import bounded_rows, checked_broadcast, counts_by, fold_of, hand_back, letter_words, staged, table, words_of
 
 
 @dataclass(frozen=True)
@@ -130,21 +130,19 @@ def fit(labelled: DataFrame, params: Params = Params(), share: float | None = No
     share is the toxic one's share of all labelled rows, if known. The discount with the fewest expected errors is
     taken, of several the one that puts the fewest rows the wrong way round, then the first."""
     known = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)")
-    sample = bounded_rows(known, "toxic", params.sample_docs, seed=6).withColumn("fold", F.coalesce(fold_of(F.col("doc_id")), F.lit(0))).cache()
-    try:
-        counted = sample.where(F.col("fold") != params.by)
-        of_class = counts_by(counted, "toxic")
-        if len(of_class) < 2:
-            return None
-        found = _counts(bounded_rows(counted, "toxic", params.sample_docs, seed=8, even=True, counts=of_class), params)
-        if found is None:
-            return None
-        models = [_model(*found, k, params) for k in range(len(params.discounts))]
-        seen = _ratios(sample.where(F.col("fold") == params.by), models, "toxic").toPandas()
-        if seen["toxic"].nunique() < 2:  # too few rows to set some aside
-            seen = _ratios(sample, models, "toxic").toPandas()
-    finally:
-        sample.unpersist()
+    sample = bounded_rows(known, "toxic", params.sample_docs, seed=6).withColumn("fold", F.coalesce(fold_of(F.col("doc_id")), F.lit(0)))
+    sample = staged(sample, "toxicity_sample")
+    counted = sample.where(F.col("fold") != params.by)
+    of_class = counts_by(counted, "toxic")
+    if len(of_class) < 2:
+        return None
+    found = _counts(bounded_rows(counted, "toxic", params.sample_docs, seed=8, even=True, counts=of_class), params)
+    if found is None:
+        return None
+    models = [_model(*found, k, params) for k in range(len(params.discounts))]
+    seen = _ratios(sample.where(F.col("fold") == params.by), models, "toxic").toPandas()
+    if seen["toxic"].nunique() < 2:  # too few rows to set some aside
+        seen = _ratios(sample, models, "toxic").toPandas()
     share = share if share is not None and 0 < share < 1 else 0.5
     y = seen["toxic"].to_numpy(float)
     ratios = [seen[f"ratio{k}"].to_numpy(float) for k in range(len(models))]
@@ -156,9 +154,10 @@ def fit(labelled: DataFrame, params: Params = Params(), share: float | None = No
 class _Scorer:
     """Differences of the two log-likelihoods, normalised by the number of words; 0 without words."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, like: _Scorer | None = None):
+        """like: the scorer of another model of the same words, which are then held once."""
         self.m, self.n = model, len(model.words)
-        self.at = {w: i for i, w in enumerate(model.words)}
+        self.at = like.at if like else {w: i for i, w in enumerate(model.words)}
         self.start = self.at.get("", self.n)
         self.keys = np.append(model.pair_keys, np.iinfo(np.int64).max)
 
@@ -189,10 +188,13 @@ def _ratios(docs: DataFrame, models: list[Model], *more: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorers = [_Scorer(m) for m in shared.value]
+        first = _Scorer(shared.value[0])
+        scorers = [first, *[_Scorer(m, first) for m in shared.value[1:]]]
         for batch in batches:
             texts = batch["text"].tolist()
             yield batch[["doc_id", *more]].assign(**{f"ratio{k}": scorer(texts) for k, scorer in enumerate(scorers)})
+        del first, scorers
+        hand_back()
 
     extra = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
     ratios = "".join(f", ratio{k} double" for k in range(len(models)))
@@ -247,6 +249,8 @@ def keep_ordinary(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             ratio = scorer(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array(ratio * model_slope + model_shift < 0))
+        del scorer
+        hand_back()
 
     model_slope, model_shift = model.slope, model.shift
     return docs.mapInArrow(kept, docs.schema)
