@@ -38,6 +38,9 @@ class Params:
     least: int = 5  # occurrences of a pair that repay a rule of eight bytes
 
 
+#: An odd number near the golden section of 2 ** 32.
+SPREAD = np.uint32(2654435761)
+
 # ---- Re-Pair ---------------------------------------------------------------------------------------------------------
 
 
@@ -66,9 +69,9 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, params: Params =
             break
         often = often[np.argsort(-count[often], kind="stable")[:room]]
         chosen = np.sort(ordered[first[often]])
-        starts = np.zeros(1 << 16, bool)
-        starts[chosen >> np.uint32(16)] = True
-        at = np.flatnonzero(starts[seq[:-1]] & inner)
+        seen = np.zeros(1 << 20, bool)  # by hash: few pairs that are not chosen are looked for among the chosen ones
+        seen[chosen * SPREAD >> np.uint32(12)] = True
+        at = np.flatnonzero(seen[code * SPREAD >> np.uint32(12)] & inner)
         found = np.searchsorted(chosen, code[at])
         hit = chosen[np.minimum(found, len(chosen) - 1)] == code[at]
         at, found = at[hit], found[hit]
