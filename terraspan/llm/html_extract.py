@@ -1,7 +1,8 @@
 """Main text of web pages by a linear-chain conditional random field over the leaf blocks of the DOM.
 
 A leaf block is a run of text between two block-level tags. Its features are the tags of its ancestors, the words of
-their classes and ids, and properties of its text; neighbouring labels are tied by transition weights. The weights are
+their classes and ids, properties of its text, and what the section or cell that it stands in holds besides it;
+neighbouring labels are tied by transition weights. The weights are
 the maximum of the penalised likelihood of labelled pages, and a page is labelled by Viterbi decoding.
 
 The labelled pages are composed here, from a seed: articles of many layouts among menus, notices, adverts, forms and
@@ -27,13 +28,16 @@ from terraspan.llm.common import table
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript".split())
+SILENT = frozenset("script style template noscript title svg iframe object canvas audio video select textarea".split())
 #: A start tag of the key closes an open element of the values.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSES |= {t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 #: An open element of the values keeps what is outside from being closed.
 KEEPS = frozenset("table ul ol dl select body html div section article main aside nav header footer form".split())
 SECTIONS = frozenset("article main aside nav header footer section form div".split())
+#: Elements whose blocks are looked at together.
+HOMES = SECTIONS | {"body", "td", "th"}
+WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -42,6 +46,7 @@ class Block:
     linked: int  # characters inside links
     marks: frozenset[str]  # features of the ancestors
     parent: str
+    home: int = 0  # number of the nearest section or cell
 
 
 class _Blocks(HTMLParser):
@@ -53,11 +58,11 @@ class _Blocks(HTMLParser):
     def __init__(self, known: Container[str] | None = None) -> None:
         super().__init__(convert_charrefs=True)
         self.known = known
-        self.stack: list[tuple[str, frozenset[str], str]] = [("", frozenset(), "")]  # tag, marks, nearest block-level tag
+        self.stack: list[tuple[str, frozenset[str], str, int]] = [("", frozenset(), "", 0)]  # tag, marks, nearest block-level tag, home
         self.open: Counter[str] = Counter()
         self.blocks: list[Block] = []
         self.held: list[str] = []
-        self.linked = self.silent = self.links = 0
+        self.linked = self.silent = self.links = self.homes = 0
 
     def whole(self, html: str) -> list[Block]:
         self.feed(html)
@@ -73,7 +78,7 @@ class _Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            self.blocks.append(Block(text, self.linked, self.stack[-1][1], self.stack[-1][2]))
+            self.blocks.append(Block(text, self.linked, *self.stack[-1][1:]))
         self.held, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -90,8 +95,9 @@ class _Blocks(HTMLParser):
                         break
                     if self.stack[k][0] in KEEPS:
                         break
-        _, marks, parent = self.stack[-1]
-        words = {f"c:{w}" for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z]+", v.lower()) if w}
+        _, marks, parent, home = self.stack[-1]
+        named = {w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z]+", v.lower()) if w}
+        words = {f"c:{w}" for w in named} | {f"g:{kind}" for w in named for kind in GROUPS.get(w, ())}
         new = {f"t:{tag}", *words} if tag not in INLINE or words else set()
         if tag in SECTIONS and not any(m.startswith("top:") for m in marks):
             new.add(f"top:{tag}")
@@ -99,13 +105,16 @@ class _Blocks(HTMLParser):
             new = {m for m in new if m in self.known}
         if not new <= marks:
             marks = marks | new
-        self.stack.append((tag, marks, parent if tag in INLINE else tag))
+        if tag in HOMES:
+            self.homes += 1
+            home = self.homes
+        self.stack.append((tag, marks, parent if tag in INLINE else tag, home))
         self.open[tag] += 1
         self.silent += tag in SILENT
         self.links += tag == "a"
 
     def pop(self, k: int) -> None:
-        for tag, _, _ in self.stack[k:]:
+        for tag, *_ in self.stack[k:]:
             self.open[tag] -= 1
             self.silent -= tag in SILENT
             self.links -= tag == "a"
@@ -135,16 +144,33 @@ def blocks_of(html: str | None, known: Container[str] | None = None) -> list[Blo
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
-    out = []
-    for b in blocks:
-        size, words = len(b.text), b.text.count(" ") + 1
-        ends = b.text[-1] in ".!?…:;\"'”»"
+    sizes = [b.text.count(" ") + 1 for b in blocks]
+    ending = [b.text[-1] in ".!?…:;\"'”»" for b in blocks]
+    long = [n > 12 and e for n, e in zip(sizes, ending, strict=True)]
+    words, prose, linked, chars = (Counter() for _ in range(4))  # by home
+    for b, n, is_long in zip(blocks, sizes, long, strict=True):
+        words[b.home] += n
+        prose[b.home] += is_long
+        linked[b.home] += b.linked
+        chars[b.home] += len(b.text)
+    told = [[kind for kind, cues in CUES.items() if any(w in cues for w in WORD.findall(b.text.lower()))] if n <= 5 else [] for b, n in zip(blocks, sizes, strict=True)]
+    under: dict[int, set[str]] = {}
+    for b, kinds in zip(blocks, told, strict=True):
+        if kinds:
+            under.setdefault(b.home, set()).update(kinds)
+    most, all_long, before, out = max(words.values(), default=0), sum(long), 0, []
+    for b, n, ends, is_long, kinds in zip(blocks, sizes, ending, long, told, strict=True):
+        size, home = len(b.text), b.home
         own = [
-            "bias", f"own:{b.parent}", f"words:{min(words.bit_length(), 7)}", f"links:{min(int(4 * b.linked / size), 4)}",
-            f"ends:{ends}", f"long:{words > 12 and ends}", f"stops:{min(sum(b.text.count(c) for c in '.,') * 20 // words, 4)}",
+            "bias", f"own:{b.parent}", f"words:{min(n.bit_length(), 7)}", f"links:{min(int(4 * b.linked / size), 4)}",
+            f"ends:{ends}", f"long:{is_long}", f"stops:{min(sum(b.text.count(c) for c in '.,') * 20 // n, 4)}",
+            f"home:{min(words[home].bit_length(), 8)}", f"prose:{min(prose[home], 2)}", f"linked:{min(int(4 * linked[home] / chars[home]), 4)}",
+            f"largest:{words[home] == most}", f"place:{before > 0}:{before + is_long < all_long}:{is_long}",
         ]
+        before += is_long
         if "©" in b.text or "copyright" in b.text.lower():
             own.append("copyright")
+        own += [f"cue:{kind}" for kind in kinds] + [f"under:{kind}" for kind in under.get(home, ())]
         out.append([*own, *b.marks])
     return out
 
@@ -184,19 +210,22 @@ class Model:
 
 
 def train(pages: Iterable[tuple[list[Block], list[int]]], rounds: int = 300, penalty: float = 0.02, rate: float = 0.1) -> Model:
-    """Maximum of the penalised log-likelihood, by Adam over all pages at once; gradients by forward and backward sums."""
-    pages = [(features(b), y) for b, y in pages if b]
+    """Maximum of the penalised log-likelihood, by Adam over all pages at once; gradients by forward and backward sums.
+    Blocks of equal features are summed once, and a step touches only the pages that are long enough."""
+    pages = sorted(((features(b), y) for b, y in pages if b), key=lambda x: -len(x[0]))
     names: dict[str, int] = {}
     for rows, _ in pages:
         for r in rows:
             for x in r:
                 names.setdefault(x, len(names))
     n, longest = len(pages), max(len(r) for r, _ in pages)
-    at = [(i, t, names[x]) for i, (rows, _) in enumerate(pages) for t, r in enumerate(rows) for x in r]
-    page, step, feature = np.array(at).T
-    block = np.flatnonzero(np.append(True, (np.diff(page) != 0) | (np.diff(step) != 0)))  # first feature of each block
-    where = (page[block], step[block])
-    many = np.diff(np.append(block, len(page)))
+    kinds: dict[tuple[int, ...], int] = {}
+    at = [(i, t, kinds.setdefault(tuple(sorted(names[x] for x in r)), len(kinds))) for i, (rows, _) in enumerate(pages) for t, r in enumerate(rows)]
+    page, step, kind = np.array(at).T
+    where = (page, step)
+    many = np.array([len(k) for k in kinds])
+    feature, block = np.concatenate([np.array(k) for k in kinds]), np.append(0, np.cumsum(many)[:-1])
+    active = np.bincount(step, minlength=longest)  # pages that have a block of this number
     there = np.zeros((n, longest), bool)
     truth = np.zeros((n, longest, 2))
     for i, (rows, y) in enumerate(pages):
@@ -205,46 +234,58 @@ def train(pages: Iterable[tuple[list[Block], list[int]]], rounds: int = 300, pen
     moved = np.einsum("itj,itk->jk", truth[:, :-1], truth[:, 1:])
     theta = [np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros(2)]
     mean, spread = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
-    for k in range(1, rounds + 1):
+    for turn in range(1, rounds + 1):
         w, m, f = theta
         s = np.zeros((n, longest, 2))
-        s[where] = np.add.reduceat(w[feature], block, axis=0)
+        s[where] = np.add.reduceat(w[feature], block, axis=0)[kind]
         alpha, beta = np.zeros_like(s), np.zeros_like(s)
         alpha[:, 0] = s[:, 0] + f
         for t in range(1, longest):
-            new = np.logaddexp(alpha[:, t - 1, 0, None] + m[0], alpha[:, t - 1, 1, None] + m[1]) + s[:, t]
-            alpha[:, t] = np.where(there[:, t, None], new, alpha[:, t - 1])
+            k = active[t]
+            alpha[:k, t] = np.logaddexp(alpha[:k, t - 1, 0, None] + m[0], alpha[:k, t - 1, 1, None] + m[1]) + s[:k, t]
         for t in range(longest - 2, -1, -1):
-            ahead = beta[:, t + 1] + s[:, t + 1]
-            new = np.logaddexp(ahead[:, 0, None] + m[:, 0], ahead[:, 1, None] + m[:, 1])
-            beta[:, t] = np.where(there[:, t + 1, None], new, 0.0)
-        total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None, None]
+            k = active[t + 1]
+            ahead = beta[:k, t + 1] + s[:k, t + 1]
+            beta[:k, t] = np.logaddexp(ahead[:, 0, None] + m[:, 0], ahead[:, 1, None] + m[:, 1])
+        last = alpha[np.arange(n), there.sum(1) - 1]
+        total = np.logaddexp(last[:, 0], last[:, 1])[:, None, None]
         p = np.exp(np.minimum(alpha + beta - total, 0)) * there[:, :, None]
         pair = alpha[:, :-1, :, None] + m + (s + beta)[:, 1:, None, :] - total[..., None]
         expected = (np.exp(np.minimum(pair, 0)) * there[:, 1:, None, None]).sum((0, 1))
-        off = np.repeat((truth - p)[where], many, axis=0)
-        g = np.stack([np.bincount(feature, off[:, k], len(names)) for k in (0, 1)], axis=1)
+        off = np.stack([np.bincount(kind, (truth - p)[where][:, y], len(kinds)) for y in (0, 1)], axis=1)
+        g = np.stack([np.bincount(feature, np.repeat(off[:, y], many), len(names)) for y in (0, 1)], axis=1)
         grads = [g - penalty * w, moved - expected - penalty * m, (truth - p)[:, 0].sum(0) - penalty * f]
         for j, d in enumerate(grads):
             mean[j] = 0.9 * mean[j] + 0.1 * d
             spread[j] = 0.999 * spread[j] + 0.001 * d * d
-            theta[j] = theta[j] + rate * (mean[j] / (1 - 0.9**k)) / (np.sqrt(spread[j] / (1 - 0.999**k)) + 1e-8)
+            theta[j] = theta[j] + rate * (mean[j] / (1 - 0.9**turn)) / (np.sqrt(spread[j] / (1 - 0.999**turn)) + 1e-8)
     return Model(names, *theta)
 
 
 # ---- labelled pages --------------------------------------------------------------------------------------------------
 
-MAIN_WORDS = "content main post entry story article body text page copy prose read detail document single hentry markdown paragraph column primary".split()
+MAIN_WORDS = "content main post entry story article body text page copy prose read detail document single hentry markdown paragraph column primary inhalt artikel contenu contenido".split()
 ASIDE_WORDS = {
-    "menu": "menu nav navbar navigation breadcrumb breadcrumbs topbar tabs pagination pager toc links".split(),
-    "header": "header masthead logo brand site banner top hero".split(),
-    "footer": "footer foot bottom colophon copyright legal credits imprint".split(),
-    "sidebar": "sidebar side aside widget related recommended trending popular tags archive secondary rail more teaser promo".split(),
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay paywall warning disclaimer message newsletter subscribe signup".split(),
-    "advert": "ad ads advert advertisement sponsor sponsored promotion banner dfp commercial adslot adbox".split(),
-    "form": "form search login register contact subscribe signin signup".split(),
-    "comments": "comment comments reply replies respond disqus discussion reader feedback commentlist thread responses reviews".split(),
-    "share": "share social sharing follow author byline meta tools print".split(),
+    "menu": "menu nav navbar navigation breadcrumb breadcrumbs topbar tabs pagination pager toc links navi menue".split(),
+    "header": "header masthead logo brand site banner top hero kopf kopfzeile entete cabecera".split(),
+    "footer": "footer foot bottom colophon copyright legal credits imprint fuss fusszeile pied pie".split(),
+    "sidebar": "sidebar side aside widget related recommended trending popular tags archive secondary rail more teaser promo seitenleiste lateral".split(),
+    "notice": "notice cookie cookies consent gdpr alert popup modal overlay paywall warning disclaimer message newsletter subscribe signup hinweis".split(),
+    "advert": "ad ads advert advertisement sponsor sponsored promotion banner dfp commercial adslot adbox werbung anzeige publicite publicidad".split(),
+    "form": "form search login register contact subscribe signin signup suche".split(),
+    "comments": "comment comments reply replies respond disqus discussion reader feedback commentlist thread responses reviews kommentar kommentare commentaires comentarios".split(),
+    "share": "share social sharing follow author byline meta tools print teilen".split(),
+}
+#: The kinds that a name stands for, so that names seen seldom share what is learnt of their kind.
+GROUPS = {w: [k for k, ws in {**ASIDE_WORDS, "main": MAIN_WORDS}.items() if w in ws] for w in {*MAIN_WORDS, *(w for ws in ASIDE_WORDS.values() for w in ws)}}
+#: Words of short lines that tell what follows.
+CUES = {
+    "comments": "comments comment replies responses discussion kommentare commentaires comentarios".split(),
+    "sidebar": "related recommended trending popular archive".split(),
+    "notice": "cookies newsletter subscribe consent".split(),
+    "advert": "advertisement sponsored werbung anzeige publicité publicidad".split(),
+    "share": "share follow tweet".split(),
+    "footer": "imprint impressum datenschutz privacy terms rights".split(),
 }
 ASIDE_TAGS = {"menu": ["nav", "div", "ul", "section"], "header": ["header", "div"], "footer": ["footer", "div"], "sidebar": ["aside", "div", "section"], "notice": ["div", "section", "aside", "p"], "advert": ["div", "aside", "section", "ins"], "form": ["form"], "comments": ["section", "div", "ol", "aside"], "share": ["div", "ul"]}
 
@@ -279,16 +320,32 @@ def labelled_pages(n: int = 400, seed: int = 10) -> list[tuple[list[Block], list
     def short() -> str:
         return rng.choice([words(rng.randint(1, 5)), f'<a href="#">{words(rng.randint(1, 4))}</a>', prose(rng.randint(3, 12))])
 
+    def cue(kind: str) -> str:
+        return " ".join(rng.sample([rng.choice(CUES[kind]), words(rng.randint(1, 2))], 2)).capitalize()
+
     def other(kind: str) -> str:
         tag = rng.choice(ASIDE_TAGS[kind])
-        attr = named(ASIDE_WORDS[kind] + 3 * ASIDE_WORDS[kind][:2], 1.0 if tag in ("div", "section", "ul", "ol", "p", "ins") else 0.5)
+        bare = rng.random() < 0.15  # without a name, or one never seen: the text and its place tell
+        attr = named(ASIDE_WORDS[kind] + ASIDE_WORDS[kind][:2], 1.0 if tag in ("div", "section", "ul", "ol", "p", "ins") else 0.5)
+        if bare and kind == "menu":
+            attr = ""
+        elif bare and kind == "footer":
+            line = rng.choice([cue(kind), f"&copy; {words(2)}", f'<a href="/i">{cue(kind)}</a> <a href="/p">{words(1)}</a>'])
+            return f"\x01<{tag}>{line}</{tag}>\x02"
+        elif bare and kind == "header":
+            return f"\x01<{tag}>{words(rng.randint(1, 3))}</{tag}>\x02"
+        elif bare and kind in ("comments", "sidebar"):
+            told = "".join(f"<p>{prose(rng.randint(3, 40))}</p>" for _ in range(rng.randint(1, 3)))
+            return f"\x01<{tag}><h3>{cue(kind)}</h3>{told}</{tag}>\x02"
         if kind == "menu" or (kind in ("sidebar", "share", "footer") and rng.random() < 0.5):
             inner = "".join(f'<li><a href="/x">{words(rng.randint(1, 3))}</a></li>' for _ in range(rng.randint(2, 8)))
             inner = inner if tag in ("ul", "ol") else f"<ul>{inner}</ul>"
+            if tag not in ("ul", "ol") and rng.random() < 0.4:
+                inner = rng.choice([" ", "<br>", " | "]).join(f'<a href="/x">{words(rng.randint(1, 3))}</a>' for _ in range(rng.randint(1, 6)))
         elif kind == "form":
             inner = f"<label>{words(2)}</label><input><button>{words(1)}</button>" + (f"<p>{prose(8)}</p>" if rng.random() < 0.4 else "")
         elif kind == "comments":
-            inner = (f"<h3>{words(2)}</h3>" if rng.random() < 0.6 else "") + "".join(f"<{t}{named(['comment', 'reply', 'reader'], 0.5)}><p>{prose(rng.randint(3, 60))}</p></{t}>" for t in [rng.choice(["div", "li", "article"])] * rng.randint(1, 5))
+            inner = (f"<h3>{cue(kind) if rng.random() < 0.5 else words(2)}</h3>" if rng.random() < 0.6 else "") + "".join(f"<{t}{named(['comment', 'reply', 'reader'], 0.5)}><p>{prose(rng.randint(3, 60))}</p></{t}>" for t in [rng.choice(["div", "li", "article"])] * rng.randint(1, 5))
         elif kind == "footer":
             inner = rng.choice([f"&copy; {words(3)} &middot; {prose(rng.randint(3, 12))}", f"Copyright {rng.randint(1990, 2030)} {words(rng.randint(1, 3))}", f"<p>{prose(rng.randint(4, 25))}</p>"])
         elif kind == "header" and rng.random() < 0.6:
@@ -297,16 +354,23 @@ def labelled_pages(n: int = 400, seed: int = 10) -> list[tuple[list[Block], list
         elif kind == "advert":
             inner = rng.choice([prose(rng.randint(3, 20)), f"<p>{prose(rng.randint(3, 20))}</p>", f'<a href="#">{prose(6)}</a>'])
         else:
-            inner = rng.choice([short(), prose(rng.randint(3, 30)), f"<p>{prose(rng.randint(3, 40))}</p>", f"<h3>{words(3)}</h3><p>{prose(rng.randint(3, 25))}</p>"])
+            inner = rng.choice([short(), words(rng.randint(1, 3)), prose(rng.randint(3, 30)), f"<p>{prose(rng.randint(3, 40))}</p>", f"<h3>{words(3)}</h3><p>{prose(rng.randint(3, 25))}</p>"])
+        if tag == "ins":  # block-level inside, so that it never shares a block with the text around it
+            inner = f"<div>{inner}</div>"
         return f"\x01<{tag}{attr}>{inner}</{tag}>\x02"
 
     def main() -> str:
-        parts = [f"<h1>{words(rng.randint(2, 9))}</h1>"] if rng.random() < 0.8 else []
-        for _ in range(rng.randint(1, 14)):
+        parts = [f"<h1>{words(rng.randint(2, 9))}</h1>"] if rng.random() < 0.7 else []
+        loose, nested = rng.random() < 0.2, rng.random() < 0.1
+        for k in range(rng.choice([1, 1, 1, 2, 2, *range(3, 15)])):
             kind = rng.random()
-            if kind < 0.15:
+            if loose and (kind < 0.72 or k == 0):  # text right in the container
+                parts.append(f"{prose(rng.choice([8, 18, 30, 60]))}{rng.choice(['', '<br>', '<br><br>'])}")
+            elif nested and kind < 0.72:
+                parts.append(rng.choice(["<div>{}</div>", "<div><p>{}</p></div>", "<section>{}</section>", "<section><p>{}</p></section>"]).format(prose(rng.choice([5, 18, 30, 60]))))
+            elif kind < 0.15 and k:
                 parts.append(f"<p>{odd()}</p>")
-            elif kind < 0.72:
+            elif kind < 0.72 or k == 0:
                 parts.append(f"<p>{prose(rng.choice([2, 5, 12, 30, 60, 120]))}</p>" if rng.random() < 0.9 else f"<p><b>{prose(9)}<br>")
             elif kind < 0.8:
                 parts.append(f"<h2>{words(rng.randint(1, 6))}</h2>")
@@ -318,10 +382,12 @@ def labelled_pages(n: int = 400, seed: int = 10) -> list[tuple[list[Block], list
                 parts.append(f"<table><tr><td>{words(2)}</td><td>{words(1)}</td></tr></table>")
             else:
                 parts.append(other(rng.choice(["advert", "advert", "sidebar", "notice", "share", "form", "comments", "menu"])))
+        if rng.random() < 0.35:
+            parts.append(other("comments"))
         if rng.random() < 0.12:
             return "".join(parts)  # right in the body
-        tag = rng.choice(["article", "article", "main", "div", "section"])
-        text = f"<{tag}{named(MAIN_WORDS, 1.0 if tag == 'div' and rng.random() < 0.7 else 0.4)}>{''.join(parts)}</{tag}>"
+        tag = rng.choice(["article", "article", "main", "div", "div", "section"])
+        text = f"<{tag}{named(MAIN_WORDS, 0.6 if tag == 'div' else 0.4)}>{''.join(parts)}</{tag}>"
         if rng.random() < 0.35:
             outer = rng.choice(["main", "div", "section"])
             after = other(rng.choice(["comments", "sidebar", "advert", "share"])) if rng.random() < 0.6 else ""
@@ -339,18 +405,28 @@ def labelled_pages(n: int = 400, seed: int = 10) -> list[tuple[list[Block], list
         elif kind < 0.2:  # a plainer one
             before, after = [], []
             text = "".join(rng.choice([f"<p>{x}</p>", f"<p>{x}", f"{x}<br>", x]) for x in (prose(rng.randint(8, 80)) for _ in range(rng.randint(1, 3))))
+        if 0.2 < kind < 0.3:  # laid out by a table
+            links = lambda: rng.choice([" ", "<br>", " | "]).join(f'<a href="/x">{words(rng.randint(1, 2))}</a>' for _ in range(rng.randint(1, 6)))
+            aside = lambda kinds: f"<td>{rng.choice([other(rng.choice(kinds)), f'{chr(1)}<p>{links()}</p>{chr(2)}'])}</td>" if rng.random() < 0.5 else f"<td>\x01{links()}\x02</td>"
+            cells = [aside(["menu"]), f"<td{named(MAIN_WORDS, 0.3)}>{text}</td>"]
+            cells += [aside(["sidebar", "advert"])] if rng.random() < 0.4 else []
+            above = f"<tr>{aside(['header', 'menu'])}</tr>" if rng.random() < 0.5 else ""
+            below = f"<tr><td>\x01{rng.choice([cue('footer'), words(2), links()])}\x02</td></tr>" if rng.random() < 0.5 else ""
+            text = f"<table>{above}<tr>{''.join(cells)}</tr>{below}</table>"
         text = f"{''.join(before)}{text}{''.join(after)}"
         for _ in range(rng.choice([0, 0, 0, 1, 2, 5])):
             text = f"<div>{text}</div>"
         page = f"<html><head><title>\x01{words(4)}\x02</title></head><body>{text}</body></html>" if kind < 0.15 or kind > 0.2 else text
         blocks, labels, depth = [], [], 0
         for b in blocks_of(page):  # the marks \x01 and \x02 enclose what is not main text
-            opened = depth + b.text.count("\x01")
+            outside = False
+            for bit in re.split("([\x01\x02])", b.text):
+                outside |= depth == 0 and bit.strip("\x01\x02 ") != ""
+                depth += (bit == "\x01") - (bit == "\x02")
             text = " ".join(b.text.replace("\x01", "").replace("\x02", "").split())
-            depth = opened - b.text.count("\x02")
             if text:
-                blocks.append(Block(text, b.linked, b.marks, b.parent))
-                labels.append(int(opened == 0))
+                blocks.append(Block(text, b.linked, b.marks, b.parent, b.home))
+                labels.append(int(outside))
         out.append((blocks, labels))
     return out
 
@@ -381,7 +457,7 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFram
 
 
 @lru_cache(maxsize=4)
-def composed_model(pages: int = 700, seed: int = 10) -> Model:
+def composed_model(pages: int = 800, seed: int = 10) -> Model:
     """The model of composed pages, trained once in a session: its size and effort do not depend on the tables."""
     return train(labelled_pages(pages, seed))
 
