@@ -344,14 +344,50 @@ def spanning(links: list[list[int]]) -> set[tuple[int, int]]:
 # ---- the operator ----------------------------------------------------------------------------------------------------
 
 
+def _odd_ids(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The null id and those of several rows, and their number."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select("doc_id")
+    ids = staged(ids, "odd_ids")
+    return ids, ids.count()
+
+
+def _apart(docs: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of an id of their own, rows that share one, and rows without."""
+    repeated = checked_broadcast(ids.where("doc_id is not null"), n)
+    known = docs.where("doc_id is not null")
+    plain, shared = (known.join(repeated, "doc_id", how).select(*docs.columns) for how in ("left_anti", "left_semi"))
+    return plain, shared, docs.where("doc_id is null")
+
+
 def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """``doc_id``, ``n_shingles`` (size of its set) and ``component_id`` (smallest doc_id reachable by links).
 
-    A null text and one without words has size 0 and links with nothing. Whole texts count; other columns are not
-    read. Rows that repeat a doc_id must repeat its text, and come out once each. Exact copies are one class, so their
+    Every row is a document of its own and comes out once, also where rows share a doc_id, with one text or several, or
+    have none; a component whose rows all lack an id has a null component_id. A null text and one without words has
+    size 0 and links with nothing. Whole texts count; other columns are not read. Exact copies are one class, so their
     number adds no pairs. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
+    ids, n_odd = _odd_ids(docs)
+    if not n_odd:
+        return _components(docs, params)
+    plain, shared, without = _apart(docs, ids, n_odd)
+    last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    above = F.lit(-1 if last is None else last)  # such rows get keys beyond all ids
+    odd = staged(shared.unionByName(without).withColumn("key", F.monotonically_increasing_id() + above + 1), "odd_rows")
+    keyed = plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(odd.select(F.col("key").alias("doc_id"), "text"))
+    found = staged(_components(keyed, params).withColumnRenamed("doc_id", "key"), "keyed")
+    own = odd.select("key", F.col("doc_id").cast("long").alias("own"))
+    least = found.select("key", "component_id").join(own, "key").groupBy("component_id").agg(F.min("own").alias("least"))
+    kind = docs.schema["doc_id"].dataType
+    first = F.least("least", F.when(F.col("component_id") <= above, F.col("component_id")))
+    return found.join(own, "key", "left").join(least, "component_id", "left").select(
+        F.when(F.col("key") <= above, F.col("key")).otherwise(F.col("own")).cast(kind).alias("doc_id"), "n_shingles", first.cast(kind).alias("component_id")
+    )
+
+
+def _components(docs: DataFrame, params: Params) -> DataFrame:
+    """As :func:`near_duplicates`, for rows (doc_id, text) whose ids are unique and not null."""
     rows = described(docs, params)
     classes = rows.where("n > 0").groupBy("set_hash", "sig", "n").agg(F.min("doc_id").alias("node"))
     groups = classes.groupBy("sig").agg(F.min("node").alias("g"), F.count("*").alias("classes"))
@@ -431,15 +467,12 @@ def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
     Every row is a document of its own: one with a null doc_id comes after those with one, and so does every row but one
     of a repeated doc_id. They are kept unless their component holds a document before them. Rows that repeat a doc_id
     and its text come out once, also without words; unlike texts under one doc_id all stay."""
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select("doc_id")
-    odd_ids = staged(ids, "odd_ids")
-    n_odd = odd_ids.count()
+    ids, n_odd = _odd_ids(docs)
     mark = uuid.uuid4().hex
     plain, key, own = docs, f"key_{mark}", f"own_{mark}"
     if n_odd:
-        repeated = checked_broadcast(odd_ids.where("doc_id is not null"), n_odd)
-        plain = docs.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select(*docs.columns)
-        odd = docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+        plain, shared, without = _apart(docs, ids, n_odd)
+        odd = without.unionByName(shared.dropDuplicates(["doc_id", "text"]))
         odd = staged(odd.withColumn(key, F.monotonically_increasing_id()), "odd_rows")
         last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
         owners = odd.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(own)).agg(F.min(key).alias(key))
@@ -448,7 +481,7 @@ def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
     keyed = plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if n_odd:
         keyed = keyed.unionByName(odd.select(F.col(key).alias("doc_id"), "text"))
-    found = near_duplicates(keyed, params).where("doc_id = component_id").select("doc_id").distinct()
+    found = _components(keyed, params).where("doc_id = component_id").select("doc_id").distinct()
     if not n_odd:
         return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
     found = staged(found, "kept")

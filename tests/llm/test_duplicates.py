@@ -151,6 +151,33 @@ def test_rows_without_an_id_of_their_own(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("seed, nulls, ids", [(2, 0.0, 40), (6, 0.2, 60), (8, 1.0, 1)])
+def test_rows_that_share_an_id_are_linked_each(spark, seed, nulls, ids):
+    rng = random.Random(seed)
+    rows = [(None if rng.random() < nulls else rng.randrange(ids), t) for t in [*few_passages(seed)[:90], None, "", "few words", "few words"]]
+    own, links = [shingles(t or "") for _, t in rows], Sets()
+    for a in range(len(rows)):
+        links.find(a)
+        for b in range(a):
+            if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
+                links.join(a, b)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[links.find(i)] = min(doc_id, least.get(links.find(i), doc_id))
+    df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, own int").repartition(3)
+    got = J.near_duplicates(df, J.Params(frequent=3))
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    want = [(d, len(s), least.get(links.find(i))) for i, ((d, _), s) in enumerate(zip(rows, own, strict=True))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_texts_under_one_id_keep_their_links(spark):
+    a, v = " ".join(f"a{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    df = spark.createDataFrame([(1, a), (1, v), (3, f"{v} more")], "doc_id int, text string")
+    assert sorted(tuple(r) for r in J.near_duplicates(df).collect()) == [(1, 26, 1), (1, 26, 1), (3, 27, 1)]
+
+
 def test_join_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert J.near_duplicates(df).count() == 0 and J.keep_one(df).columns == df.columns
