@@ -3,7 +3,9 @@
 A unit vector, padded with zeros and rotated at random, is stored as its signs and one correction factor, the inner
 product of the rotated vector with the unit vector of its signs. From these the inner product with any other vector is
 estimated without bias, and a bound holds with known confidence; only pairs whose upper bound reaches the threshold
-are computed again exactly, in double precision.
+are computed again exactly, in double precision. The other vector of a pair is needed in the estimate only in steps of
+four bits, rounded up or down at random, which leaves the estimate without bias and adds a known variance to the bound. So signs, steps and factors travel to the buckets, and whole vectors only to those where
+the bounds leave a pair of them open.
 
 Pairs are looked for in buckets: in each of several tables, further random rotations give a vector the axes that it is
 nearest to, and vectors with equal axes share a bucket. The number of axes follows the logarithm of the number of
@@ -13,7 +15,7 @@ bucket is cut into parts and every two parts meet in a task of their own. Equal
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,7 +32,7 @@ from terraspan.llm.components import components
 class Params:
     threshold: float = 0.9
     recall: float = 0.99  # of pairs right at the threshold, bounds of 4 sigma included; closer ones are found more surely
-    bits: int = 64  # of the stored code at least; as many as there are dimensions, if these are more
+    bits: int = 256  # of the stored code at least; as many as there are dimensions, if these are more
     sigmas: float = 4.0  # width of the bounds
     bucket: int = 512  # vectors a bucket should hold, about, if directions were spread evenly
     part: int = 1024  # vectors of a crowded bucket that go together
@@ -55,14 +57,39 @@ def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(signs, axis=1), factor
 
 
+def step_codes(unit: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors (rows) in 15 steps of a size of their own, packed in half bytes, and the sizes. A component goes to the step
+    above or below at random, so that its expected value is itself; its variance is at most size² / 4."""
+    unit = np.pad(unit, ((0, 0), (0, unit.shape[1] % 2)))
+    size = np.maximum(np.abs(unit).max(1) / 7.5, 1e-30).astype(np.float32)
+    low = (unit / size[:, None]).astype(np.float32) + np.float32(7.5)
+    steps = np.clip(np.floor(low + rng.random(low.shape, np.float32)), 0, 15).astype(np.uint8)
+    return steps[:, ::2] | steps[:, 1::2] << 4, size
+
+
+def unpacked_steps(steps: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out = np.empty((len(steps), 2 * steps.shape[1]), np.float32)
+    out[:, ::2], out[:, 1::2] = steps & 15, steps >> 4
+    return (out - np.float32(7.5)) * size[:, None].astype(np.float32)
+
+
+def spread(factors: np.ndarray, d: int, sigmas: float, size: float = 0.0) -> np.ndarray:
+    """Half widths of the bounds of vectors with d signs. size: of the steps of the other vectors, at most; 0 if exact."""
+    return sigmas * np.sqrt(np.maximum(1 - factors**2, 0) / (d - 1) + size**2 / 4) / factors
+
+
+def decoded(codes: np.ndarray, factors: np.ndarray, d: int) -> np.ndarray:
+    """What stands for coded vectors in inner products with rotated ones."""
+    signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
+    return signs * (1 / (factors * np.sqrt(d)))[:, None].astype(np.float32)
+
+
 def estimate(codes: np.ndarray, factors: np.ndarray, turned: np.ndarray, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
     """Unbiased estimates of the inner products of coded vectors (rows) with rotated unit vectors (columns), and the
     half widths of their bounds."""
     d = turned.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-    with_code = signs @ turned.T.astype(np.float32) / np.sqrt(d)
-    error = sigmas * np.sqrt(np.maximum(1 - factors**2, 0) / (d - 1)) / factors
-    return with_code / factors[:, None], np.broadcast_to(error[:, None], with_code.shape)
+    guess = decoded(codes, factors, d) @ turned.T.astype(np.float32)
+    return guess, np.broadcast_to(spread(factors, d, sigmas)[:, None], guess.shape)
 
 
 @lru_cache(maxsize=256)
@@ -126,7 +153,7 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
     found = rows.where("embedding is not null")
     both = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]  # 128 bits stand for the vector
     distinct = found.select("*", *both).groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
-    distinct = staged(distinct, "vectors")
+    distinct = staged(distinct.withColumn("row", F.monotonically_increasing_id()), "vectors")
     sizes = {r["d"]: r["n"] for r in distinct.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
     pieces = [_linked(distinct.where(F.size("embedding") == d), n, d, params) for d, n in sizes.items()]
     if not pieces:
@@ -167,65 +194,79 @@ def _linked(vectors: DataFrame, n: int, d: int, params: Params) -> DataFrame:
     def bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn = rotation(size, params.seed)
         for rows in some(batches):
-            x, k = np.array(rows["embedding"].tolist(), kind), len(rows)
-            unit = units(x)
+            unit = units(rows["embedding"].tolist())
             codes, factors = encode(unit, turn)
-            each = lambda data: np.repeat(np.array([y.tobytes() for y in data], object), tables)
+            numbers = rows["row"].to_numpy()
+            steps, sizes = step_codes(unit, np.random.default_rng([params.seed, *numbers[:1].tolist()]))
+            scales = np.column_stack([factors, sizes]).astype(np.float32).view(np.uint8)
+            code = np.array([y.tobytes() for y in np.hstack([codes, steps, scales])], object)
             yield pd.DataFrame({
-                "t": np.tile(np.arange(tables, dtype=np.int32), k), "bucket": table_codes(unit, axes, tables, params.seed).ravel(),
-                "vec_id": np.repeat(rows["vec_id"].to_numpy(), tables), "weight": np.repeat(rows["weight"].to_numpy(), tables),
-                "x": each(x), "code": each(codes), "factor": np.repeat(factors, tables),
+                "t": np.tile(np.arange(tables, dtype=np.int32), len(rows)), "bucket": table_codes(unit, axes, tables, params.seed).ravel(),
+                "row": np.repeat(numbers, tables), "code": np.repeat(code, tables),
             })
 
-    picked = vectors.select("vec_id", "weight", "embedding")
+    picked = vectors.select("row", "embedding")
     counts = picked.mapInPandas(buckets, "t int, bucket long").groupBy("t", "bucket").agg(F.count("*").alias("n"))
     crowded = staged(counts.where(F.col("n") > params.part).select("t", "bucket", F.ceil(F.col("n") / params.part).cast("int").alias("parts")), "crowded")
-    rows = picked.mapInPandas(bucketed, "t int, bucket long, vec_id long, weight long, x binary, code binary, factor double")
+    rows = picked.mapInPandas(bucketed, "t int, bucket long, row long, code binary")
     dealt = rows.join(checked_broadcast(crowded, crowded.count()), ["t", "bucket"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("vec_id", "t"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("row", "t"), F.col("parts")).cast("int")
     tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
     tiles = dealt.withColumn("mine", own).select("*", F.inline(tile)).drop("parts")
     keys = ["t", "bucket", "i", "j"]
 
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = rotation(size, params.seed)
+    def by_tile(batches: Iterator[pd.DataFrame], of_tile: Callable[[tuple, pd.DataFrame], pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
+        """What a function gives for each tile of two rows or more, of batches that are sorted by tile."""
         held: pd.DataFrame | None = None
+
+        def whole(rows: pd.DataFrame, edges: np.ndarray) -> Iterator[pd.DataFrame]:
+            found = [of_tile(tuple(rows[k].iat[a] for k in keys), rows.iloc[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1]
+            if found := [f for f in found if f is not None]:
+                yield pd.concat(found)
+
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            change = np.flatnonzero((held[keys].to_numpy()[1:] != held[keys].to_numpy()[:-1]).any(1)) + 1
-            if len(change):
-                yield joined(held.iloc[: change[-1]], turn)
-                held = held.iloc[change[-1] :]
-        if held is not None and len(held):
-            yield joined(held, turn)
-
-    def joined(rows: pd.DataFrame, turn: np.ndarray) -> pd.DataFrame:
-        key = rows[keys].to_numpy()
-        edges = np.append(np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(rows))
+            key = held[keys].to_numpy()
+            edges = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
+            yield from whole(held, edges)
+            held = held.iloc[edges[-1] :].reset_index(drop=True)
+        if held is not None:
+            yield from whole(held, np.array([0, len(held)]))
+
+    def maybe(rows: pd.DataFrame, across: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a tile whose upper bound reaches the threshold, in either order of the two; pairs inside one part meet
+        in that part's own tile."""
+        data = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+        codes, steps, scales = np.split(data, [size // 8, size // 8 + -(-d // 2)], axis=1)
+        factors, sizes = np.ascontiguousarray(scales).view(np.float32).T.astype(float)
+        other, mine = unpacked_steps(steps, sizes)[:, :d].T, rows["mine"].to_numpy()
+        back = rotation(size, params.seed)[:d].T.astype(np.float32)  # turning one side back leaves d components of either
+        least = (params.threshold - spread(factors, size, params.sigmas, sizes.max())).astype(np.float32)
+        p, q = [], []
+        for a in range(0, len(rows), 512):  # a block of rows against those that follow
+            guess = decoded(codes[a : a + 512], factors[a : a + 512], size) @ back @ other[:, a:]
+            x, y = np.nonzero(guess >= least[a : a + 512, None])
+            later = (x < y) & (mine[a + x] != mine[a + y]) if across else x < y
+            p.append(a + x[later])
+            q.append(a + y[later])
+        return np.concatenate(p), np.concatenate(q)
+
+    def open_rows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
+        at = np.unique(np.concatenate(maybe(rows, key[2] != key[3])))
+        return rows.iloc[at] if len(at) else None
+
+    def exact(key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
+        p, q = maybe(rows, key[2] != key[3])
         unit = units(np.frombuffer(b"".join(rows["x"]), kind).reshape(len(rows), d))
-        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-        factors, ids, weight, mine = (rows[c].to_numpy() for c in ("factor", "vec_id", "weight", "mine"))
-        out = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b - a < 2:
-                continue
-            t, _, i, j = key[a]
-            guess, error = estimate(codes[a:b], factors[a:b], unit[a:b] @ turn[:d], params.sigmas)
-            maybe = np.triu(guess + error >= params.threshold, 1)
-            if i != j:  # pairs inside one part meet in that part's own tile
-                maybe &= mine[a:b, None] != mine[None, a:b]
-            p, q = np.nonzero(maybe)
-            if not len(p):
-                continue
-            sure = np.einsum("ij,ij->i", unit[a:b][p], unit[a:b][q]) >= params.threshold
-            p, q = p[sure], q[sure]
-            if len(p) and t:  # a pair counts in the first table whose bucket it shares
-                buckets = table_codes(unit[a:b], axes, int(t), params.seed)
-                early = (buckets[p] == buckets[q]).any(1)
-                p, q = p[~early], q[~early]
-            if len(p):
-                out.append(summed(p, q, ids[a:b], weight[a:b]))
-        return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "links": [], "root": []}).astype("int64")
+        sure = [np.einsum("ij,ij->i", unit[p[a : a + 65536]], unit[q[a : a + 65536]]) >= params.threshold for a in range(0, len(p), 65536)]
+        sure = np.concatenate([np.zeros(0, bool), *sure])
+        p, q = p[sure], q[sure]
+        if len(p) and key[0]:  # a pair counts in the first table whose bucket it shares
+            among, at = np.unique(np.append(p, q), return_inverse=True)
+            before = table_codes(unit[among], axes, int(key[0]), params.seed)
+            apart = (before[at[: len(p)]] != before[at[len(p) :]]).all(1)
+            p, q = p[apart], q[apart]
+        return summed(p, q, rows["vec_id"].to_numpy(), rows["weight"].to_numpy()) if len(p) else None
 
     def summed(p: np.ndarray, q: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
         links = np.bincount(p, weight[q], len(ids)) + np.bincount(q, weight[p], len(ids))
@@ -240,8 +281,19 @@ def _linked(vectors: DataFrame, n: int, d: int, params: Params) -> DataFrame:
         at = np.flatnonzero(links)
         return pd.DataFrame({"vec_id": ids[at], "links": links[at].astype(np.int64), "root": np.sort(ids)[root[at]]})
 
-    spread = tiles.repartition(*keys).sortWithinPartitions(*keys)
-    return spread.mapInPandas(linked, "vec_id long, links long, root long")
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from by_tile(batches, open_rows)
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from by_tile(with_bytes(batches), exact)
+
+    def with_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(x=[y.tobytes() for y in np.array(batch["embedding"].tolist(), kind).reshape(len(batch), -1)]).drop(columns="embedding")
+
+    in_tiles = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
+    left = in_tiles(tiles.select(*keys, "mine", "row", "code")).mapInPandas(opened, "t int, bucket long, i int, j int, mine int, row long, code binary")
+    return in_tiles(left.join(vectors.select("row", "vec_id", "weight", "embedding"), "row")).mapInPandas(linked, "vec_id long, links long, root long")
 
 
 def op3_vector_dedup(spark, sf_dir: str) -> DataFrame:

@@ -197,6 +197,26 @@ def test_estimates_are_unbiased_and_bounds_hold():
     assert outside / (60 * true.size) < 1e-3
 
 
+def test_steps_leave_estimates_without_bias():
+    """With vectors in steps of four bits as the other side, of odd length and with most of the weight on one component."""
+    rng = np.random.default_rng(5)
+    a, b = V.units(list(rng.normal(size=(40, 31)))), rng.normal(size=(40, 31))
+    b[::4, 0] += 20
+    b = V.units(list(b + rng.uniform(0, 3, (40, 1)) * a))
+    true, guesses, outside = a @ b.T, [], 0
+    for seed in range(80):
+        turn = V.rotation(256, seed)
+        codes, factors = V.encode(a, turn)
+        steps, sizes = V.step_codes(b, rng)
+        back = V.unpacked_steps(steps, sizes)[:, :31]
+        assert steps.shape == (40, 16) and np.abs(back - b).max() <= sizes.max() * 1.001
+        guess = V.decoded(codes, factors, 256) @ turn[:31].T @ back.T
+        guesses.append(guess)
+        outside += (np.abs(guess - true) > V.spread(factors, 256, 4.0, sizes.max())[:, None]).sum()
+    assert np.abs(np.mean(guesses, 0) - true).max() < 0.06 and np.abs(np.mean(guesses, 0) - true).mean() < 0.01
+    assert outside / (80 * true.size) < 1e-3
+
+
 def test_recall_at_the_threshold_with_production_parameters():
     """Pairs with a cosine of 0.90 to 0.92 share a bucket in one of the tables, at any number of vectors."""
     rng, params = np.random.default_rng(7), V.Params()
