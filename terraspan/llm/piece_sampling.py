@@ -10,7 +10,8 @@ leaves the untaken branches of the path behind as new nodes.
 
 No piece of the vocabulary reaches over the start of a word, so the lattice is a chain of words. Each distinct word's
 lattice is built once and kept, up to a bound, for the batches that follow. All words of a batch's rows take their steps
-together, as arrays, for the first samples of all rows and then for all second ones, and so on.
+together, as arrays, for the first samples of all rows and then for all second together, as arrays, for the first samples of all rows and then for all second ones, and so on. The vocabulary's sign for
+a space is spelled in bytes where a text itself holds it.
 Random numbers are a hash of the seed, the row's key, the sample and the place, so a row's samples do not depend on
 the rows beside it.
 """
@@ -27,11 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from terraspan.llm.common import table
 
 SPACE = "▁"
 UNIT = re.compile(" *[^ ]+| +")
+SIGN = 0x110000  # stands for the sign for a space in a text: no character, so no piece
 
 
 @dataclass(frozen=True)
@@ -165,7 +168,7 @@ class Lattices:
 
     def grow(self) -> None:
         if self.number.new:
-            self._build([w.replace(" ", SPACE) for w in self.number.new])
+            self._build(self.number.new)
             self.number.new = []
         for name, x in self.kept.items():
             setattr(self, name, x.data)
@@ -179,6 +182,8 @@ class Lattices:
         size = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(size)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        chars[chars == ord(SPACE)] = SIGN
+        chars[chars == ord(" ")] = ord(SPACE)
         n = len(chars)
         left = np.repeat(ends, size) - np.arange(n)  # characters to the word's end
         start, length, piece, rank = [], [], [], []
@@ -207,7 +212,7 @@ class Lattices:
                 many[alone] += 1
             more = left[at] > k
             at, node = at[more], node[more]
-        spelled = [chr(c).encode("utf-8", "surrogatepass") for c in chars[alone]]
+        spelled = [(SPACE if c == SIGN else chr(c)).encode("utf-8", "surrogatepass") for c in chars[alone]]
         self.spelled.update(zip((alone + base).tolist(), spelled, strict=True))
         start, length, piece, rank = (np.concatenate(x) for x in (start, length, piece, rank))
         heads = np.cumsum(many) - many
@@ -439,26 +444,22 @@ def sample(docs: DataFrame, model_path: str, params: Params = Params(), with_ids
     an id that have one text (their key counts as -1), and they stay without an id. Perturbed values are drawn from a
     continuum; should two tie, the path found first comes first. Other columns are not read; whole texts are segmented.
     """
-    return _sampled(docs, model_path, params, with_ids).drop("n_pieces", "ids_crc32")
-
-
-def _sampled(docs: DataFrame, model_path: str, params: Params, with_ids: bool) -> DataFrame:
-    names = ["id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "decoded", "n_pieces", "ids_crc32"]
-    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.float64()] * 3, pa.bool_(), pa.int64(), pa.int64()]
+    names = ["id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "decoded"]
+    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.float64()] * 3, pa.bool_()]
 
     def rows_of(lattices: Lattices, keys: list[int], texts: list[str]) -> pa.RecordBatch:
         words = [lattices.words(t) for t in texts]
         lattices.grow()
         some = [i for i, w in enumerate(words) if len(w)]
         found, limits = Sampler(lattices, [words[i] for i in some], [-1 if keys[i] is None else keys[i] for i in some], params).search()
-        out = [(keys[i], 0, np.zeros(0, np.int32) if with_ids else None, 0.0, 0.0, 0.0, True, 0, 0) for i, w in enumerate(words) if not len(w)]
+        out = [(keys[i], 0, np.zeros(0, np.int32) if with_ids else None, 0.0, 0.0, 0.0, True) for i, w in enumerate(words) if not len(w)]
         for k, paths in enumerate(found):
             for r, edges in paths.edges.items():
                 ids, logp, limit = ids_of(lattices, edges), paths.logp[r], limits[r]
                 chance = -np.expm1(-np.exp(np.minimum(logp - limit, 700)))
                 inclusion = float(np.log(chance)) if chance > 0 else logp - limit
                 whole = decode(ids, lattices.vocabulary) == texts[some[r]]
-                out.append((keys[some[r]], k, ids.astype(np.int32) if with_ids else None, logp, paths.value[r], inclusion, whole, len(ids), zlib.crc32(ids.astype("<u4"))))
+                out.append((keys[some[r]], k, ids.astype(np.int32) if with_ids else None, logp, paths.value[r], inclusion, whole))
         columns = zip(*out, strict=True) if out else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -482,12 +483,20 @@ def _sampled(docs: DataFrame, model_path: str, params: Params, with_ids: bool) -
                 yield rows_of(lattices, keys, texts)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return picked.mapInArrow(sampled, SAMPLES + ", n_pieces long, ids_crc32 long").withColumnRenamed("id", "doc_id")
+    return picked.mapInArrow(sampled, SAMPLES).withColumnRenamed("id", "doc_id")
+
+
+@F.arrow_udf(LongType())
+def ids_crc32(ids: pa.Array) -> pa.Array:
+    """crc32 of a row's ids as little-endian unsigned 32-bit integers."""
+    flat, cuts = ids.values.to_numpy().astype("<u4"), ids.offsets.to_pylist()
+    return pa.array([zlib.crc32(flat[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64())
 
 
 def op9_piece_sampling(spark, sf_dir: str) -> DataFrame:
-    """Digest of :func:`sample` over all documents; the ids themselves go by their crc32."""
+    """Digest of the segmentations that :func:`sample` returns, over all documents; a null text counts as empty."""
     import public_tokenizers
 
-    rows = _sampled(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), Params(), False)
-    return rows.select("doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", "decoded")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = sample(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), ids_crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion", "decoded")

@@ -254,3 +254,17 @@ def test_samples_of_a_row_do_not_depend_on_other_rows(spark):
     for row in rows:
         alone |= found([row])
     assert found(rows) == alone == found(rows[::-1])
+
+
+def test_query_digests_what_the_operator_returns(spark, tmp_path):
+    texts = [None, "", "hello there", "a ▁ sign▁▁ of  spaces ", "word " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r["sample"]): r for r in piece_sampling.op9_piece_sampling(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [(0, 0), (1, 0), *((i, k) for i in (2, 3, 4) for k in (0, 1))]  # a null text is an empty one
+    vocabulary = piece_sampling.Vocabulary(PIECE, piece_sampling.Params())
+    for r in piece_sampling.sample(docs.where("doc_id > 0"), PIECE).collect():
+        ids, own = np.array(r.ids, "<u4"), got.pop((r.doc_id, r["sample"]))
+        assert (own.n_pieces, own.ids_crc32, own.log_prob, own.perturbed) == (len(ids), zlib.crc32(ids), r.log_prob, r.perturbed)
+        assert own.decoded and piece_sampling.decode(ids, vocabulary) == texts[r.doc_id]
+    assert [(r.n_pieces, r.ids_crc32, r.decoded) for r in got.values()] == [(0, 0, True)]
