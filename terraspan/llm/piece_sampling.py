@@ -9,20 +9,22 @@ carries the same value. So the search never steps back: it takes the node with t
 leaves the untaken branches of the path behind as new nodes.
 
 No piece of the vocabulary reaches over the start of a word, so the lattice is a chain of words. Each distinct word's
-lattice is built once and kept, up to a bound, for the batches that follow. All words of a batch's rows take their steps
-together, as arrays, for the first samples of all rows and then for all second together, as arrays, for the first samples of all rows and then for all second ones, and so on. The vocabulary's sign for
-a space is spelled in bytes where a text itself holds it.
+lattice is built once and kept for the batches that follow, up to a bound, beyond which the words used most stay. All
+words of a batch's rows take their steps together, as arrays, for the first samples of all rows and then for all second
+ones, and so on. The vocabulary's sign for a space is spelled in bytes where a text itself holds it.
 Random numbers are a hash of the seed, the row's key, the sample and the place, so a row's samples do not depend on
 the rows beside it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from terraspan.llm.common import table
+from terraspan.llm.common import hand_back, table
 
 SPACE = "▁"
 UNIT = re.compile(" *[^ ]+| +")
+AT_ONCE = 1 << 16  # characters of new words whose lattices are built together
 SIGN = 0x110000  # stands for the sign for a space in a text: no character, so no piece
 
 
@@ -44,7 +47,7 @@ class Params:
     offset: float = 100.0  # log p(piece) = -sharpness * log(rank + offset), up to a constant
     sharpness: float = 3.0
     batch_chars: int = 500_000  # characters of the rows that go together; a longer text goes alone
-    places: int = 1_000_000  # characters of words whose lattices are kept; beyond that all are built anew
+    places: int = 1_000_000  # characters of words whose lattices are kept; beyond that those used most stay, in half of it
 
 
 # ---- the vocabulary --------------------------------------------------------------------------------------------------
@@ -83,6 +86,10 @@ class Vocabulary:
                 node = nodes[node, c]
             ends[node] = i
         self.ends = np.array(ends)
+        self.top = np.full(SIGN + 1, -1, np.int32)  # children of the root
+        for (n, c), child in nodes.items():
+            if n == 0:
+                self.top[ord(c)] = child
         # Children by open addressing: a table at least four times as long as the trie, so that a miss mostly ends at once.
         keys = np.array([(n << 21) | ord(c) for n, c in nodes], np.int64)
         self.mask = (1 << int(np.ceil(np.log2(4 * len(keys) + 16)))) - 1
@@ -122,9 +129,11 @@ class Vocabulary:
 
 
 class _Numbers(dict):
-    """Numbers of words in the order in which they are first asked for; ``new`` holds those without a lattice yet."""
+    """Numbers of words in the order in which they are first asked for; ``new`` holds those without a lattice yet. Words go
+    without the space that each begins with."""
 
-    def __init__(self) -> None:
+    def __init__(self, words: list[str] | None = None) -> None:
+        super().__init__(zip(words or [], range(len(words or [])), strict=True))
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -137,39 +146,81 @@ class _Growing:
     """An array that grows at its end."""
 
     def __init__(self, kind: type, *first):
-        self.data, self.n = np.zeros(1 << 18, kind), 0
+        self.data, self.n = np.empty(1 << 18, kind), 0
         self.extend(np.array(first, kind))
 
     def extend(self, more: np.ndarray) -> None:
-        while self.n + len(more) > len(self.data):
-            self.data = np.append(self.data, np.zeros_like(self.data))
+        if self.n + len(more) > len(self.data):
+            grown = np.empty(2 * (self.n + len(more)), self.data.dtype)  # what is never written takes no memory
+            grown[: self.n] = self.data[: self.n]
+            self.data = grown
         self.data[self.n : self.n + len(more)] = more
         self.n += len(more)
 
 
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, as many as size says."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
 class Lattices:
     """Lattices of distinct words. A place is a character of a word; its edges are the pieces that start there, each
-    with the probability of being the next piece of a random segmentation of what follows."""
+    with the probability of being the next piece of a random segmentation of what follows. An edge's piece is -1 - n
+    where it is the n-th character found that is no piece and is spelled in bytes."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.number = vocabulary, _Numbers()
-        self.kept = {"first": _Growing(np.int64, 0), "left": _Growing(np.int64), "edges": _Growing(np.int64, 0)}
-        self.kept |= {x: _Growing(np.int32) for x in ("start", "length", "piece")} | {x: _Growing(np.float64) for x in ("logp", "others", "upto")}
-        self.spelled: dict[int, bytes] = {}
+    KINDS = {"left": np.int32, "length": np.int32, "piece": np.int32, "logp": np.float64, "others": np.float64, "upto": np.float64}
 
-    def forget(self) -> None:
-        self.number, self.spelled = _Numbers(), {}
-        for name, x in self.kept.items():
-            x.n = int(name in ("first", "edges"))
+    def __init__(self, vocabulary: Vocabulary, most: int = Params.places):
+        self.most = most
+        self.vocabulary, self.number = vocabulary, _Numbers()
+        self.kept = {"first": _Growing(np.int64, 0), "edges": _Growing(np.int64, 0)} | {x: _Growing(kind) for x, kind in self.KINDS.items()}
+        self.uses = np.zeros(0, np.int64)
+        self.spelled: dict[int, int] = {}  # characters by their numbers
+        self.bytes = np.zeros((0, 4), np.int32)  # ids of the bytes of each
+        self.size = np.zeros(0, np.int64)  # number of bytes
+
+    def shed(self) -> None:
+        """Where there are more places than ``most``, keep the words used most, of those used more than once, in half of it."""
+        if self.places <= self.most:
+            return
+        first, edges = (self.kept[x].data[: self.kept[x].n] for x in ("first", "edges"))
+        size = np.diff(first)
+        order = np.argsort(-self.uses, kind="stable")
+        order = order[self.uses[order] > 1]
+        stay = np.sort(order[np.cumsum(size[order]) <= self.most // 2])
+        words = list(self.number)
+        self.number, self.uses = _Numbers([words[k] for k in stay.tolist()]), self.uses[stay] >> 1
+        at = ranges(first[stay], size[stay])
+        edge = ranges(edges[first[stay]], edges[first[stay + 1]] - edges[first[stay]])
+        new = {"first": np.append(0, np.cumsum(size[stay])), "edges": np.append(0, np.cumsum(edges[at + 1] - edges[at])), "left": self.kept["left"].data[at]}
+        new |= {x: self.kept[x].data[edge] for x in self.KINDS if x != "left"}
+        for name, x in new.items():
+            self.kept[name].n = 0
+            self.kept[name].extend(x)
 
     def words(self, text: str) -> np.ndarray:
         """Numbers of the words of a text; ``grow`` before they are used."""
-        return np.array(list(map(self.number.__getitem__, UNIT.findall(" " + text))) if text else [], np.int64)
-
-    def grow(self) -> None:
-        if self.number.new:
-            self._build(self.number.new)
-            self.number.new = []
+        if not text:
+            return np.zeros(0, np.int64)
+        words = [w[1:] for w in UNIT.findall(" " + text)] if text[0] == " " or "  " in text else text.split(" ")
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def grow(self, words: list[np.ndarray] | None = None) -> None:
+        """Build what is new; count the uses of the words."""
+        part, n = [], 0
+        for word in self.number.new:
+            part.append(word)
+            n += len(word) + 1
+            if n >= AT_ONCE:
+                self._build(part)
+                part, n = [], 0
+        if part:
+            self._build(part)
+        self.number.new = []
+        self.uses = np.append(self.uses, np.zeros(len(self.number) - len(self.uses), np.int64))
+        if words:
+            self.uses += np.bincount(np.concatenate(words), minlength=len(self.uses))
         for name, x in self.kept.items():
             setattr(self, name, x.data)
 
@@ -177,83 +228,105 @@ class Lattices:
     def places(self) -> int:
         return self.kept["left"].n
 
+    def _spell(self, chars: np.ndarray) -> np.ndarray:
+        """Numbers of characters that are no piece."""
+        found, which = np.unique(chars, return_inverse=True)
+        for c in found.tolist():
+            if c not in self.spelled:
+                raw = (SPACE if c == SIGN else chr(c)).encode("utf-8", "surrogatepass")
+                self.spelled[c] = len(self.spelled)
+                row = np.zeros((1, 4), np.int32)
+                row[0, : len(raw)] = self.vocabulary.bytes_at[list(raw)]
+                self.bytes, self.size = np.append(self.bytes, row, axis=0), np.append(self.size, len(raw))
+        return np.array([self.spelled[c] for c in found.tolist()], np.int64)[which]
+
     def _build(self, words: list[str]) -> None:
-        vocabulary, base, base_edge = self.vocabulary, self.places, self.kept["start"].n
-        size = np.array([len(w) for w in words], np.int64)
+        vocabulary, base, base_edge = self.vocabulary, self.places, self.kept["piece"].n
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         ends = np.cumsum(size)
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        chars = np.frombuffer((" " + " ".join(words)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         chars[chars == ord(SPACE)] = SIGN
         chars[chars == ord(" ")] = ord(SPACE)
         n = len(chars)
         left = np.repeat(ends, size) - np.arange(n)  # characters to the word's end
-        start, length, piece, rank = [], [], [], []
-        many = np.zeros(n, np.int64)
-        at, node, k = np.arange(n), np.zeros(n, np.int64), 0
+        many = np.ones(n, np.int64)  # the first edge is the piece of one character, or its bytes
+        node = vocabulary.top[chars].astype(np.int64)
+        single = vocabulary.ends[node]
+        single[node < 0] = -1
+        alone = np.flatnonzero(single < 0)
+        single[alone] = -1 - self._spell(chars[alone])
+        longer, k = [], 1
+        at = np.flatnonzero((node >= 0) & (left > 1))
+        node = node[at]
         while len(at):
             node = vocabulary.step(node, chars[at + k])
             live = node >= 0
             at, node = at[live], node[live]
             k += 1
-            done = vocabulary.ends[node] >= 0
+            piece = vocabulary.ends[node]
+            done = piece >= 0
             begins = at[done]
-            start.append(begins)
-            length.append(np.full(len(begins), k))
-            piece.append(vocabulary.ends[node[done]])
-            rank.append(many[begins])
+            longer.append((begins, k, piece[done], many[begins]))
             many[begins] += 1
-            if k == 1:  # characters that are no piece: one edge, spelled in bytes
-                single = np.zeros(n, bool)
-                single[begins] = True
-                alone = np.flatnonzero(~single)
-                start.append(alone)
-                length.append(np.ones(len(alone), np.int64))
-                piece.append(np.full(len(alone), -1))
-                rank.append(many[alone])
-                many[alone] += 1
             more = left[at] > k
             at, node = at[more], node[more]
-        spelled = [(SPACE if c == SIGN else chr(c)).encode("utf-8", "surrogatepass") for c in chars[alone]]
-        self.spelled.update(zip((alone + base).tolist(), spelled, strict=True))
-        start, length, piece, rank = (np.concatenate(x) for x in (start, length, piece, rank))
         heads = np.cumsum(many) - many
-        to = heads[start] + rank  # edges by place, then by length
-        order = np.empty(len(to), np.int64)
-        order[to] = np.arange(len(to))
-        start, length, piece = start[order], length[order], piece[order]
+        e = int(many.sum())  # edges by place, then by length
+        length, piece = np.ones(e, np.int64), np.empty(e, np.int64)
+        piece[heads] = single
+        for begins, k, pieces, rank in longer:
+            to = heads[begins] + rank
+            length[to], piece[to] = k, pieces
         score = vocabulary.logp[piece]
-        score[piece < 0] = [len(s) * vocabulary.logp[vocabulary.bytes_at[0]] for s in spelled]
+        score[heads[alone]] = self.size[-1 - single[alone]] * vocabulary.logp[vocabulary.bytes_at[0]]
         # Log of the sum over all segmentations of what follows a place, from the words' ends backwards, all words together.
+        to_end = left if left.max() + 1 >= 1 << 16 else left.astype(np.uint16)  # short keys are sorted in linear time
+        places = np.argsort(to_end, kind="stable")
+        count = many[places]
+        by_left = ranges(heads[places], count)
+        begin = np.cumsum(count) - count
+        cuts = np.searchsorted(to_end[places], np.arange(1, left.max() + 2).astype(to_end.dtype))
+        owner = np.repeat(places, count)
+        after = owner + length[by_left]
+        after[length[by_left] == left[owner]] = n
+        ahead, p = score[by_left], np.empty(e)
         total = np.zeros(n + 1)
-        to_end = left[start] if left.max() + 1 >= 1 << 16 else left[start].astype(np.uint16)  # short keys are sorted in linear time
-        by_left = np.argsort(to_end, kind="stable")
-        cuts = np.searchsorted(to_end[by_left], np.arange(1, left.max() + 2).astype(to_end.dtype))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        sums = np.empty(n)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if a == b:
                 continue
-            e = by_left[a:b]
-            ahead = np.where(left[start[e]] > length[e], total[np.minimum(start[e] + length[e], n)], 0.0) + score[e]
-            firsts = np.flatnonzero(np.append(True, np.diff(start[e]) != 0))
-            total[start[e][firsts]] = np.logaddexp.reduceat(ahead, firsts)
-        ahead = np.where(left[start] > length, total[np.minimum(start + length, n)], 0.0) + score
-        logp = ahead - total[start]
-        p = np.exp(logp)
-        best = np.flatnonzero(p == np.repeat(np.maximum.reduceat(p, heads), many))
-        best = best[np.append(True, np.diff(start[best]) > 0)]  # one for each place, which comes first: most draws end there
+            x, z = int(begin[a]), int(begin[b]) if b < n else e
+            own, heads_here = ahead[x:z], begin[a:b] - x
+            own += total[after[x:z]]
+            most = np.maximum.reduceat(own, heads_here)
+            np.exp(own - np.repeat(most, count[a:b]), out=p[x:z])
+            sums[a:b] = np.add.reduceat(p[x:z], heads_here)
+            total[places[a:b]] = most + np.log(sums[a:b])
+        best = np.flatnonzero(p == 1.0)  # the likeliest of its place; one for each comes first, since most draws end there
+        best = best[np.append(True, np.diff(owner[best]) != 0)]
+        p /= np.repeat(sums, count)
+        ahead -= total[owner]
+        chance, logp = np.empty(e), np.empty(e)
+        chance[by_left], logp[by_left] = p, ahead
+        best, head = by_left[best], heads[owner[best]]
+        p = chance
         for x in (length, piece, logp, p):
-            x[heads], x[best] = x[best], x[heads]
+            x[head], x[best] = x[best], x[head]
+        others = 1.0 - p  # no number near 1 is taken from 1: a place's largest comes first
         rest = p.copy()
         rest[heads] = 0
-        rest = np.add.reduceat(rest, heads)  # without taking a number near 1 from 1
-        others = np.repeat(rest + p[heads], many) - p
-        others[heads] = rest
-        upto, k = p.copy(), 1  # sums within a place
-        while len(more := heads[many > k] + k):
-            upto[more] += upto[more - 1]
+        others[heads] = np.add.reduceat(rest, heads)
+        upto, k = p, 1  # sums within a place
+        more = np.flatnonzero(many > 1)
+        while len(more):
+            to = heads[more] + k
+            upto[to] += upto[to - 1]
             k += 1
+            more = more[many[more] > k]
         upto[heads + many - 1] = 2.0
         with np.errstate(divide="ignore"):
             others = np.log(others)
-        new = {"first": ends + base, "left": left, "edges": np.append(heads[1:], len(p)) + base_edge, "start": start + base, "length": length, "piece": piece, "logp": logp, "others": others, "upto": upto}
+        new = {"first": ends + base, "left": left, "edges": np.append(heads[1:], e) + base_edge, "length": length, "piece": piece, "logp": logp, "others": others, "upto": upto}
         for name, x in new.items():
             self.kept[name].extend(x)
 
@@ -280,17 +353,26 @@ def seed_of(*parts: int) -> int:
 
 def uniform(seed: int | np.ndarray, at: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from a hash of the seed and the place."""
-    h = (at.astype(np.uint64) + np.asarray(seed, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    h = at.astype(np.uint64)
+    h += np.asarray(seed, np.uint64)
+    h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(30)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
+    h >>= np.uint64(11)
+    u = h.astype(np.float64)
+    u += 0.5
+    u *= 1.0 / (1 << 53)
+    return u
 
 
 def one_uniform(seed: int, at: int = 0) -> float:
-    return float(uniform(seed, np.array([at]))[0])
+    h = ((at + seed) * 0x9E3779B97F4A7C15) & MASK
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & MASK
+    return min((((h ^ (h >> 31)) >> 11) + 0.5) / (1 << 53), 1 - 0.5**53)
 
 
 # ---- the search, for one batch of rows -------------------------------------------------------------------------------
@@ -298,22 +380,23 @@ def one_uniform(seed: int, at: int = 0) -> float:
 
 @dataclass
 class Paths:
-    """One more segmentation of each of some rows. The arrays of a row's steps: its edges, the word each is in, and the
-    bound of what else begins as the path does before that step (none before the step at which the path left another)."""
+    """One more segmentation of each of some rows. The steps are those after the one at which the path left another, or
+    all: only there do other paths leave this one."""
 
     edges: dict[int, np.ndarray]
-    word: dict[int, np.ndarray]
-    before: dict[int, np.ndarray]  # log-probability before a step
-    bound: dict[int, np.ndarray]
     logp: dict[int, float]
     value: dict[int, float]  # perturbed log-probability
+    steps: dict[int, tuple]  # log-probabilities before the steps, Gumbel values of what else begins so, steps up to each word's end, first word
+
 
+def gumbel(mean: float, u: float) -> float:
+    return mean - math.log(-math.log(u))
 
-def below(bound: np.ndarray | float, mean: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel values of location ``mean`` on condition of being under ``bound``."""
-    own = mean - np.log(-np.log(u))
-    z = np.exp(np.minimum(mean - bound, 700)) - np.log(u)
-    return np.where(np.isfinite(mean), np.minimum(np.where(z > 0, mean - np.log(z), own), bound), -np.inf)
+
+def below(bound: float, value: float) -> float:
+    """A Gumbel value of some location, moved to where it is on condition of being under ``bound``; the larger the value
+    was, the larger it stays."""
+    return min(bound, value) - math.log1p(math.exp(-abs(bound - value)))
 
 
 class Sampler:
@@ -329,92 +412,126 @@ class Sampler:
         """Edges of random segmentations from places of words to the words' ends, and the number of edges of each."""
         live, here, steps = np.arange(len(word)), place, []
         count = np.zeros(len(word), np.int64)
-        at = (index << 24) - self.l.first[word]
+        seed = seed + ((index << 24) - self.l.first[word]).astype(np.uint64)
         while len(live):
-            edge = self.l.draw(here, uniform(seed[live], at[live] + here))
+            edge = self.l.draw(here, uniform(seed, here))
             steps.append((live, edge))
+            length = self.l.length[edge]
+            more = np.flatnonzero(self.l.left[here] > length)
             count[live] += 1
-            more = self.l.left[here] > self.l.length[edge]
-            live, here = live[more], (here + self.l.length[edge])[more]
+            live, here, seed = live[more], here[more] + length[more], seed[more]
         out, begin = np.zeros(count.sum(), np.int64), np.cumsum(count) - count
         for k, (live, edge) in enumerate(steps):
             out[begin[live] + k] = edge
         return out, count
 
-    def completed(self, rows: list[int], heads: list[tuple[np.ndarray, np.ndarray]], since: list[tuple[int, int | None]], tag: int, values: list[float]) -> Paths:
-        """Paths of the rows: heads (edges and their words), then drawn steps from word ``since`` on, there from a place
-        inside it or from its start."""
+    def completed(self, rows: list[int], heads: list[np.ndarray], before: list[float], since: list[tuple[int, int | None]], tag: int, values: list[float]) -> Paths:
+        """Paths of the rows: heads (edges, whose log-probability is ``before``), then drawn steps from word ``since`` on,
+        there from a place inside it or from its start."""
         each = [self.words[r][w:] for r, (w, _) in zip(rows, since, strict=True)]
         size = np.array([len(x) for x in each], np.int64)
         word = np.concatenate(each)
         begin = np.cumsum(size) - size
-        index = np.arange(len(word)) - np.repeat(begin - np.array([w for w, _ in since], np.int64), size)
+        index = ranges(np.array([w for w, _ in since], np.int64), size)
         place = self.l.first[word]
-        for b, (_, inside) in zip(begin, since, strict=True):
+        for b, (_, inside) in zip(begin.tolist(), since, strict=True):
             if inside is not None:
                 place[b] = inside
         edges, count = self.ahead(word, index, place, np.repeat(np.array([self.seed(r, tag) for r in rows], np.uint64), size))
-        of_step, cuts = np.repeat(index, count), np.append(0, np.cumsum(count))
-        out = Paths({}, {}, {}, {}, {}, {})
-        for r, (head, head_word), b, n, value in zip(rows, heads, begin, size, values, strict=True):
-            a, z = cuts[b], cuts[b + n]
-            own = np.concatenate([head, edges[a:z]])
-            run = np.cumsum(self.l.logp[own])
-            before = np.zeros(len(run))
-            before[1:] = run[:-1]
-            out.edges[r], out.word[r], out.before[r], out.value[r] = own, np.concatenate([head_word, of_step[a:z]]), before, value
-            out.logp[r] = float(run[-1])
-            bound = below(value, before + self.l.others[own], uniform(self.seed(r, (2 << 40) + tag), np.arange(len(own))))
-            bound[: len(head)] = -np.inf
-            out.bound[r] = bound
+        cuts = np.append(0, np.cumsum(count))
+        a, z = cuts[begin], cuts[begin + size]
+        run, past, spans = self.l.logp[edges], np.empty(len(edges)), list(zip(a.tolist(), z.tolist(), strict=True))
+        out = Paths({}, {}, {}, {})
+        for r, x, (i, j) in zip(rows, before, spans, strict=True):
+            out.logp[r] = x
+            if i < j:
+                past[i], run[i] = x, run[i] + x
+                np.cumsum(run[i:j], out=run[i:j])
+                past[i + 1 : j] = run[i : j - 1]
+                out.logp[r] = float(run[j - 1])
+        other = self.l.others[edges]
+        other += past
+        # Places are counted from the path's beginning.
+        u = uniform(np.repeat(np.array([self.seed(r, (2 << 40) + tag) for r in rows], np.uint64), z - a), ranges(np.array([len(x) for x in heads], np.int64), z - a))
+        for f in (np.log, np.negative, np.log):
+            f(u, out=u)
+        other -= u
+        for r, head, b, n, (i, j), (w, _), value in zip(rows, heads, begin.tolist(), size.tolist(), spans, since, values, strict=True):
+            out.edges[r], out.value[r] = np.concatenate([head, edges[i:j]]) if len(head) else edges[i:j], value
+            out.steps[r] = past[i:j], other[i:j], cuts[b + 1 : b + n + 1] - i, w
         return out
 
     def search(self) -> tuple[list[Paths], list[float]]:
         """The segmentations of largest perturbed log-probability, in order, and for each row the largest value left
         out. Every row has a word at least."""
-        rows = list(range(len(self.words)))
-        values = [float(-np.log(-np.log(one_uniform(self.seed(r, 1 << 40))))) for r in rows]
+        rows, l = list(range(len(self.words))), self.l
+        values = [gumbel(0.0, one_uniform(self.seed(r, 1 << 40))) for r in rows]
         nothing = np.zeros(0, np.int64)
-        found = [self.completed(rows, [(nothing, nothing)] * len(rows), [(0, None)] * len(rows), 0, values)] if rows else []
+        found = [self.completed(rows, [nothing] * len(rows), [0.0] * len(rows), [(0, None)] * len(rows), 0, values)] if rows else []
         used: dict[tuple[int, int, int], list[int]] = {}
+        # What else begins as a path does before a step, by its bound; of those that were never taken, the path's best only.
+        waiting: list[list[tuple[float, int, int, bool]]] = [[] for _ in rows]
+
+        def offer(r: int, k: int) -> None:
+            other = found[k].steps[r][1]
+            at = int(other.argmax()) if len(other) else 0
+            if len(other) and other[at] > -np.inf:
+                heappush(waiting[r], (-below(found[k].value[r], float(other[at])), k, at, True))
+
+        edge_ends = l.edges[: l.places + 1]
         while True:
-            best = {r: max(((float(p.bound[r].max()), -k) for k, p in enumerate(found) if r in p.edges), default=(-np.inf, 0)) for r in range(len(self.words))}
+            for r in rows:
+                offer(r, len(found) - 1)
             if len(found) >= self.params.samples or not rows:
-                return found, [best[r][0] for r in range(len(self.words))]
-            tag, rows = len(found), [r for r in rows if best[r][0] > -np.inf]
-            heads, since, values = [], [], []
+                return found, [-x[0][0] if x else -np.inf for x in waiting]
+            tag, rows = len(found), [r for r in rows if waiting[r]]
+            heads, before, since, values = [], [], [], []
             for r in rows:
-                top, k = best[r]
-                path = found[-k]
-                at = int(path.bound[r].argmax())
-                edge = int(path.edges[r][at])
-                place, word = int(self.l.start[edge]), int(path.word[r][at])
-                taken = used.setdefault((r, -k, at), [edge])
-                options = np.array([e for e in range(self.l.edges[place], self.l.edges[place + 1]) if e not in taken])
-                p = np.exp(self.l.logp[options])
-                pick = int(options[min(np.searchsorted(np.cumsum(p), one_uniform(self.seed(r, (3 << 40) + tag), at) * p.sum()), len(options) - 1)])
+                top, k, at, fresh = heappop(waiting[r])
+                path, top = found[k], -top
+                past, other, words, word = path.steps[r]
+                if fresh:
+                    other[at] = -np.inf
+                    offer(r, k)
+                own = path.edges[r]
+                step = len(own) - len(other) + at
+                edge = int(own[step])
+                place = int(np.searchsorted(edge_ends, edge, "right")) - 1
+                first, last = int(edge_ends[place]), int(edge_ends[place + 1])
+                taken = used.setdefault((r, k, at), [edge])
+                options = [e for e in range(first, last) if e not in taken]
+                chances = [math.exp(x) for x in l.logp[first:last].tolist()]
+                weight = sum(chances[e - first] for e in options) * one_uniform(self.seed(r, (3 << 40) + tag), step)
+                pick, *_ = [e for e in options if (weight := weight - chances[e - first]) < 0] or options[-1:]
                 taken.append(pick)
-                rest = p[options != pick].sum()
-                left = path.before[r][at] + (np.log(rest) if len(options) > 1 and rest > 0 else -np.inf)
-                path.bound[r][at] = below(top, np.array(left), np.array(one_uniform(self.seed(r, (4 << 40) + tag), at)))
-                heads.append((np.append(path.edges[r][:at], pick), path.word[r][: at + 1]))
-                whole = self.l.left[place] == self.l.length[pick]
-                since.append((word + 1, None) if whole else (word, place + int(self.l.length[pick])))
+                rest = sum(chances[e - first] for e in options if e != pick)
+                if rest > 0:
+                    value = gumbel(float(past[at]) + math.log(rest), one_uniform(self.seed(r, (4 << 40) + tag), step))
+                    heappush(waiting[r], (-below(top, value), k, at, False))
+                word += int(np.searchsorted(words, at, "right"))
+                heads.append(np.append(own[:step], pick))
+                before.append(float(past[at]) + float(l.logp[pick]))
+                whole = l.left[place] == l.length[pick]
+                since.append((word + 1, None) if whole else (word, place + int(l.length[pick])))
                 values.append(top)
-            found.append(self.completed(rows, heads, since, tag, values) if rows else Paths({}, {}, {}, {}, {}, {}))
+            found.append(self.completed(rows, heads, before, since, tag, values) if rows else Paths({}, {}, {}, {}))
 
 
-def ids_of(lattices: Lattices, edges: np.ndarray) -> np.ndarray:
+def ids_of(lattices: Lattices, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that the edges stand for, and how many ids lie before each edge and before the end."""
     piece = lattices.piece[edges]
     odd = np.flatnonzero(piece < 0)
     if not len(odd):
-        return piece
-    spelled = [lattices.vocabulary.bytes_at[np.frombuffer(lattices.spelled[int(s)], np.uint8)] for s in lattices.start[edges[odd]]]
-    out, done = [], 0
-    for i, s in zip(odd, spelled, strict=True):
-        out += [piece[done:i], s]
-        done = i + 1
-    return np.concatenate([*out, piece[done:]])
+        return piece, np.arange(len(piece) + 1)
+    char = -1 - piece[odd]
+    size = np.ones(len(piece), np.int64)
+    size[odd] = lattices.size[char]
+    before = np.append(0, np.cumsum(size))
+    ids = np.repeat(piece, size)
+    for k in range(4):
+        spelled = np.flatnonzero(lattices.size[char] > k)
+        ids[before[odd[spelled]] + k] = lattices.bytes[char[spelled], k]
+    return ids, before
 
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
@@ -428,7 +545,7 @@ def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
 @lru_cache(maxsize=2)
 def lattices_of(model_path: str, params: Params) -> Lattices:
     """Those of one worker process: what one task has built serves the next one there."""
-    return Lattices(Vocabulary(model_path, params))
+    return Lattices(Vocabulary(model_path, params), params.places)
 
 
 SAMPLES = "id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, decoded boolean"
@@ -444,30 +561,46 @@ def sample(docs: DataFrame, model_path: str, params: Params = Params(), with_ids
     an id that have one text (their key counts as -1), and they stay without an id. Perturbed values are drawn from a
     continuum; should two tie, the path found first comes first. Other columns are not read; whole texts are segmented.
     """
-    names = ["id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "decoded"]
-    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.float64()] * 3, pa.bool_()]
 
-    def rows_of(lattices: Lattices, keys: list[int], texts: list[str]) -> pa.RecordBatch:
+    def rows_of(lattices: Lattices, keys: list[int | None], texts: list[str]) -> pa.RecordBatch:
         words = [lattices.words(t) for t in texts]
-        lattices.grow()
+        lattices.grow(words)
         some = [i for i, w in enumerate(words) if len(w)]
+        none = [i for i, w in enumerate(words) if not len(w)]
         found, limits = Sampler(lattices, [words[i] for i in some], [-1 if keys[i] is None else keys[i] for i in some], params).search()
-        out = [(keys[i], 0, np.zeros(0, np.int32) if with_ids else None, 0.0, 0.0, 0.0, True) for i, w in enumerate(words) if not len(w)]
+        raw = [(" " + texts[i]).encode("utf-8", "surrogatepass") for i in some]
+        key, number, decoded = [keys[i] for i in none], [0] * len(none), [True] * len(none)
+        logp, value, limit = [0.0] * len(none), [0.0] * len(none), [-np.inf] * len(none)
+        ids, sizes, text = [np.zeros(0, np.int32)], [np.zeros(len(none), np.int64)], lattices.vocabulary.text
         for k, paths in enumerate(found):
-            for r, edges in paths.edges.items():
-                ids, logp, limit = ids_of(lattices, edges), paths.logp[r], limits[r]
-                chance = -np.expm1(-np.exp(np.minimum(logp - limit, 700)))
-                inclusion = float(np.log(chance)) if chance > 0 else logp - limit
-                whole = decode(ids, lattices.vocabulary) == texts[some[r]]
-                out.append((keys[some[r]], k, ids.astype(np.int32) if with_ids else None, logp, paths.value[r], inclusion, whole))
-        columns = zip(*out, strict=True) if out else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+            rows = list(paths.edges)
+            if not rows:
+                break
+            own, before = ids_of(lattices, np.concatenate([paths.edges[r] for r in rows]))
+            cuts = before[np.append(0, np.cumsum([len(paths.edges[r]) for r in rows]))]
+            ids.append(own)
+            sizes.append(np.diff(cuts))
+            spelled = list(map(text.__getitem__, own.tolist()))
+            decoded += [b"".join(spelled[a:z]) == raw[r] for r, a, z in zip(rows, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            key += [keys[some[r]] for r in rows]
+            number += [k] * len(rows)
+            logp += [paths.logp[r] for r in rows]
+            value += [paths.value[r] for r in rows]
+            limit += [limits[r] for r in rows]
+        over = np.array(logp) - np.array(limit)
+        chance = -np.expm1(-np.exp(np.minimum(over, 700)))
+        with np.errstate(divide="ignore"):
+            inclusion = np.where(chance > 0, np.log(chance), over)
+        if with_ids:
+            pieces = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes))), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+        else:
+            pieces = pa.nulls(len(key), pa.list_(pa.int32()))
+        columns = [pa.array(key, pa.int64()), pa.array(number, pa.int32()), pieces, *(pa.array(x, pa.float64()) for x in (logp, value, inclusion)), pa.array(decoded, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "decoded"])
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_of(model_path, params)
         for batch in batches:
-            if lattices.places > params.places:
-                lattices.forget()
             keys, texts, n = [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
@@ -477,10 +610,13 @@ def sample(docs: DataFrame, model_path: str, params: Params = Params(), with_ids
                 texts.append(text)
                 n += len(text)
                 if n >= params.batch_chars:
+                    lattices.shed()
                     yield rows_of(lattices, keys, texts)
                     keys, texts, n = [], [], 0
             if keys:
+                lattices.shed()
                 yield rows_of(lattices, keys, texts)
+        hand_back()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     return picked.mapInArrow(sampled, SAMPLES).withColumnRenamed("id", "doc_id")

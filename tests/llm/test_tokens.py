@@ -268,3 +268,39 @@ def test_query_digests_what_the_operator_returns(spark, tmp_path):
         assert (own.n_pieces, own.ids_crc32, own.log_prob, own.perturbed) == (len(ids), zlib.crc32(ids), r.log_prob, r.perturbed)
         assert own.decoded and piece_sampling.decode(ids, vocabulary) == texts[r.doc_id]
     assert [(r.n_pieces, r.ids_crc32, r.decoded) for r in got.values()] == [(0, 0, True)]
+
+
+def test_words_used_most_keep_their_lattices():
+    params = piece_sampling.Params(samples=3)
+    vocabulary = piece_sampling.Vocabulary(PIECE, params)
+    texts = [f"the common words and 日 {k:04}unlikely{k} then the common words" for k in range(60)]
+    built = []
+
+    def found(lattices, key):
+        words = [lattices.words(texts[key])]
+        built.extend(lattices.number.new)
+        lattices.grow(words)
+        paths, left = piece_sampling.Sampler(lattices, words, [key], params).search()
+        return [(piece_sampling.ids_of(lattices, p.edges[0])[0].tolist(), p.logp[0], p.value[0]) for p in paths], left
+
+    alone = [found(piece_sampling.Lattices(vocabulary), k) for k in range(60)]
+    built.clear()
+    few = piece_sampling.Lattices(vocabulary, 120)
+    for k in range(60):
+        few.shed()
+        assert few.places <= 120
+        assert found(few, k) == alone[k]
+    assert len(built) == 60 + 6  # no word that recurs is built anew
+
+
+@pytest.mark.parametrize("size", [65_534, 65_535, 65_536])
+def test_samples_of_words_of_about_65536_characters(size):
+    params = piece_sampling.Params()
+    lattices = piece_sampling.Lattices(piece_sampling.Vocabulary(PIECE, params))
+    text = "ab" * (size // 2) + "c" * (size % 2)
+    words = [lattices.words(text)]
+    lattices.grow(words)
+    edges = lattices.edges[: lattices.places + 1]
+    assert np.add.reduceat(np.exp(lattices.logp[: edges[-1]]), edges[:-1]) == pytest.approx(np.ones(lattices.places))
+    paths, _ = piece_sampling.Sampler(lattices, words, [1], params).search()
+    assert [piece_sampling.decode(piece_sampling.ids_of(lattices, p.edges[0])[0], lattices.vocabulary) for p in paths] == [text] * 2
