@@ -8,6 +8,8 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +45,51 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is made and run inside go when it ends. Otherwise they stay until the driver happens to
+    collect its garbage, which it does by what it allocates itself: on large inputs those of many steps pile up."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+#: Folders of staged tables.
+PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a cut in the lineage that survives lost
-    executors. Folders stay until the caller clears the shared folder."""
+    executors. Folders stay until they are given to ``discard`` or the caller clears the shared folder."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/terraspan/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    PLACES[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of staged tables that nothing reads any more."""
+    for each in tables:
+        if path := PLACES.pop(each, None):
+            remove(each.sparkSession, path)
+
+
+def counted(df: DataFrame) -> int:
+    with shuffles_removed(df.sparkSession):
+        return df.count()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def hand_back() -> None:

@@ -12,19 +12,24 @@ global order, rare ones first; documents that link share a shingle among the fir
 4. The likeliest pairs are expanded to classes and verified on whole sets; components of verified links follow. Members
    of crowded lists then meet another one of their list, which joins most of what belongs together.
 5. What is left are lists whose classes are still of different components: crowded shingles, large groups, and pairs of
-   large groups. Each is dealt in tiles of bounded size: the classes outside the list's largest component meet each
-   other and that component's, and a tile counts their overlaps on whole sets with one matrix product. It hands on the
-   components that its links join, not the links, so nothing grows with the square of a list's length but that product.
+   large groups. Lists of much the same classes, as the shingles of one passage have them, become one. Each is dealt in
+   tiles of bounded size: the classes outside the list's largest component meet each other and that component's, and a
+   tile counts their overlaps on whole sets with one matrix product. It hands on the components that its links join, not
+   the links. The sets that go to tiles grow with the square of a list's length, as that product does, so they go in
+   rounds, each with no more than a bounded part of what all sets hold.
 
 Nothing is sampled or capped. Sets are computed again from the text where they are needed, not kept for all documents.
+Tables of a step leave the shared folder, and its shuffle files the executors, as soon as no later step reads them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraspan.llm.common import checked_broadcast, staged, table
+from terraspan.llm.common import checked_broadcast, counted, discard, shuffles_removed, staged, table
 from terraspan.llm.components import components
 
 
@@ -45,6 +50,7 @@ class Params:
     crowded: int = 32  # groups from which a shingle's groups are not all paired at first
     pairs: int = 16  # pairs of classes up to which a pair of groups is expanded into pairs and not into a list
     tile: int = 131_072  # shingles of one side of a tile, about
+    sent: int = 1 << 28  # shingles up to which all tiles are filled at once; more go in rounds
 
 
 def need(size, percent: int):
@@ -141,8 +147,9 @@ def common_shingles(docs: DataFrame, params: Params) -> tuple[np.ndarray, np.nda
         often = total >= params.frequent
         return pd.DataFrame({"key": (int(key[0]) << 32) + keys[first][often].astype(np.int64), "docs": total[often]})
 
-    counts = docs.select("text").mapInArrow(runs, "segment int, keys binary, counts binary").groupBy("segment").applyInPandas(merged, "key long, docs long")
-    top = counts.orderBy(F.desc("docs"), "key").limit(params.most_frequent).toPandas().sort_values("key")
+    with shuffles_removed(docs.sparkSession):
+        counts = docs.select("text").mapInArrow(runs, "segment int, keys binary, counts binary").groupBy("segment").applyInPandas(merged, "key long, docs long")
+        top = counts.orderBy(F.desc("docs"), "key").limit(params.most_frequent).toPandas().sort_values("key")
     return (top["key"].to_numpy(np.uint64) << low) if len(top) else np.zeros(0, np.uint64), top["docs"].to_numpy(np.int64)
 
 
@@ -210,7 +217,8 @@ def _paired(lists: DataFrame, params: Params) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
-    """``id`` and ``set`` (its shingles' hashes, sorted) of the documents in ``ids`` (doc_id, distinct)."""
+    """``id`` and ``set`` (its shingles' hashes, sorted) of the documents in ``ids`` (doc_id, distinct); no two of
+    ``docs`` share an id."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(params.words)
@@ -218,8 +226,8 @@ def _sets(docs: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
             each = [shingler.of(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each, pa.binary())], ["id", "set"])
 
-    texts = docs.select("doc_id", "text").join(checked_broadcast(ids, ids.count()), "doc_id")
-    return staged(texts.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"]), "sets")
+    texts = docs.select("doc_id", "text").join(checked_broadcast(ids, counted(ids)), "doc_id")
+    return staged(texts.mapInArrow(sets, "id long, set binary"), "sets")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
@@ -239,7 +247,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
     own = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), params)
     with_a = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a")
     with_b = with_a.join(own.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b").select("a", "b", "a_set", "b_set")
-    return staged(with_b.mapInArrow(compared, "a long, b long"), "links")
+    links = staged(with_b.mapInArrow(compared, "a long, b long"), "links")
+    discard(pairs, own)
+    return links
 
 
 # ---- lists of classes, in tiles --------------------------------------------------------------------------------------
@@ -277,17 +287,49 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _across(members: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
+#: Of a class in a tile; with a constant, so that a tile's rows are bounded too.
+WEIGHT = "n + 128"
+
+
+def _work(members: DataFrame, by: str) -> DataFrame:
+    """What comparing a list takes: the weight outside its largest component, times all; ``by`` names the lists."""
+    size = members.groupBy(by, "component").agg(F.sum(F.expr(WEIGHT)).cast("double").alias("size"))
+    return size.groupBy(by).agg(((F.sum("size") - F.max("size")) * F.sum("size")).alias("work"))
+
+
+def _merged(members: DataFrame) -> DataFrame:
+    """``members`` (list, node, n, component; distinct) without lists of one component. Lists whose nodes have the same
+    least hash, as most lists of much the same nodes do, become one where that takes no more work than they do apart."""
+    keys = members.groupBy("list").agg(F.min(F.xxhash64("node")).alias("key"))
+    alone = staged(_work(members, "list").where("work > 0").join(keys, "list"), "alone")
+    n = counted(alone)
+    union = members.join(checked_broadcast(alone.select("list", "key"), n), "list").select("key", "node", "n", "component").distinct()
+    apart = alone.groupBy("key").agg(F.sum("work").alias("apart"))
+    chosen = _work(union, "key").join(apart, "key").select("key", (F.col("work") <= F.col("apart")).alias("one"))
+    into = staged(alone.join(chosen, "key").select("list", F.when(F.col("one"), F.xxhash64("key", F.lit("lists"))).otherwise(F.col("list")).alias("into")), "into")
+    out = members.join(checked_broadcast(into, n), "list").select(F.col("into").alias("list"), "node", "n", "component").distinct()
+    out = staged(out, "merged")
+    discard(alone, into)
+    return out
+
+
+def _across(members: DataFrame, docs: DataFrame, params: Params, shingles: int) -> DataFrame:
     """Links between components (``a``, ``b``) that the lists of ``members`` (list, node, n, component) hold, enough of
-    them to join all that links inside a list. A repeated member counts once."""
-    weight = F.col("n") + 128  # so that a tile's rows are bounded too
-    members = members.dropDuplicates(["list", "node"])
-    size = members.groupBy("list", "component").agg(F.sum(weight).alias("size"))
+    them to join all that links inside a list. A repeated member counts once. shingles: of all sets."""
+    each = staged(members.dropDuplicates(["list", "node"]), "members")
+    merged = _merged(each)
+    discard(each)
+    size = merged.groupBy("list", "component").agg(F.sum(F.expr(WEIGHT)).alias("size"))
     lists = size.groupBy("list").agg(
-        F.max_by("component", F.struct("size", -F.col("component"))).alias("main"),
-        F.ceil(F.max("size") / params.tile).alias("main_parts"), F.ceil((F.sum("size") - F.max("size")) / params.tile).alias("parts"),
-    ).where("parts > 0")
-    members = staged(members.join(lists, "list"), "members")
+        F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.max("size").alias("inside"), (F.sum("size") - F.max("size")).alias("beyond"),
+    )
+    lists = lists.withColumns({"main_parts": F.ceil(F.col("inside") / params.tile), "parts": F.ceil(F.col("beyond") / params.tile)}).where("parts > 0")
+    lists = staged(lists, "tiled")
+    with shuffles_removed(docs.sparkSession):
+        sent = lists.agg(F.sum(F.expr("cast(beyond as double) * (parts + main_parts) + cast(inside as double) * parts"))).first()[0]
+    rounds = math.ceil((sent or 1) / max(params.sent, shingles // 4))
+    members = staged(merged.join(checked_broadcast(lists, counted(lists)), "list"), "members")
+    discard(merged, lists)
     outside = F.col("component") != F.col("main")
     deal = lambda n: F.pmod(F.xxhash64("node", "list"), F.col(n))
     side = F.when(outside, deal("parts")).otherwise(F.col("parts") + deal("main_parts"))
@@ -322,8 +364,14 @@ def _across(members: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
 
     own = _sets(docs, members.select(F.col("node").alias("doc_id")).distinct(), params)
     dealt = members.withColumn("side", side).select("list", "node", "component", "side", F.inline(tile))
-    with_sets = dealt.join(own.select(F.col("id").alias("node"), "set"), "node").select(*keys, "side", "component", "set")
-    return with_sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(met_in, "a long, b long")
+    links = []
+    for k in range(rounds):
+        now = dealt.where(F.pmod(F.xxhash64(*keys), F.lit(rounds)) == k) if rounds > 1 else dealt
+        with_sets = now.join(own.select(F.col("id").alias("node"), "set"), "node").select(*keys, "side", "component", "set")
+        links.append(staged(with_sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(met_in, "a long, b long"), "links"))
+    found = staged(reduce(DataFrame.unionByName, links), "links")
+    discard(members, own, *links)
+    return found
 
 
 def spanning(links: list[list[int]]) -> set[tuple[int, int]]:
@@ -348,7 +396,7 @@ def _odd_ids(docs: DataFrame) -> tuple[DataFrame, int]:
     """The null id and those of several rows, and their number."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select("doc_id")
     ids = staged(ids, "odd_ids")
-    return ids, ids.count()
+    return ids, counted(ids)
 
 
 def _apart(docs: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -376,30 +424,36 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     above = F.lit(-1 if last is None else last)  # such rows get keys beyond all ids
     odd = staged(shared.unionByName(without).withColumn("key", F.monotonically_increasing_id() + above + 1), "odd_rows")
     keyed = plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(odd.select(F.col("key").alias("doc_id"), "text"))
-    found = staged(_components(keyed, params).withColumnRenamed("doc_id", "key"), "keyed")
+    keys = _components(keyed, params)
+    found = keys.withColumnRenamed("doc_id", "key")
     own = odd.select("key", F.col("doc_id").cast("long").alias("own"))
     least = found.select("key", "component_id").join(own, "key").groupBy("component_id").agg(F.min("own").alias("least"))
     kind = docs.schema["doc_id"].dataType
     first = F.least("least", F.when(F.col("component_id") <= above, F.col("component_id")))
-    return found.join(own, "key", "left").join(least, "component_id", "left").select(
+    out = found.join(own, "key", "left").join(least, "component_id", "left").select(
         F.when(F.col("key") <= above, F.col("key")).otherwise(F.col("own")).cast(kind).alias("doc_id"), "n_shingles", first.cast(kind).alias("component_id")
     )
+    out = staged(out, "found")
+    discard(ids, odd, keys)
+    return out
 
 
 def _components(docs: DataFrame, params: Params) -> DataFrame:
-    """As :func:`near_duplicates`, for rows (doc_id, text) whose ids are unique and not null."""
+    """As :func:`near_duplicates`, for rows (doc_id, text) whose ids are unique and not null; a staged table."""
     rows = described(docs, params)
+    sizes = staged(rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash")), "sizes")
     classes = rows.where("n > 0").groupBy("set_hash", "sig", "n").agg(F.min("doc_id").alias("node"))
     groups = classes.groupBy("sig").agg(F.min("node").alias("g"), F.count("*").alias("classes"))
     classes = staged(classes.join(groups, "sig").select("node", "g", "n", "classes", "set_hash"), "classes")
 
     reps = classes.where("node = g").select(F.col("g").alias("doc_id"))
-    reps = rows.join(checked_broadcast(reps, reps.count()), "doc_id").select(F.col("doc_id").alias("g"), "n", "rare", "common")
+    reps = rows.join(checked_broadcast(reps, counted(reps)), "doc_id").select(F.col("doc_id").alias("g"), "n", "rare", "common")
     # A rare shingle's groups are few, so they may share a task; a common one's are counted before they meet the count.
     rare = reps.select("g", "n", F.explode("rare").alias("token")).withColumn("held", F.count("*").over(Window.partitionBy("token")))
     common = staged(reps.select("g", "n", F.explode("common").alias("token")), "common")
     counts = common.groupBy("token").agg(F.count("*").alias("held"))
     lists = staged(rare.where("held > 1").unionByName(common.join(counts.where("held > 1"), "token").select("g", "n", "token", "held")), "lists")
+    discard(rows, common)
     crowded = lists.where(F.col("held") > params.crowded)
     n_crowded = crowded.groupBy("g").agg(F.count("*").alias("many"))
 
@@ -435,15 +489,18 @@ def _components(docs: DataFrame, params: Params) -> DataFrame:
     near = mixed_lists(labels(placed_in(first))).withColumn("bucket", F.pmod(F.xxhash64("token", "g"), F.ceil(F.col("held") / params.crowded)))
     beside = near.groupBy("token", "bucket").agg(F.min_by(F.struct(F.col("g").alias("hub"), F.col("component").alias("hub_component")), F.xxhash64("g", "token")).alias("of"))
     beside = near.join(beside.select("token", "bucket", "of.*"), ["token", "bucket"]).where("hub_component <> component").select(F.col("hub").alias("a"), F.col("g").alias("b"))
-    links = links.unionByName(_linked(beside, docs, params))
-    first = staged(components(links), "components")
+    more = _linked(beside, docs, params)
+    discard(first)
+    first = components(links.unionByName(more))
+    discard(links, more)
 
     # Then all that is left between different components: pairs of a few classes one by one, the others as lists.
     placed = staged(placed_in(first), "placed")
     label = labels(placed)
     kinds = classes.where("node = g").select("g", "classes")
     a, b = (label.join(kinds, "g").select(*[F.col(c).alias(f"{x}_{c}") for c in ("g", "low", "high", "classes")]) for x in "ab")
-    early = staged(pairs.join(a, "a_g").join(b, "b_g").where(UNLIKE).select("a_g", "b_g", F.col("a_classes").cast("double") * F.col("b_classes") <= params.pairs), "early").toDF("a_g", "b_g", "few")
+    early = staged(pairs.join(a, "a_g").join(b, "b_g").where(UNLIKE).select("a_g", "b_g", F.col("a_classes").cast("double") * F.col("b_classes") <= params.pairs).toDF("a_g", "b_g", "few"), "early")
+    discard(pairs)
     member = lambda x: placed.select(F.col("g").alias(f"{x}_g"), F.col("node").alias(x), F.col("component").alias(f"{x}_c"))
     single = early.where("few").join(member("a"), "a_g").join(member("b"), "b_g").where("a_c <> b_c").select("a", "b")
     wide = early.where("not few").select(F.xxhash64("a_g", "b_g").alias("list"), F.explode(F.array("a_g", "b_g")).alias("g"))
@@ -451,14 +508,19 @@ def _components(docs: DataFrame, params: Params) -> DataFrame:
     mixed = mixed_lists(label).select(F.col("token").alias("list"), "g")
     members = wide.unionByName(several).unionByName(mixed).join(placed.select("g", "node", "n", "component"), "g")
     a, b = (first.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in "ab")
-    more = _linked(single, docs, params).join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    second = components(more.unionByName(_across(members, docs, params))).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    links = _linked(single, docs, params)
+    more = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    with shuffles_removed(docs.sparkSession):
+        shingles = placed.agg(F.sum("n")).first()[0] or 0
+    lasting = _across(members, docs, params, shingles)
+    joined = components(more.unionByName(lasting))
+    discard(classes, lists, early, first, links, lasting)
+    second = joined.select(F.col("node").alias("component"), F.col("component").alias("final"))
     final = placed.join(second, "component", "left").select("set_hash", F.coalesce("final", "component").alias("component_id"))
-    return (
-        rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash"))
-        .join(final, "set_hash", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    found = sizes.join(final, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = staged(found, "found")
+    discard(sizes, placed, joined)
+    return found
 
 
 def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -473,20 +535,21 @@ def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
     if n_odd:
         plain, shared, without = _apart(docs, ids, n_odd)
         odd = without.unionByName(shared.dropDuplicates(["doc_id", "text"]))
-        odd = staged(odd.withColumn(key, F.monotonically_increasing_id()), "odd_rows")
+        odd = numbered = staged(odd.withColumn(key, F.monotonically_increasing_id()), "odd_rows")
         last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
         owners = odd.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(own)).agg(F.min(key).alias(key))
         odd = odd.join(owners, key, "left").withColumn(key, F.coalesce(own, F.col(key) + F.lit(-1 if last is None else last) + 1)).drop(own)
         odd = staged(odd, "odd_rows")
+        discard(numbered)
     keyed = plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if n_odd:
         keyed = keyed.unionByName(odd.select(F.col(key).alias("doc_id"), "text"))
-    found = _components(keyed, params).where("doc_id = component_id").select("doc_id").distinct()
+    others = _components(keyed, params).where("doc_id <> component_id").select("doc_id")
+    others = checked_broadcast(others, counted(others))  # all ids have a row there, and those to go are the fewer
+    kept = plain.join(others, "doc_id", "left_anti").select(*docs.columns)
     if not n_odd:
-        return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
-    found = staged(found, "kept")
-    others = odd.join(found.select(F.col("doc_id").alias(key)), key, "left_semi")
-    return plain.join(found, "doc_id", "left_semi").select(*docs.columns).unionByName(others.select(*docs.columns))
+        return kept
+    return kept.unionByName(odd.join(others.withColumnRenamed("doc_id", key), key, "left_anti").select(*docs.columns))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
+import os
 import random
+import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -178,6 +182,70 @@ def test_texts_under_one_id_keep_their_links(spark):
     assert sorted(tuple(r) for r in J.near_duplicates(df).collect()) == [(1, 26, 1), (1, 26, 1), (3, 27, 1)]
 
 
+def test_join_with_tiles_in_rounds(spark):
+    texts = few_passages(9)
+    own, links = [shingles(t) for t in texts], Sets()
+    for a in range(len(own)):
+        links.find(a)
+        for b in range(a):
+            if 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
+                links.join(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(df, J.Params(crowded=4, frequent=3, pairs=1, tile=700, sent=100_000)).collect()}
+    assert got == {i: links.find(i) for i in range(len(own))}
+
+
+def written(spark):
+    """Bytes of shuffle files so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_lists_of_one_passage_are_compared_once(spark):
+    """The shingles of a passage that many unlike texts share have a list of the same texts each."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    passage = [word() for _ in range(180)]
+    texts = [[*passage, *(word() for _ in range(32))] for _ in range(200)]
+    texts += [[*t[:-3], word()] for t in texts[:150:10]]
+    own, links = [shingles(" ".join(t)) for t in texts], Sets()
+    for a in range(len(own)):
+        links.find(a)
+        for b in range(a):
+            if 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
+                links.join(a, b)
+    assert len({links.find(i) for i in range(len(own))}) == 200
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    before = written(spark)
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(df, J.Params(tile=8000)).collect()}
+    assert got == {i: links.find(i) for i in range(len(own))}
+    assert written(spark) - before < 20e6
+
+
+def kept(spark):
+    """Folders of staged tables, and shuffles with files."""
+    root = Path(spark.conf.get("spark.checkpoint.dir"), "terraspan")
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    return {*(os.listdir(root) if root.is_dir() else ())}, {*re.findall(r"shuffle_\d+", files)}
+
+
+@pytest.mark.parametrize("run", [J.near_duplicates, J.keep_one])
+@pytest.mark.parametrize("odd", [False, True])
+def test_only_the_result_stays_on_disk(spark, run, odd):
+    rows = [(k, t) for k, t in enumerate(few_passages(7))] + [(None, "text without an id"), (3, "other text")] * odd
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folders, shuffles = kept(spark)
+    out = run(df, J.Params(frequent=3, crowded=4, pairs=1, tile=700))
+    for _ in range(50):  # files go a moment after their execution
+        now = kept(spark)
+        if not now[1] - shuffles:
+            break
+        time.sleep(0.2)
+    assert not now[1] - shuffles
+    assert len(now[0] - folders) <= (1 if run is J.near_duplicates or not odd else 3) and out.count() > 0
+
+
 def test_join_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert J.near_duplicates(df).count() == 0 and J.keep_one(df).columns == df.columns
