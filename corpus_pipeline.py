@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraspan.llm import jaccard_join, language_id, packing, secret_scan, toxicity
-from terraspan.llm.common import fold_of, shared_dir, table
+from terraspan.llm.common import fold_of, remove, shared_dir, shuffles_removed, table
 
 #: A language is accepted from this score on.
 SURE = 0.5
@@ -57,12 +57,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Every other stage is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Every other stage is written to the shared folder and read again; what it has read goes."""
+    docs, last = table(spark, sf_dir, "documents"), None
     root = f"{shared_dir(spark)}/terraspan/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        out = stage(spark, docs, sf_dir)
+        with shuffles_removed(spark):
+            out.write.parquet(f"{root}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{root}/{name}"
+        docs = spark.read.parquet(last)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -104,15 +104,15 @@ class Shingler:
 
 
 def segment_bits(docs: DataFrame) -> int:
-    return max(4, (4 * docs.rdd.getNumPartitions() - 1).bit_length())  # an empty plan may have no partition
+    parts = docs.select("doc_id").rdd.getNumPartitions()  # ids alone, since this runs the shuffles of a plan that has some
+    return max(4, (4 * parts - 1).bit_length())  # an empty plan may have no partition
 
 
-def common_shingles(docs: DataFrame, params: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (their upper bits, sorted) of the shingles in the most documents, and their numbers of documents.
+def common_shingles(docs: DataFrame, params: Params, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (their upper ``bits`` + 32 bits, sorted) of the shingles in the most documents, and their numbers of documents.
 
     All shingles of all documents are counted. Tasks send sorted runs of 32-bit keys for each segment of the hash
     space; the number of segments follows the number of scan tasks, so a segment stays bounded."""
-    bits = segment_bits(docs)
     low = np.uint64(64 - bits - 32)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +159,8 @@ DESCRIBED = "doc_id long, n long, set_hash binary, sig binary, rare array<long>,
 def described(docs: DataFrame, params: Params) -> DataFrame:
     """Size, hash of the set, hash of prefix and size, and the prefix in two parts, rare and common shingles, of each
     document; written to the shared folder."""
-    keys, df = common_shingles(docs, params)
     bits = segment_bits(docs)
+    keys, df = common_shingles(docs, params, bits)
     mask = np.uint64((1 << 64) - (1 << (32 - bits)))
     shared = docs.sparkSession.sparkContext.broadcast((keys, df))
 
@@ -396,7 +396,9 @@ def _odd_ids(docs: DataFrame) -> tuple[DataFrame, int]:
     """The null id and those of several rows, and their number."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select("doc_id")
     ids = staged(ids, "odd_ids")
-    return ids, counted(ids)
+    if not (n := counted(ids)):
+        discard(ids)
+    return ids, n
 
 
 def _apart(docs: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -407,6 +409,11 @@ def _apart(docs: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, DataFram
     return plain, shared, docs.where("doc_id is null")
 
 
+def _last_id(docs: DataFrame) -> int | None:
+    with shuffles_removed(docs.sparkSession):
+        return docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+
+
 def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """``doc_id``, ``n_shingles`` (size of its set) and ``component_id`` (smallest doc_id reachable by links).
 
@@ -420,7 +427,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     if not n_odd:
         return _components(docs, params)
     plain, shared, without = _apart(docs, ids, n_odd)
-    last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    last = _last_id(docs)
     above = F.lit(-1 if last is None else last)  # such rows get keys beyond all ids
     odd = staged(shared.unionByName(without).withColumn("key", F.monotonically_increasing_id() + above + 1), "odd_rows")
     keyed = plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(odd.select(F.col("key").alias("doc_id"), "text"))
@@ -536,7 +543,7 @@ def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
         plain, shared, without = _apart(docs, ids, n_odd)
         odd = without.unionByName(shared.dropDuplicates(["doc_id", "text"]))
         odd = numbered = staged(odd.withColumn(key, F.monotonically_increasing_id()), "odd_rows")
-        last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+        last = _last_id(docs)
         owners = odd.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(own)).agg(F.min(key).alias(key))
         odd = odd.join(owners, key, "left").withColumn(key, F.coalesce(own, F.col(key) + F.lit(-1 if last is None else last) + 1)).drop(own)
         odd = staged(odd, "odd_rows")

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -35,6 +37,14 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, DIR).count() > 0
 
 
+def test_run_keeps_one_stage(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir"), "terraspan")
+    before = {*root.glob("pipeline-*")}
+    pieces = corpus_pipeline.run(spark, DIR)
+    (own,) = {*root.glob("pipeline-*")} - before
+    assert [p.name for p in own.iterdir() if p.is_dir()] == ["secrets"] and pieces.count() > 0
+
+
 def test_odd_rows_and_columns(spark):
     """Rows without ids, repeated rows, null and empty texts, and columns whose names the operators use."""
     docs = table(spark, DIR, "documents").withColumns({"component_id": F.lit(1), "ratio": F.lit("r"), "n_tokens": F.lit(2.0), "set_hash": F.lit("s")})
